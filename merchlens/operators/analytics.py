@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from merchlens import constants as K
 from merchlens.functions.numeric import dround, money_sum, pct_text
 from merchlens.functions.text import price_symbol, value_tier
-from merchlens.operators.models import latest_per_key
+from merchlens.operators.models import latest_per_key, staging_filter
 
 
 def latest_per_merchant(stg: DataFrame) -> DataFrame:
@@ -229,3 +229,13 @@ def list_merchants(df: DataFrame, limit: int = 20, offset: int = 0, **filters) -
 def date_range(df: DataFrame, start: str, end: str, ts_col: str = "transaction_at") -> DataFrame:
     """inclusive timestamp range (prunes partitions when the table is partitioned by date)."""
     return df.where(F.col(ts_col).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+
+
+def pipeline_counts(raw_df: DataFrame, staged: DataFrame) -> DataFrame:
+    """A14 / ST8: produced, valid, failed (one pass over raw) and transformed rows."""
+    valid = F.count(F.when(staging_filter(), F.lit(1)))
+    return raw_df.agg(
+        F.count(F.lit(1)).alias("records_produced"),
+        valid.alias("records_valid"),
+        (F.count(F.lit(1)) - valid).alias("records_failed"),
+    ).withColumn("records_transformed", staged.select(F.count(F.lit(1))).scalar())

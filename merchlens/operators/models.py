@@ -45,16 +45,20 @@ def raw(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*RAW_COLUMNS, *(keep or []))
 
 
+def staging_filter() -> Column:
+    """ids and city present, 0 < amount < cap (on raw columns)."""
+    c = F.col
+    return (c("transaction_id").isNotNull()
+            & c("merchant_id").isNotNull()
+            & (c("transaction_amount") > 0)
+            & (c("transaction_amount") < K.STAGING_AMOUNT_CAP)
+            & c("city").isNotNull())
+
+
 def clean(raw_df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """P9 + F1: typed, trimmed projection and the staging row filter."""
     c = F.col
-    return raw_df.where(
-        c("transaction_id").isNotNull()
-        & c("merchant_id").isNotNull()
-        & (c("transaction_amount") > 0)
-        & (c("transaction_amount") < K.STAGING_AMOUNT_CAP)
-        & c("city").isNotNull()
-    ).select(
+    return raw_df.where(staging_filter()).select(
         "transaction_id",
         "merchant_id",
         F.trim("merchant_name").alias("merchant_name"),

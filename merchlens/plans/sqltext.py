@@ -133,8 +133,9 @@ SELECT {STG_COLS} FROM (
 """)
 
 
-def with_ctes(body: str, *needed: str) -> str:
-    """``WITH`` clause holding ``needed`` CTEs and their dependencies, then body."""
+def with_ctes(body: str, *needed: str, local: list[tuple[str, str]] | None = None) -> str:
+    """``WITH`` clause holding ``needed`` CTEs and their dependencies, then
+    statement-local CTEs ``local`` (name, text), then body."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -146,7 +147,8 @@ def with_ctes(body: str, *needed: str) -> str:
 
     for n in needed:
         visit(n)
-    if not order:
-        return body
     parts = [f"{n} AS (\n{CTES[n][1].strip()}\n)" for n in order]
+    parts += [f"{n} AS (\n{t.strip()}\n)" for n, t in (local or [])]
+    if not parts:
+        return body
     return "WITH " + ",\n".join(parts) + "\n" + body
