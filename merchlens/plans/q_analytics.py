@@ -169,13 +169,13 @@ def q_merchant_list(spark, sf):
 
 @register("merchant_list_city", with_ctes(f"""
 SELECT {RECORD_SQL},
-       (SELECT count(*) FROM latest WHERE lower(city) = 'germany' AND contains(lower(coalesce(neighborhood, '')), 'zone')
+       (SELECT count(*) FROM latest WHERE lower(city) = 'nation_7' AND contains(lower(coalesce(neighborhood, '')), 'zone')
           AND transaction_amount >= 20 AND transaction_amount < 75) AS total
-FROM latest WHERE lower(city) = 'germany' AND contains(lower(coalesce(neighborhood, '')), 'zone')
+FROM latest WHERE lower(city) = 'nation_7' AND contains(lower(coalesce(neighborhood, '')), 'zone')
   AND transaction_amount >= 20 AND transaction_amount < 75
 ORDER BY coalesce(stars, 0) DESC, merchant_id LIMIT 20 OFFSET 0""", "latest"), ids=("F2", "T1"))
 def q_merchant_list_city(spark, sf):
-    return A.list_merchants(latest_of(spark, sf), limit=20, offset=0, city="GERMANY",
+    return A.list_merchants(latest_of(spark, sf), limit=20, offset=0, city="Nation_7",
                             neighborhood="Zone", value_tier_="mid")
 
 
