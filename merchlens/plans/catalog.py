@@ -34,7 +34,7 @@ def register(name: str, sql: str | None = None, ids: tuple[str, ...] = ()):
 
 
 def _load_all() -> None:
-    from merchlens.plans import q_analytics, q_models, q_quality  # noqa: F401
+    from merchlens.plans import q_analytics, q_models, q_quality, q_retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
