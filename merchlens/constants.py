@@ -163,3 +163,15 @@ NO_MATCH_ANSWER = (
     "No matching merchants found. "
     "Configure ANTHROPIC_API_KEY or OPENAI_API_KEY for AI-generated answers."
 )
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — prompt template for the answer model (input text only; no model
+# is called here) and the empty-history placeholder
+# ---------------------------------------------------------------------------
+RAG_PROMPT = (
+    "Conversation history:\n{history}\n\n"
+    "Retrieved merchant intelligence context:\n{context}\n\n"
+    "Current question: {query}\n\n"
+    "Answer using the merchant records above. Be specific, cite merchant names and data points."
+)
+NO_HISTORY = "No prior context."

@@ -15,6 +15,7 @@ from merchlens.operators.filters import infer_filters
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import latest_of, stg_of
 from merchlens.plans.sqltext import cte, dr, dt, tier, with_ctes
+from merchlens.session import ensure_checkpoint_dir
 from merchlens.sources import fixtures as FX
 
 # ---------------------------------------------------------------- SQL twins
@@ -205,8 +206,11 @@ _CH_IDX = _index_ctes("c", "chunks", "doc_id", "text")
 _CH_Q = _query_ctes("c", "qf", "query_id", "query") + [_scores_cte("c", "query_id", "doc_id")]
 
 
-def _merchant_search_sql(static: str = "TRUE") -> str:
-    return with_ctes(f"""
+MS_LOCAL = _CH_IDX + _CH_Q
+
+
+def merchant_search_body(static: str = "TRUE") -> str:
+    return f"""
 SELECT r.query_id, r.rank, r.merchant_id, l.merchant_name, l.city, l.mcc_code, l.stars, l.transaction_amount,
        l.acceptance_method, {dr('r.score', 4)} AS score, r.doc_id, substr(r.text, 1, 300) AS chunk_text,
        substr(r.text, 1, 150) AS chunk_preview
@@ -224,27 +228,32 @@ FROM (
     WHERE {static})
   WHERE b = 1) r
 JOIN latest l ON l.merchant_id = r.merchant_id
-WHERE r.rank <= 5""", "chunks", "qf", local=_CH_IDX + _CH_Q)
+WHERE r.rank <= 5"""
+
+
+def _merchant_search_sql(static: str = "TRUE") -> str:
+    return with_ctes(merchant_search_body(static), "chunks", "qf", local=MS_LOCAL)
 
 
-def _merchant_search(spark, sf, static=None):
+def merchant_search(spark, sf, static=None):
     lat = latest_of(spark, sf)
     ch = C.chunk_merchants(lat)
-    idx = R.tfidf_fit(ch)
+    ensure_checkpoint_dir(spark)
+    idx = R.tfidf_fit(ch, materialize=True)
     qs = infer_filters(FX.questions(spark))
     return R.search_merchants(idx, ch, qs, lat, k=5, static_filter=static)
 
 
 @register("tfidf_search", _merchant_search_sql(), ids=("R9", "F6", "W6", "W7", "J2", "P15"))
 def q_tfidf_search(spark, sf):
-    return _merchant_search(spark, sf)
+    return merchant_search(spark, sf)
 
 
 @register("tfidf_search_filtered",
           _merchant_search_sql("coalesce(c.stars, 0) >= 4.0 AND contains(lower(coalesce(c.neighborhood, '')), 'zone')"),
           ids=("F3", "R9"))
 def q_tfidf_search_filtered(spark, sf):
-    return _merchant_search(spark, sf, static=merchant_filter(min_stars=4.0, neighborhood="zone"))
+    return merchant_search(spark, sf, static=merchant_filter(min_stars=4.0, neighborhood="zone"))
 
 
 @register("infer_filters", with_ctes(
