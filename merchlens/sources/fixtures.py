@@ -133,3 +133,37 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DEDUPE_TIEBREAK = ["ts", "tb1", "tb2", "tb3"]
+
+# Business records (nested in JSON form) derived from suppliers: planted text
+# prices ('two', '0'), null prices / stars / velocity, categories with and
+# without a known MCC (first known category wins), missing neighborhoods.
+BUSINESSES_SQL = """
+SELECT 'biz_' || CAST(s_suppkey AS VARCHAR(20)) AS business_id,
+       s_name AS name,
+       CAST(s_suppkey AS VARCHAR(20)) || ' Main St' AS address,
+       n_name AS city,
+       r_name AS state,
+       CAST(10000 + s_suppkey % 90000 AS VARCHAR(10)) AS postal_code,
+       CAST(40 + s_suppkey % 10 AS DOUBLE) AS latitude,
+       CAST(-90 + s_suppkey % 10 AS DOUBLE) AS longitude,
+       CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE CAST(35 + s_suppkey % 14 AS DOUBLE) / 10 END AS stars,
+       CAST(s_suppkey * 31 % 5000 AS INTEGER) AS review_count,
+       CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE 1 END AS is_open,
+       CASE s_suppkey % 7 WHEN 0 THEN 'Pizza, Italian, Restaurants' WHEN 1 THEN 'Cocktail Bars, Bars'
+            WHEN 2 THEN 'Hot Dogs, Fast Food, Restaurants' WHEN 3 THEN 'Grocery, Food'
+            WHEN 4 THEN 'Gyms, Hotels, Bars' WHEN 5 THEN 'Coffee & Tea, Cafes'
+            ELSE 'Bookstores, Shopping, Arts, Music Venues, Books, Mags' END AS categories,
+       CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'Zone ' || CAST(s_suppkey % 7 AS VARCHAR(5)) END AS neighborhood,
+       CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE CAST(s_suppkey * 7 % 120 AS INTEGER) END AS review_velocity_30d,
+       CASE s_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'two' WHEN 2 THEN '0'
+            ELSE CAST(1 + s_suppkey % 4 AS VARCHAR(2)) END AS price_attr,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'free' ELSE 'no' END AS wifi,
+       s_suppkey % 3 = 0 AS parking_street
+FROM {supplier}
+JOIN {nation} ON s_nationkey = n_nationkey
+JOIN {region} ON n_regionkey = r_regionkey
+"""
+
+
+def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_fixture(spark, sf_dir, BUSINESSES_SQL)
