@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from merchlens import constants as K
 from merchlens.functions.numeric import dround, money_sum
 from merchlens.functions.text import price_symbol, quarter_label, value_tier, year_text
+from merchlens.session import materialize
 
 RAW_COLUMNS = [
     "transaction_id", "merchant_id", "merchant_name", "transaction_amount", "mcc_code",
@@ -150,22 +151,30 @@ def merchant_agg(stg: DataFrame) -> DataFrame:
     )
 
 
-def global_stats(df: DataFrame, col: str) -> tuple[Column, Column]:
-    """(mean, sample stddev) of ``col`` over the whole frame, as scalar subqueries."""
-    s = df.select(F.struct(F.avg(col).alias("mu"), F.stddev_samp(col).alias("sd")).alias("s")).scalar()
-    return s.getField("mu"), s.getField("sd")
+def global_stats(df: DataFrame, col: str) -> Column:
+    """Struct (mu, sd): mean and sample stddev of ``col`` over the whole frame,
+    as ONE scalar subquery (attach it once with ``withColumn`` and read its
+    fields; every ``getField`` on a fresh subquery would plan another one)."""
+    return df.select(F.struct(F.avg(col).alias("mu"), F.stddev_samp(col).alias("sd")).alias("s")).scalar()
 
 
-def mart(stg: DataFrame) -> DataFrame:
+def mart(stg: DataFrame, stage: bool = True) -> DataFrame:
     """Mart with anomaly columns (W2-W5).  Flags are attached to the row itself
-    (ledger L5), equal to the model's self-join when merchant ids are unique."""
+    (ledger L5), equal to the model's self-join when merchant ids are unique.
+
+    With ``stage`` the aggregated mart (one row per merchant attribute set) is
+    written once to the shared checkpoint folder; the global-statistics
+    subquery and the flag pass both read that table, so the transaction-level
+    shuffles run once."""
     agg = merchant_agg(stg)
-    mu, sd = global_stats(agg, "avg_transaction_amount")
+    if stage:
+        agg = materialize(agg, "mart-agg")
     a = F.col("avg_transaction_amount")
+    mu, sd = F.col("_g.mu"), F.col("_g.sd")
     q123 = F.col("q1_transactions") + F.col("q2_transactions") + F.col("q3_transactions")
-    return agg.withColumns({
+    return agg.withColumn("_g", global_stats(agg, "avg_transaction_amount")).withColumns({
         "z_score_amount": dround((a - mu) / F.nullif(sd, F.lit(0.0)), 2),
         "is_high_volume_anomaly": F.coalesce(a > mu + K.MART_HIGH_VOLUME_SD * sd, F.lit(False)),
         # q4 > (q1+q2+q3)/3 * 1.5  <=>  2*q4 > q1+q2+q3, exact in integers
         "is_q4_spending_spike": F.coalesce(F.col("q4_transactions") * 2 > q123, F.lit(False)),
-    })
+    }).drop("_g")
