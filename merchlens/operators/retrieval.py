@@ -29,22 +29,34 @@ from pyspark.sql import functions as F
 from merchlens import constants as K
 from merchlens.functions.numeric import dround
 from merchlens.functions.text import tokens
+from merchlens.session import materialize as _stage
 
 
 @dataclass
 class TfidfIndex:
-    weights: DataFrame   # id, token, tf, weight (L2-normalised)
+    postings: DataFrame  # id, token, tf
     idf: DataFrame       # token, df, idf
+    norms: DataFrame     # id, norm (L2 norm of the tf-idf vector, 0 -> 1)
     id_col: str
 
+    @property
+    def weights(self) -> DataFrame:
+        """``(id, token, tf, weight)``, the L2-normalised tf-idf of every posting."""
+        return (self.postings.join(self.idf.select("token", "idf"), "token").join(self.norms, self.id_col)
+                .select(self.id_col, "token", "tf",
+                        (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")))
+
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """R3 + R4: ``(id, token, tf_count, n_tokens, tf)`` over the whole text."""
+    """R3 + R4: ``(id, token, tf_count, n_tokens, tf)`` over the whole text.
+
+    The document length rides along as a grouping key (it is fixed per
+    document), so the aggregate carries a single count buffer."""
     t = docs.select(id_col, tokens(text_col).alias("_t"))
-    ex = t.select(id_col, F.size("_t").alias("_n"), F.explode("_t").alias("token"))
-    return (ex.groupBy(id_col, "token")
-            .agg(F.count(F.lit(1)).alias("tf_count"), F.max("_n").alias("n_tokens"))
-            .withColumn("tf", F.col("tf_count") / F.col("n_tokens")))
+    ex = t.select(id_col, F.size("_t").alias("n_tokens"), F.explode("_t").alias("token"))
+    return (ex.groupBy(id_col, "n_tokens", "token")
+            .agg(F.count(F.lit(1)).alias("tf_count"))
+            .select(id_col, "token", "tf_count", "n_tokens", (F.col("tf_count") / F.col("n_tokens")).alias("tf")))
 
 
 def idf_table(post: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -59,39 +71,61 @@ def _l2(df: DataFrame, key: str, w: str = "w") -> DataFrame:
     return df.withColumn("weight", F.col(w) / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0))).drop(w)
 
 
-def tfidf_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              materialize: bool = False) -> TfidfIndex:
-    """Postings, idf and L2-normalised weights.
+def doc_norms(post: DataFrame, idf: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, norm)``: L2 norm of each document's tf-idf vector — a hash
+    aggregate by document (no sort), one row per document."""
+    w = post.join(idf.select("token", "idf"), "token").select(id_col, (F.col("tf") * F.col("idf")).alias("w"))
+    return (w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+            .select(id_col, F.coalesce(F.nullif(F.col("_n"), F.lit(0.0)), F.lit(1.0)).alias("norm")))
+
 
-    ``materialize=True`` checkpoints both tables into the shared checkpoint dir
-    (cuts the lineage so searches do not re-tokenise the corpus, and survives
-    executor loss)."""
-    post = postings(docs, id_col, text_col)
+def tfidf_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              materialize: bool = True) -> TfidfIndex:
+    """Postings, idf and per-document norms.
+
+    Building an index is a write-once step: with ``materialize`` (default) the
+    corpus is tokenised ONCE into a postings table under the shared checkpoint
+    dir and idf and norms are derived from it and written too, so searches
+    read these tables instead of re-tokenising the corpus (each consumer of a
+    lazy postings plan would re-run the regex over every text).  Written
+    tables also cut the lineage: a lost executor re-reads files rather than
+    re-running the shuffles.  No full weights table is written: a search only
+    touches the postings of its query tokens and divides by the norm."""
+    post = postings(docs, id_col, text_col).select(id_col, "token", "tf")
+    if materialize:
+        post = _stage(post, "tfidf-postings")
     idf = idf_table(post, docs, id_col)
-    w = (post.join(idf.select("token", "idf"), "token")
-         .select(id_col, "token", "tf", (F.col("tf") * F.col("idf")).alias("w")))
-    weights = _l2(w, id_col)
     if materialize:
-        idf = idf.checkpoint()
-        weights = weights.checkpoint()
-    return TfidfIndex(weights, idf, id_col)
+        idf = _stage(idf, "tfidf-idf")
+    norms = doc_norms(post, idf, id_col)
+    if materialize:
+        norms = _stage(norms, "tfidf-norms")
+    return TfidfIndex(post, idf, norms, id_col)
 
 
 def query_weights(index: TfidfIndex, questions: DataFrame, qid: str = "query_id",
                   text_col: str = "query") -> DataFrame:
-    """Query vector; unknown tokens take idf 1 and still count in the norm."""
-    qp = postings(questions, qid, text_col)
+    """Query vector ``(qid, token, q_weight, idf)``; unknown tokens take idf 1
+    and still count in the norm (their ``idf`` column stays null)."""
+    qp = postings(questions, qid, text_col).select(qid, "token", "tf")
     qw = (qp.join(index.idf.select("token", "idf"), "token", "left")
-          .select(qid, "token", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(1.0))).alias("w")))
+          .select(qid, "token", "idf", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(1.0))).alias("w")))
     return _l2(qw, qid).withColumnRenamed("weight", "q_weight")
 
 
 def scores(index: TfidfIndex, questions: DataFrame, qid: str = "query_id", text_col: str = "query") -> DataFrame:
-    """Sparse dot product of query and document weights, per (query, doc) sharing a token."""
-    qw = query_weights(index, questions, qid, text_col)
-    return (qw.join(index.weights.select(index.id_col, "token", "weight"), "token")
-            .groupBy(qid, index.id_col)
-            .agg(F.sum(F.col("q_weight") * F.col("weight")).alias("score")))
+    """Sparse dot product of query and document weights, per (query, doc) sharing a token.
+
+    Only postings of tokens that occur in the question batch survive the join
+    (AQE turns it into a broadcast of the query side from its measured size);
+    the idf comes along with the query weights, and the document norm is
+    applied once per (query, doc) after the sum."""
+    idc = index.id_col
+    qw = query_weights(index, questions, qid, text_col).where(F.col("idf").isNotNull())
+    dot = (qw.join(index.postings.select(idc, "token", "tf"), "token")
+           .groupBy(qid, idc)
+           .agg(F.sum(F.col("q_weight") * F.col("tf") * F.col("idf")).alias("_dot")))
+    return dot.join(index.norms, idc).select(qid, idc, (F.col("_dot") / F.col("norm")).alias("score"))
 
 
 def _rank_key(score: Column) -> Column:
@@ -126,13 +160,19 @@ def top_k_padded(matched: DataFrame, questions: DataFrame, candidates: Column, k
     n_hits = F.coalesce(F.size("_hits"), F.lit(0))
     pad = F.slice(F.filter(cands, lambda c: ~F.coalesce(F.array_contains(hit_ids, c[ex]), F.lit(False))), 1,
                   F.greatest(F.lit(k) - n_hits, F.lit(0)))
-    hit_rows = q.select(qid, F.explode("_hits").alias("h")).select(
-        qid, F.col("h._rn").alias("rank"), F.col(f"h.{id_col}").alias(id_col), F.col("h.score").alias("score"),
-        *[F.col(f"h.{c}").alias(c) for c in extra])
-    pad_rows = q.select(qid, n_hits.alias("_nh"), F.posexplode(pad).alias("_p", "c")).select(
-        qid, (F.col("_nh") + F.col("_p") + 1).alias("rank"), F.col(f"c.{id_col}").alias(id_col),
-        F.lit(0.0).alias("score"), *[F.col(f"c.{c}").alias(c) for c in extra])
-    return hit_rows.unionByName(pad_rows)
+    # hits then padding as ONE array per query, exploded once: a union of two
+    # selects over ``q`` would run the whole scoring plan twice
+    types = {c: matched.schema[c].dataType for c in [id_col, *extra]}
+
+    def row(rank: Column, src: Column, score: Column) -> Column:
+        return F.struct(rank.cast("int").alias("rank"), src[id_col].cast(types[id_col]).alias(id_col),
+                        score.cast("double").alias("score"),
+                        *[src[c].cast(types[c]).alias(c) for c in extra])
+
+    hit_rows = F.transform(F.coalesce(F.col("_hits"), F.array()), lambda h: row(h["_rn"], h, h["score"]))
+    pad_rows = F.transform(pad, lambda c, i: row(n_hits + i + 1, c, F.lit(0.0)))
+    out = q.select(qid, F.explode(F.concat(hit_rows, pad_rows)).alias("r"))
+    return out.select(qid, "r.rank", f"r.{id_col}", "r.score", *[f"r.{c}" for c in extra])
 
 
 def search_documents(index: TfidfIndex, docs: DataFrame, questions: DataFrame, k: int = K.DEFAULT_TOP_K,
