@@ -128,7 +128,7 @@ def precision_recall_at_k(retrieved: DataFrame, relevant: DataFrame, k: int = K.
                     F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"),
                     dround(F.coalesce("hits", F.lit(0)) / F.lit(float(k)), 4).alias("precision_at_k"),
                     F.when(F.coalesce("n_relevant", F.lit(0)) == 0, F.lit(0.0))
-                    .otherwise(dround(F.col("hits") / F.col("n_relevant"), 4)).alias("recall_at_k")))
+                    .otherwise(dround(F.coalesce("hits", F.lit(0)) / F.col("n_relevant"), 4)).alias("recall_at_k")))
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:

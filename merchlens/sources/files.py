@@ -117,10 +117,17 @@ def read_staging_csv(spark: SparkSession, path: str, array_sep: str = "|") -> tu
 
 
 def read_business_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nested business JSON lines with a fixed schema; unreadable lines go to rejects."""
+    """Nested business JSON lines with a fixed schema; unreadable lines go to rejects.
+
+    Lines are read as text and parsed with ``from_json`` (PERMISSIVE, corrupt
+    text kept), so any projection — a bare count, or only the rejects — is a
+    valid query; the JSON file source refuses plans that touch nothing but its
+    corrupt-record column.  Blank lines are skipped, as the JSON source does."""
     schema = T.StructType(BUSINESS_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    df = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE",
+                                                    "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
+                      ).select("r.*")
     return (df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"),
             df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record"))
 
