@@ -9,6 +9,7 @@ reader can audit them against the reference behaviour in one place.
 # FIXED VALUES — acceptance methods (6 values)
 # ---------------------------------------------------------------------------
 ACCEPTANCE_METHODS = ["chip", "contactless", "online", "swipe", "mobile_pay", "keyed"]
+DEFAULT_ACCEPTANCE = "chip"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — three different valid-MCC lists, one per check (ledger L16)

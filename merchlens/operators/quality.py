@@ -310,3 +310,39 @@ def freshness_report(records: DataFrame) -> DataFrame:
         total.alias("total"), fresh.alias("fresh"), warn.alias("stale_warning"), crit.alias("stale_critical"),
         pct_text(F.coalesce(safe_div(fresh * 100.0, total), F.lit(0.0)), 1).alias("freshness_pct"),
     )
+
+
+# --- F7: ingest validation of incoming transaction records ---
+
+# Fields a transaction record must carry (null = missing on a fixed schema, L24).
+INGEST_REQUIRED = ["merchant_id", "merchant_name", "transaction_amount", "mcc_code", "mcc_description",
+                   "city", "state", "latitude", "longitude"]
+
+
+def ingest_reason(df: DataFrame) -> Column:
+    """'; '-joined reasons a record fails the transaction model, '' when it passes:
+    missing required fields (in field order), a negative amount, an acceptance
+    method outside the enum (case-sensitive; null takes the default 'chip')."""
+    parts = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in INGEST_REQUIRED]
+    parts.append(F.when(F.col("transaction_amount") < 0, F.lit("transaction_amount < 0")))
+    acc = F.col("acceptance_method")
+    parts.append(F.when(acc.isNotNull() & ~acc.isin(*K.ACCEPTANCE_METHODS), F.lit("acceptance_method not allowed")))
+    return F.concat_ws("; ", *parts)
+
+
+def validate_ingest(df: DataFrame) -> DataFrame:
+    """Every record with ``is_valid`` / ``reason`` and the model's coercions
+    (MCC zero-padded without truncation, default acceptance method) — one
+    narrow projection, no shuffle."""
+    r = ingest_reason(df)
+    return df.withColumns({
+        "reason": F.nullif(r, F.lit("")),
+        "mcc_code": mcc_pad("mcc_code"),
+        "acceptance_method": F.coalesce(F.col("acceptance_method"), F.lit(K.DEFAULT_ACCEPTANCE)),
+    }).withColumn("is_valid", F.col("reason").isNull())
+
+
+def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejects-with-reason) over the same validated frame."""
+    v = validate_ingest(df)
+    return v.where("is_valid").drop("is_valid", "reason"), v.where(~F.col("is_valid")).drop("is_valid")

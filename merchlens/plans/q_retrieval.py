@@ -347,3 +347,31 @@ def q_embed_batch(spark, sf):
     out = D.embed(docs, "text", lambda: D.hashing_embedder(64))
     return out.select("doc_id", F.size("embedding").alias("dims"),
                       dround(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
+@register("chunk_budget_compare", ids=("R16",))
+def q_chunk_budget_compare(spark, sf):
+    """For each chunk budget, chunk -> index -> unfiltered search -> precision /
+    recall at 5, where a merchant is relevant to a question when its MCC is the
+    one the question's keywords name."""
+    from merchlens.session import materialize
+    lat = materialize(latest_of(spark, sf), "latest")
+    qs = infer_filters(FX.questions(spark))
+    relevant = (qs.where(F.col("f_mcc_code").isNotNull())
+                .join(lat.select("merchant_id", F.col("mcc_code").alias("f_mcc_code")), "f_mcc_code")
+                .select("query_id", "merchant_id"))
+    plain = qs.withColumns({c: F.lit(None).cast("string") for c in ("f_city", "f_mcc_code", "f_value_tier")})
+    out = None
+    for budget in K.CHUNK_BUDGETS:
+        ch = C.chunk_merchants(lat, budget)
+        hits = R.search_merchants(R.tfidf_fit(ch), ch, plain, lat, k=5)
+        pr = D.precision_recall_at_k(hits, relevant, k=5, id_col="merchant_id").where("n_relevant > 0")
+        row = (pr.agg(dround(F.avg("precision_at_k"), 4).alias("mean_precision_at_k"),
+                      dround(F.avg("recall_at_k"), 4).alias("mean_recall_at_k"),
+                      F.count(F.lit(1)).alias("n_questions"))
+               .select(F.lit(budget).alias("budget"), "*"))
+        size = ch.select(F.struct(F.count(F.lit(1)).alias("n_chunks"),
+                                  dround(F.avg(F.length("text")), 2).alias("avg_chunk_chars")).alias("s")).scalar()
+        row = row.withColumn("_s", size).select("*", "_s.n_chunks", "_s.avg_chunk_chars").drop("_s")
+        out = row if out is None else out.unionByName(row)
+    return out

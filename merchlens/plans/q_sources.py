@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from merchlens import constants as K
 from merchlens.operators import chunks as C
 from merchlens.operators import mapping as P
+from merchlens.operators import quality as Q
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import latest_of, stg_of
 from merchlens.plans.sqltext import cte, sql_list, with_ctes
@@ -15,6 +16,7 @@ from merchlens.session import scratch_dir
 from merchlens.sources import files as S
 from merchlens.sources import fixtures as FX
 from merchlens.sources.upsert import upsert
+from merchlens.streaming import ingest as I
 
 
 def _values(rows, cols) -> str:
@@ -242,3 +244,52 @@ def q_event_envelope(spark, sf):
                          F.col("e.payload.transaction_amount").alias("transaction_amount"),
                          F.col("e.payload.acceptance_method").alias("acceptance_method"),
                          F.col("e.timestamp_ms").alias("timestamp_ms"))
+
+
+# ---------------------------------------------------------------- ingest validation, batch jobs
+
+def _reason_sql() -> str:
+    parts = [f"CASE WHEN {c} IS NULL THEN 'missing {c}' END" for c in Q.INGEST_REQUIRED]
+    parts.append("CASE WHEN transaction_amount < 0 THEN 'transaction_amount < 0' END")
+    parts.append(f"CASE WHEN acceptance_method IS NOT NULL AND acceptance_method NOT IN "
+                 f"({sql_list(K.ACCEPTANCE_METHODS)}) THEN 'acceptance_method not allowed' END")
+    return "concat_ws('; ', " + ", ".join(parts) + ")"
+
+
+@register("ingest_validate", with_ctes(f"""
+SELECT transaction_id, merchant_id,
+       CASE WHEN length(mcc_code) < 4 THEN lpad(mcc_code, 4, '0') ELSE mcc_code END AS mcc_code,
+       coalesce(acceptance_method, '{K.DEFAULT_ACCEPTANCE}') AS acceptance_method,
+       nullif({_reason_sql()}, '') AS reason,
+       nullif({_reason_sql()}, '') IS NULL AS is_valid
+FROM raw_txn""", "raw_txn"), ids=("F7",))
+def q_ingest_validate(spark, sf):
+    return Q.validate_ingest(FX.raw_txn(spark, sf)).select(
+        "transaction_id", "merchant_id", "mcc_code", "acceptance_method", "reason", "is_valid")
+
+
+@register("batch_load_job", ids=("S3",))
+def q_batch_load_job(spark, sf):
+    staging, archive = scratch_dir(spark, "staging-in"), scratch_dir(spark, "staging-archive")
+    S.write_staging_csv(FX.raw_txn(spark, sf).repartition(6), staging)
+    raw_p, rej_p = scratch_dir(spark, "loaded"), scratch_dir(spark, "load-rejects")
+    I.start_batch_load(spark, staging, archive, raw_p, rej_p, scratch_dir(spark, "ckpt"), max_files=2) \
+        .awaitTermination()
+    return spark.read.parquet(raw_p).drop("epoch")
+
+
+@register("eval_store_roundtrip", ids=("S11",))
+def q_eval_store_roundtrip(spark, sf):
+    from merchlens.plans.q_rag import q_eval_rows
+    rows = q_eval_rows(spark, sf)
+    path = scratch_dir(spark, "eval-store")
+    S.append_json(rows, path)
+    # an unreadable line in the store is dropped on load, the rest still loads
+    spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(path)
+    return S.read_json_records(spark, path, rows.schema)
+
+
+@register("rebuild_counts", ids=("S16",))
+def q_rebuild_counts(spark, sf):
+    from merchlens.plans.jobs import rebuild
+    return rebuild(spark, FX.raw_txn(spark, sf), scratch_dir(spark, "rebuild"), tiebreak=FX.DEDUPE_TIEBREAK)

@@ -56,7 +56,8 @@ def staging_csv_frame(df: DataFrame, ts_col: str = "ts", array_sep: str = "|") -
 
 def write_staging_csv(df: DataFrame, path: str, ts_col: str = "ts", array_sep: str = "|") -> None:
     """Write transactions as header CSV (one file per partition, many writers)."""
-    staging_csv_frame(df, ts_col, array_sep).write.mode("overwrite").option("header", True).csv(path)
+    (staging_csv_frame(df, ts_col, array_sep).write.mode("overwrite").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 CSV_STRING_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in STAGING_CSV_COLUMNS]

@@ -149,3 +149,34 @@ def alerts(stream: DataFrame, stats: DataFrame, sd_mult: float = 2.0) -> DataFra
                                                                                               F.lit(0.0)))
             .select("transaction_id", "merchant_id", "transaction_amount", "mean_amount", "sd_amount",
                     F.col("ts")))
+
+
+def start_batch_load(spark: SparkSession, staging_dir: str, archive_dir: str, raw_path: str, rejects_path: str,
+                     checkpoint: str, max_files: int = 1000, array_sep: str = "|") -> StreamingQuery:
+    """S3: load every staged CSV file once, then archive it.
+
+    A file-stream source over the staging folder: the checkpoint's file log is
+    the record of processed files (a restart never loads a file twice) and
+    ``cleanSource=archive`` moves processed files to ``archive_dir`` (Spark
+    archives a batch's files when the next batch starts, so the last batch's
+    files move on the next run).  Each micro-batch is parsed once (persisted
+    for its two writes) and written to an epoch folder that a replay
+    overwrites, so a retried batch never duplicates rows."""
+    from merchlens.sources.files import CSV_STRING_SCHEMA, parse_staging_rows
+
+    stream = (spark.readStream.schema(CSV_STRING_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record")
+              .option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
+              .option("maxFilesPerTrigger", max_files).csv(staging_dir))
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.persist()
+        try:
+            valid, rejects = parse_staging_rows(df, array_sep)
+            valid.write.mode("overwrite").parquet(f"{raw_path}/epoch={epoch}")
+            rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
+        finally:
+            df.unpersist()
+
+    return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

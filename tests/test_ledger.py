@@ -184,3 +184,18 @@ def test_n1_amount_outliers_need_more_than_three_rows(spark):
     out = N.amount_outliers(many).collect()
     assert [r["merchant_id"] for r in out] == ["x"] and out[0]["direction"] == "high"
     assert out[0]["narrative"].startswith("X has an unusually high average transaction of $500.00")
+
+
+def test_f7_split_valid_reasons_and_coercions(spark):
+    cols = ("transaction_id string, merchant_id string, merchant_name string, transaction_amount double, "
+            "mcc_code string, mcc_description string, city string, state string, latitude double, "
+            "longitude double, acceptance_method string")
+    rows = [("t1", "m", "A", 5.0, "742", "d", "c", "s", 1.0, 2.0, None),
+            ("t2", "m", "A", -1.0, "5812", "d", None, "s", 1.0, 2.0, "CHIP"),
+            ("t3", "m", "A", 0.0, "12345", "d", "c", "s", 1.0, 2.0, "online")]
+    valid, rejects = Q.split_valid(spark.createDataFrame(rows, cols))
+    v = {r["transaction_id"]: (r["mcc_code"], r["acceptance_method"]) for r in valid.collect()}
+    assert v == {"t1": ("0742", "chip"), "t3": ("12345", "online")}
+    rj = rejects.collect()
+    assert len(rj) == 1 and rj[0]["reason"] == (
+        "missing city; transaction_amount < 0; acceptance_method not allowed")
