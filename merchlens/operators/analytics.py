@@ -142,10 +142,10 @@ def anomaly_flags(df: DataFrame, limit: int | None = 10) -> DataFrame:
         F.when(F.count(a) > 1, F.stddev_samp(a)).otherwise(F.lit(1.0)).alias("sd"),
         F.avg(vel.cast("double")).alias("mv"),
     )).scalar()
-    mv = F.coalesce(F.nullif(stats.getField("mv"), F.lit(0.0)), F.lit(1.0))
-    z = F.coalesce((a - stats.getField("mu")) / F.nullif(stats.getField("sd"), F.lit(0.0)), F.lit(0.0))
+    mv = F.coalesce(F.nullif(F.col("_st.mv"), F.lit(0.0)), F.lit(1.0))
+    z = F.coalesce((a - F.col("_st.mu")) / F.nullif(F.col("_st.sd"), F.lit(0.0)), F.lit(0.0))
     ratio = vel / mv
-    out = (df.select("merchant_name", "merchant_id", "city", "mcc_description", "transaction_amount",
+    out = (df.withColumn("_st", stats).select("merchant_name", "merchant_id", "city", "mcc_description", "transaction_amount",
                      z.alias("_z"), F.col("review_velocity_30d").alias("review_velocity"), ratio.alias("_r"))
            .where((F.abs("_z") >= K.ANALYTICS_FLAG_Z) | (F.col("_r") >= K.ANALYTICS_VELOCITY_RATIO))
            .select("merchant_name", "merchant_id", "city", "mcc_description", "transaction_amount",
@@ -161,8 +161,8 @@ def anomaly_flags(df: DataFrame, limit: int | None = 10) -> DataFrame:
 def q4_spending(df: DataFrame, limit: int | None = 10) -> DataFrame:
     """The reference's 'Q4' proxy — amount above 1.3 x the corpus mean (dates unused)."""
     a = F.col("transaction_amount")
-    mu = df.select(F.avg(a)).scalar()
-    out = (df.where(a > mu * K.Q4_PROXY_MULT)
+    mu = F.col("_mu")
+    out = (df.withColumn("_mu", df.select(F.avg(a)).scalar()).where(a > mu * K.Q4_PROXY_MULT)
            .select("merchant_name", "merchant_id", "city", "mcc_description", a.alias("avg_transaction"),
                    pct_text((a - mu) * 100.0 / mu, 0).alias("above_mean_by_pct"))
            .orderBy(F.col("avg_transaction").desc(), F.col("merchant_id")))

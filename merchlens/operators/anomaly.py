@@ -1,8 +1,10 @@
 """Anomaly detection jobs.
 
-Each detector computes its global statistics once as a scalar subquery over
-the input (partial aggregation, one row) and then filters the rows — a single
-narrow pass over the data, no shuffle, no window over the whole table.
+Each detector computes its global statistics once as ONE scalar subquery over
+the input (partial aggregation, one row), attached as a struct column and read
+field by field (each ``getField`` on the bare subquery would plan another
+subquery), then filters the rows — a narrow pass, no shuffle, no window over
+the whole table.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ def amount_outliers(df: DataFrame, z_threshold: float = K.ANOMALY_Z) -> DataFram
     a = F.coalesce(F.col("transaction_amount").cast("double"), F.lit(0.0))
     st = df.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mu"),
                             F.stddev_samp(a).alias("sd")).alias("s")).scalar()
-    mu = st.getField("mu")
-    sd = F.coalesce(F.nullif(st.getField("sd"), F.lit(0.0)), F.lit(1.0))
+    mu = F.col("_st.mu")
+    sd = F.coalesce(F.nullif(F.col("_st.sd"), F.lit(0.0)), F.lit(1.0))
     z = (a - mu) / sd
     direction = F.when(z > 0, F.lit("high")).otherwise(F.lit("low"))
-    out = df.select("merchant_id", F.col("merchant_name"), a.alias("value"), z.alias("_z"), mu.alias("_mu"),
-                    direction.alias("direction")) \
-        .where((st.getField("n") > 3) & (F.abs(F.col("_z")) >= z_threshold))
+    out = df.withColumn("_st", st).select(
+        "merchant_id", F.col("merchant_name"), a.alias("value"), z.alias("_z"), mu.alias("_mu"),
+        direction.alias("direction"), F.col("_st.n").alias("_n")) \
+        .where((F.col("_n") > 3) & (F.abs(F.col("_z")) >= z_threshold))
     narrative = F.concat(
         _name(), F.lit(" has an unusually "), F.col("direction"), F.lit(" average transaction of $"),
         dec_text("value", 2), F.lit(" (global mean: $"), dec_text("_mu", 2), F.lit(", z="), dec_text("_z", 2),
@@ -46,9 +49,10 @@ def velocity_spikes(df: DataFrame, mult: float = K.VELOCITY_SPIKE_MULT,
     """Velocity > 3 x mean and > 10 (mean 0 -> 1), needs more than 3 rows."""
     v = F.coalesce(F.col("review_velocity_30d"), F.lit(0)).cast("long")
     st = df.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg(v.cast("double")).alias("mv")).alias("s")).scalar()
-    mv = F.coalesce(F.nullif(st.getField("mv"), F.lit(0.0)), F.lit(1.0))
-    out = df.select("merchant_id", "merchant_name", v.alias("velocity"), mv.alias("_mv")) \
-        .where((st.getField("n") > 3) & (F.col("velocity") > F.col("_mv") * mult) & (F.col("velocity") > floor))
+    mv = F.coalesce(F.nullif(F.col("_st.mv"), F.lit(0.0)), F.lit(1.0))
+    out = df.withColumn("_st", st).select(
+        "merchant_id", "merchant_name", v.alias("velocity"), mv.alias("_mv"), F.col("_st.n").alias("_n")) \
+        .where((F.col("_n") > 3) & (F.col("velocity") > F.col("_mv") * mult) & (F.col("velocity") > floor))
     ratio = F.col("velocity") / F.col("_mv")
     narrative = F.concat(
         _name(), F.lit(" is receiving "), F.col("velocity").cast("string"), F.lit(" reviews/30d — "),
@@ -66,11 +70,11 @@ def low_stars(df: DataFrame, z_threshold: float = K.ANOMALY_Z) -> DataFrame:
     rated = F.when(F.coalesce(s, F.lit(0.0)) != 0, s)
     st = df.select(F.struct(F.count(rated).alias("n"), F.avg(rated).alias("mu"),
                             F.stddev_samp(rated).alias("sd")).alias("s")).scalar()
-    sd = F.when(st.getField("n") > 1, F.coalesce(F.nullif(st.getField("sd"), F.lit(0.0)), F.lit(K.LOW_STAR_DEFAULT_SD))) \
+    sd = F.when(F.col("_st.n") > 1, F.coalesce(F.nullif(F.col("_st.sd"), F.lit(0.0)), F.lit(K.LOW_STAR_DEFAULT_SD))) \
         .otherwise(F.lit(K.LOW_STAR_DEFAULT_SD))
-    z = (s - st.getField("mu")) / sd
-    out = df.select("merchant_id", "merchant_name", s.alias("stars"), z.alias("_z"),
-                    st.getField("mu").alias("_mu")) \
+    z = (s - F.col("_st.mu")) / sd
+    out = df.withColumn("_st", st).select("merchant_id", "merchant_name", s.alias("stars"), z.alias("_z"),
+                                          F.col("_st.mu").alias("_mu")) \
         .where((F.col("stars") > 0) & (F.col("_z") < -z_threshold))
     narrative = F.concat(
         _name(), F.lit(" has a significantly low rating of "), F.col("stars").cast("string"),
@@ -122,16 +126,19 @@ def health_summary(merchants: DataFrame, as_of: str, task: str = "pipeline_healt
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "merchant_id", "narrative"))),
                                           lambda x: F.concat(F.lit("  • "), x["narrative"])), "\n")).scalar())
     fstat = fr.select(F.struct("status", "fresh", "stale_critical")).scalar()
-    anomaly_part = F.when(total > 0, F.concat(
-        F.lit("Anomalies Detected: "), total.cast("string"), F.lit(" total | "), counts_text,
-        F.lit("\n\nTop anomalies:\n"), top3)).otherwise(F.lit("Anomalies Detected: None"))
+    # every subquery attached once as a column, then read by name
+    base = v.withColumns({"_f": fstat, "_total": total, "_counts": counts_text, "_top3": top3})
+    n = F.col("_total")
+    anomaly_part = F.when(n > 0, F.concat(
+        F.lit("Anomalies Detected: "), n.cast("string"), F.lit(" total | "), F.col("_counts"),
+        F.lit("\n\nTop anomalies:\n"), F.col("_top3"))).otherwise(F.lit("Anomalies Detected: None"))
     text = F.concat(
         F.lit(f"Agent Pipeline Summary — Task: {task}\n\n"),
         F.lit("Data Validation: "), F.upper("status"), F.lit(" | "), F.col("passed").cast("string"), F.lit("/"),
         F.col("total").cast("string"), F.lit(" records passed ("), F.col("pass_rate"), F.lit(")\n"),
-        F.lit("Data Freshness: "), F.upper(fstat.getField("status")), F.lit(" | "),
-        fstat.getField("fresh").cast("string"), F.lit(" fresh, "), fstat.getField("stale_critical").cast("string"),
+        F.lit("Data Freshness: "), F.upper(F.col("_f.status")), F.lit(" | "),
+        F.col("_f.fresh").cast("string"), F.lit(" fresh, "), F.col("_f.stale_critical").cast("string"),
         F.lit(" critical\n"), anomaly_part)
-    return v.select(F.col("status").alias("validation_status"), "pass_rate",
-                    fstat.getField("status").alias("freshness_status"),
-                    total.alias("anomaly_count"), text.alias("summary"))
+    return base.select(F.col("status").alias("validation_status"), "pass_rate",
+                       F.col("_f.status").alias("freshness_status"),
+                       n.alias("anomaly_count"), text.alias("summary"))

@@ -16,8 +16,13 @@ def stg_of(spark, sf):
 
 
 def latest_of(spark, sf):
+    """The merchant corpus (latest staged row per merchant, L23), written once
+    under the shared checkpoint dir: analytics, anomaly, chunking and search
+    jobs read it several times (global statistics, then a row pass), and a
+    written table spares re-running the transaction-level shuffles each time."""
     from merchlens.operators.analytics import latest_per_merchant
-    return latest_per_merchant(stg_of(spark, sf))
+    from merchlens.session import materialize
+    return materialize(latest_per_merchant(stg_of(spark, sf)), "latest-per-merchant")
 
 
 RAW_SQL_COLS = ", ".join(M.RAW_COLUMNS)
