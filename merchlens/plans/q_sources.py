@@ -289,7 +289,7 @@ def q_eval_store_roundtrip(spark, sf):
     return S.read_json_records(spark, path, rows.schema)
 
 
-@register("rebuild_counts", ids=("S16",))
+@register("rebuild_counts", ids=("S16", "T6"))
 def q_rebuild_counts(spark, sf):
     from merchlens.plans.jobs import rebuild
     return rebuild(spark, FX.raw_txn(spark, sf), scratch_dir(spark, "rebuild"), tiebreak=FX.DEDUPE_TIEBREAK)
