@@ -12,7 +12,6 @@ from merchlens.plans.q_models import stg_of
 from merchlens.plans.sqltext import dr, with_ctes
 from merchlens.session import scratch_dir
 from merchlens.sources import fixtures as FX
-from merchlens.sources.upsert import read_latest
 from merchlens.streaming import ingest as I
 from merchlens.streaming import windows as W
 
@@ -101,7 +100,7 @@ def q_stream_sessions(spark, sf):
 def q_stream_latest(spark, sf):
     table = scratch_dir(spark, "latest-state")
     _run(I.start_latest_state(_txn_stream(spark, sf), table, scratch_dir(spark, "ckpt")))
-    return read_latest(spark, table)
+    return I.read_latest_state(spark, table)
 
 
 @register("stream_alerts", ids=("ST6",))

@@ -1,4 +1,4 @@
-"""Keyed upsert (S7, S12, J7) and versioned Parquet tables.
+"""Keyed upsert (S7, S12, J7) and merge-on-read keyed tables.
 
 ``upsert`` is a pure DataFrame operation: both sides are shuffled on the key
 once (anti join) and unioned — no per-row merge, no driver loop.  Two modes
@@ -6,15 +6,24 @@ once (anti join) and unioned — no per-row merge, no driver loop.  Two modes
 are absent).  Duplicate keys inside one batch of updates are resolved first by
 ``order_by`` (latest wins).
 
-``upsert_parquet`` persists the result without an in-place overwrite of the
-files being read: each write goes to a new ``v=<n>`` folder under the table
-root and readers take the highest version (a lakehouse MERGE can replace this
-when such a format is on the classpath).
+Persisted keyed tables (stream sinks) are merge-on-read, so a write costs
+O(batch), never a rewrite of the whole table:
+
+* ``log_append`` writes one batch to ``<root>/log/epoch=<n>``; a replayed
+  micro-batch overwrites its own folder, so retries are idempotent;
+* ``log_read`` resolves the newest row per key (caller's ordering, which may
+  use the batch number ``_epoch``) over the latest snapshot plus the log
+  epochs after it — partition pruning skips the folded epochs;
+* ``log_compact`` folds snapshot + newer epochs into ``<root>/snap/upto=<n>``
+  (a maintenance job; old folders can then be expired by retention).
+
+A lakehouse MERGE can replace this when such a format is on the classpath.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from merchlens.operators.models import latest_per_key
 
@@ -38,31 +47,50 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
+def _numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Committed ``<prefix><n>`` sub-folders (those with a _SUCCESS marker), sorted."""
+    fs, p = _fs(spark, folder)
     if not fs.exists(p):
         return []
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name[2:]))
+        if name.startswith(prefix) and fs.exists(st.getPath().suffix("/_SUCCESS")):
+            out.append(int(name[len(prefix):]))
     return sorted(out)
 
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
-    v = _versions(spark, root)
-    return spark.read.parquet(f"{root}/v={v[-1]}") if v else None
+def log_append(df: DataFrame, root: str, epoch: int) -> None:
+    """Write one batch of keyed rows as log epoch ``epoch`` (idempotent on replay)."""
+    df.write.mode("overwrite").parquet(f"{root}/log/epoch={epoch}")
+
+
+def log_read(spark: SparkSession, root: str, key: str | list[str], order: list[Column],
+             keep_epoch: bool = False) -> DataFrame | None:
+    """Newest row per key under ``order`` across snapshot + later log epochs."""
+    keys = [key] if isinstance(key, str) else list(key)
+    snaps = _numbered(spark, f"{root}/snap", "upto=")
+    epochs = _numbered(spark, f"{root}/log", "epoch=")
+    lo = snaps[-1] if snaps else -1
+    parts = []
+    if snaps:
+        parts.append(spark.read.parquet(f"{root}/snap/upto={lo}"))
+    if epochs and epochs[-1] > lo:
+        parts.append(spark.read.parquet(f"{root}/log").where(F.col("epoch") > lo)
+                     .withColumnRenamed("epoch", "_epoch"))
+    if not parts:
+        return None
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = latest_per_key(rows, keys, order)
+    return out if keep_epoch else out.drop("_epoch")
 
 
-def upsert_parquet(spark: SparkSession, root: str, updates: DataFrame, key: str | list[str],
-                   mode: str = "replace", order_by: list[Column] | None = None) -> DataFrame:
-    """Upsert ``updates`` into the table at ``root`` and return the new version."""
-    current = read_latest(spark, root)
-    result = updates if current is None else upsert(current, updates, key, mode, order_by)
-    if current is None and order_by:
-        keys = [key] if isinstance(key, str) else list(key)
-        result = latest_per_key(updates, keys, order_by)
-    nxt = (_versions(spark, root) or [0])[-1] + 1
-    result.write.mode("error").parquet(f"{root}/v={nxt}")
-    return spark.read.parquet(f"{root}/v={nxt}")
+def log_compact(spark: SparkSession, root: str, key: str | list[str], order: list[Column]) -> int | None:
+    """Fold the table into a snapshot covering every committed epoch; returns its epoch."""
+    epochs = _numbered(spark, f"{root}/log", "epoch=")
+    snaps = _numbered(spark, f"{root}/snap", "upto=")
+    if not epochs or (snaps and snaps[-1] >= epochs[-1]):
+        return snaps[-1] if snaps else None
+    merged = log_read(spark, root, key, order, keep_epoch=True)
+    merged.write.mode("overwrite").parquet(f"{root}/snap/upto={epochs[-1]}")
+    return epochs[-1]

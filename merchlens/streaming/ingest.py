@@ -5,9 +5,10 @@ shape of a Kafka record value.  ``kafka_source`` returns the production reader
 (earliest offsets, bounded batches); tests and the registered queries feed the
 same ``value`` column from files (no Kafka jar in this environment).
 
-Every sink is idempotent per micro-batch (``foreachBatch`` with a keyed
-upsert into a new table version), so a restart from the checkpoint after an
-executor or driver loss replays a batch without duplicating rows.
+Every sink is idempotent per micro-batch (``foreachBatch`` writing the batch
+to its own epoch folder of a merge-on-read keyed table), so a restart from the
+checkpoint after an executor or driver loss replays a batch without
+duplicating rows, and a batch costs O(batch) however large the table is.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from merchlens import constants as K
 from merchlens.operators.models import latest_per_key
-from merchlens.sources.upsert import read_latest, upsert_parquet
+from merchlens.sources.upsert import log_append, log_read
 
 SOURCE_NAME = "merchlens_pipeline"
 EVENT_TYPE = "merchant_transaction"
@@ -97,25 +98,34 @@ def parse_envelopes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint: str,
                  available_now: bool = True, max_records: int | None = None) -> StreamingQuery:
-    """ST1: envelope stream -> validate -> dedupe within the batch -> keyed upsert
-    into the raw table (last write wins); rejects are appended to a side table."""
-    spark = stream.sparkSession
+    """ST1: envelope stream -> validate -> dedupe within the batch -> append to
+    the raw keyed log (readers see the last write per transaction); rejects go
+    to a side table, one folder per epoch.  The batch is persisted so the
+    envelopes are parsed once for both writes."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        good, bad = parse_envelopes(df)
-        good = latest_per_key(good, "transaction_id", [F.col("timestamp_ms").desc(), F.col("event_id").desc()])
-        if max_records:
-            good = good.orderBy("timestamp_ms", "transaction_id").limit(max_records)
-        upsert_parquet(spark, raw_path, good, "transaction_id", "replace")
-        bad.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(rejects_path)
+        df.persist()
+        try:
+            good, bad = parse_envelopes(df)
+            good = latest_per_key(good, "transaction_id", [F.col("timestamp_ms").desc(), F.col("event_id").desc()])
+            if max_records:
+                good = good.orderBy("timestamp_ms", "transaction_id").limit(max_records)
+            log_append(good, raw_path, epoch)
+            bad.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
+        finally:
+            df.unpersist()
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+RAW_ORDER = [F.col("_epoch").desc(), F.col("timestamp_ms").desc(), F.col("event_id").desc()]
+
+
 def raw_table(spark: SparkSession, raw_path: str) -> DataFrame | None:
-    return read_latest(spark, raw_path)
+    """The raw table: last write per transaction id (later batch wins)."""
+    return log_read(spark, raw_path, "transaction_id", RAW_ORDER)
 
 
 def stream_dedup(stream: DataFrame, ts_col: str = "ts", key: str = "transaction_id",
@@ -127,20 +137,21 @@ def stream_dedup(stream: DataFrame, ts_col: str = "ts", key: str = "transaction_
 
 def start_latest_state(stream: DataFrame, table: str, checkpoint: str, ts_col: str = "ts",
                        key: str = "merchant_id") -> StreamingQuery:
-    """ST5: latest row per merchant as a table: per batch the newest row per key,
-    merged with the stored rows so an older late row never replaces a newer one."""
-    spark = stream.sparkSession
+    """ST5: latest row per merchant as a table: each batch appends its newest
+    row per key; ``read_latest_state`` orders by event time, so an older late
+    row never replaces a newer one whatever batch it arrives in."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        cur = read_latest(spark, table)
-        both = df if cur is None else cur.unionByName(df.select(*cur.columns))
-        newest = latest_per_key(both, key, [F.col(ts_col).desc(), F.col("transaction_id").desc()])
-        upsert_parquet(spark, table, newest, key, "replace")
+        log_append(latest_per_key(df, key, [F.col(ts_col).desc(), F.col("transaction_id").desc()]), table, epoch)
 
     return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def read_latest_state(spark: SparkSession, table: str, ts_col: str = "ts", key: str = "merchant_id") -> DataFrame | None:
+    return log_read(spark, table, key, [F.col(ts_col).desc(), F.col("transaction_id").desc()])
+
+
 def alerts(stream: DataFrame, stats: DataFrame, sd_mult: float = 2.0) -> DataFrame:
     """ST6: stream-static join with per-merchant mean / sd; amount above mean + 2 sd alerts."""
     s = stats.select("merchant_id", F.col("mean_amount"), F.col("sd_amount"))
