@@ -73,7 +73,7 @@ def _hits(spark, sf):
     """Search hits, checkpointed: every answer-side query reuses them several times."""
     ensure_checkpoint_dir(spark)
     lat = latest_of(spark, sf)
-    return merchant_search(spark, sf).checkpoint(), lat, FX.questions(spark)
+    return merchant_search(spark, sf, lat=lat).checkpoint(), lat, FX.questions(spark)
 
 
 @register("rag_context", with_ctes("SELECT * FROM ctx_text", *_NEED, local=_HIT_LOCAL), ids=("R13",))

@@ -235,8 +235,8 @@ def _merchant_search_sql(static: str = "TRUE") -> str:
     return with_ctes(merchant_search_body(static), "chunks", "qf", local=MS_LOCAL)
 
 
-def merchant_search(spark, sf, static=None):
-    lat = latest_of(spark, sf)
+def merchant_search(spark, sf, static=None, lat=None):
+    lat = latest_of(spark, sf) if lat is None else lat
     ch = C.chunk_merchants(lat)
     ensure_checkpoint_dir(spark)
     idx = R.tfidf_fit(ch)

@@ -105,10 +105,10 @@ def as_duckdb(sql: str) -> str:
     return _PLACEHOLDER.sub(lambda m: m.group(1), sql)
 
 
-# Fact tables whose rows carry per-row work (joins, regex, text): spread them
-# when the scan yields fewer splits than there are cores.  Dimension tables are
-# broadcast as they are.
-FACT_TABLES = {"lineitem", "orders", "events", "documents", "embeddings", "pages", "conversations"}
+# Fact tables whose rows carry per-row work (join probes, regex, text): spread
+# them when the scan yields fewer splits than there are cores.  Tables that
+# only build a join side (orders, dimensions) are read as they are.
+FACT_TABLES = {"lineitem", "events", "documents", "embeddings", "pages", "conversations"}
 
 
 def spread(df: DataFrame) -> DataFrame:
