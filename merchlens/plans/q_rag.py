@@ -152,6 +152,18 @@ def q_eval_rows(spark, sf):
     return _evals(spark, sf)
 
 
+@register("eval_store_roundtrip", with_ctes("SELECT * FROM evals", *_NEED, local=_EVAL_LOCAL), ids=("S11",))
+def q_eval_store_roundtrip(spark, sf):
+    from merchlens.session import scratch_dir
+    from merchlens.sources import files as S
+    rows = q_eval_rows(spark, sf)
+    path = scratch_dir(spark, "eval-store")
+    S.append_json(rows, path)
+    # an unreadable line in the store is dropped on load, the rest still loads
+    spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(path)
+    return S.read_json_records(spark, path, rows.schema)
+
+
 @register("eval_summary", with_ctes(f"""
 SELECT count(*) AS total_runs, {dr('avg(coalesce(precision_at_k, 0.0))', 4)} AS avg_precision_at_k,
        {dr('avg(coalesce(answer_faithfulness, 0.0))', 4)} AS avg_faithfulness,

@@ -113,7 +113,7 @@ def _csv_roundtrip(spark, sf):
     return S.read_staging_csv(spark, path)
 
 
-@register("csv_staging_roundtrip", with_ctes(f"""
+_ROUNDTRIP_SQL = with_ctes(f"""
 SELECT transaction_id, merchant_name, transaction_amount,
        CASE WHEN length(mcc_code) < 4 THEN lpad(mcc_code, 4, '0') ELSE mcc_code END AS mcc_code,
        neighborhood, CASE WHEN stars = 0 THEN NULL ELSE stars END AS stars,
@@ -121,15 +121,21 @@ SELECT transaction_id, merchant_name, transaction_amount,
        array_to_string(list_filter(list_transform(string_split(categories, ','), lambda s: trim(s)),
                                    lambda s: s <> ''), '|') AS categories,
        is_open <> 0 AS is_open, coalesce(nullif(price_range, 0), 2) AS price_range, ts
-FROM raw_txn WHERE acceptance_method IN ({sql_list(K.ACCEPTANCE_METHODS)}) AND city IS NOT NULL""", "raw_txn"),
-          ids=("S1", "S2"))
-def q_csv_staging_roundtrip(spark, sf):
-    valid, _ = _csv_roundtrip(spark, sf)
+FROM raw_txn WHERE acceptance_method IN ({sql_list(K.ACCEPTANCE_METHODS)}) AND city IS NOT NULL""", "raw_txn")
+
+
+def _roundtrip_cols(valid):
     return valid.select("transaction_id", "merchant_name", "transaction_amount", "mcc_code", "neighborhood", "stars",
                         "review_count", "review_velocity_30d", F.array_join("categories", "|").alias("categories"),
                         "is_open", "price_range", "ts")
 
 
+@register("csv_staging_roundtrip", _ROUNDTRIP_SQL, ids=("S1", "S2"))
+def q_csv_staging_roundtrip(spark, sf):
+    valid, _ = _csv_roundtrip(spark, sf)
+    return _roundtrip_cols(valid)
+
+
 @register("csv_staging_load", ids=("S1",))
 def q_csv_staging_load(spark, sf):
     _, rejects = _csv_roundtrip(spark, sf)
@@ -268,28 +274,28 @@ def q_ingest_validate(spark, sf):
         "transaction_id", "merchant_id", "mcc_code", "acceptance_method", "reason", "is_valid")
 
 
-@register("batch_load_job", ids=("S3",))
+@register("batch_load_job", _ROUNDTRIP_SQL, ids=("S3",))
 def q_batch_load_job(spark, sf):
     staging, archive = scratch_dir(spark, "staging-in"), scratch_dir(spark, "staging-archive")
     S.write_staging_csv(FX.raw_txn(spark, sf).repartition(6), staging)
     raw_p, rej_p = scratch_dir(spark, "loaded"), scratch_dir(spark, "load-rejects")
     I.start_batch_load(spark, staging, archive, raw_p, rej_p, scratch_dir(spark, "ckpt"), max_files=2) \
         .awaitTermination()
-    return spark.read.parquet(raw_p).drop("epoch")
+    return _roundtrip_cols(spark.read.parquet(raw_p).drop("epoch"))
 
 
-@register("eval_store_roundtrip", ids=("S11",))
-def q_eval_store_roundtrip(spark, sf):
-    from merchlens.plans.q_rag import q_eval_rows
-    rows = q_eval_rows(spark, sf)
-    path = scratch_dir(spark, "eval-store")
-    S.append_json(rows, path)
-    # an unreadable line in the store is dropped on load, the rest still loads
-    spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(path)
-    return S.read_json_records(spark, path, rows.schema)
+def _rebuild_sql() -> str:
+    from merchlens.plans.q_retrieval import _CH_IDX
+    return with_ctes("""
+SELECT 'staging' AS "table", count(*) AS row_count FROM stg
+UNION ALL SELECT 'mart', count(*) FROM mart
+UNION ALL SELECT 'chunks', count(*) FROM chunks
+UNION ALL SELECT 'tfidf_postings', count(*) FROM c_post
+UNION ALL SELECT 'tfidf_idf', count(*) FROM c_idf
+UNION ALL SELECT 'tfidf_norms', count(DISTINCT doc_id) FROM c_post""", "stg", "mart", "chunks", local=_CH_IDX[:2])
 
 
-@register("rebuild_counts", ids=("S16", "T6"))
+@register("rebuild_counts", _rebuild_sql(), ids=("S16", "T6"))
 def q_rebuild_counts(spark, sf):
     from merchlens.plans.jobs import rebuild
     return rebuild(spark, FX.raw_txn(spark, sf), scratch_dir(spark, "rebuild"), tiebreak=FX.DEDUPE_TIEBREAK)

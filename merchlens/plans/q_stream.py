@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from merchlens.functions.numeric import dround
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import stg_of
 from merchlens.plans.sqltext import dr, with_ctes
@@ -52,7 +53,9 @@ def q_stream_dedup(spark, sf):
     s = I.stream_dedup(_txn_stream(spark, sf), watermark="3650 days")
     _run(s.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("transaction_id", "merchant_id", "transaction_amount",
+                                          dround("mean_amount", 6).alias("mean_amount"),
+                                          dround("sd_amount", 6).alias("sd_amount"), "ts")
 
 
 @register("stream_daily_acceptance", with_ctes(f"""
@@ -67,7 +70,9 @@ def q_stream_daily_acceptance(spark, sf):
     agg = W.daily_acceptance(_txn_stream(spark, sf), watermark="3650 days")
     _run(agg.writeStream.outputMode("complete").foreachBatch(batch)
          .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("transaction_id", "merchant_id", "transaction_amount",
+                                          dround("mean_amount", 6).alias("mean_amount"),
+                                          dround("sd_amount", 6).alias("sd_amount"), "ts")
 
 
 @register("velocity_30d", with_ctes(f"""
@@ -96,14 +101,24 @@ def q_stream_sessions(spark, sf):
     return W.activity_sessions(FX.stream_txn(spark, sf), gap=_GAP)
 
 
-@register("stream_latest", ids=("ST5",))
+@register("stream_latest", with_ctes("""
+SELECT merchant_id, transaction_id, transaction_amount, acceptance_method, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY merchant_id
+                               ORDER BY ts DESC NULLS LAST, transaction_id DESC NULLS LAST) AS rn
+  FROM stream_txn) WHERE rn = 1""", "stream_txn"), ids=("ST5",))
 def q_stream_latest(spark, sf):
     table = scratch_dir(spark, "latest-state")
     _run(I.start_latest_state(_txn_stream(spark, sf), table, scratch_dir(spark, "ckpt")))
     return I.read_latest_state(spark, table)
 
 
-@register("stream_alerts", ids=("ST6",))
+@register("stream_alerts", with_ctes(f"""
+SELECT t.transaction_id, t.merchant_id, t.transaction_amount, {dr('s.mean_amount', 6)} AS mean_amount,
+       {dr('s.sd_amount', 6)} AS sd_amount, t.ts
+FROM stream_txn t JOIN (
+  SELECT merchant_id, avg(transaction_amount) AS mean_amount, stddev_samp(transaction_amount) AS sd_amount
+  FROM stream_txn GROUP BY merchant_id) s USING (merchant_id)
+WHERE t.transaction_amount > s.mean_amount + 2.0 * coalesce(s.sd_amount, 0.0)""", "stream_txn"), ids=("ST6",))
 def q_stream_alerts(spark, sf):
     txn = FX.stream_txn(spark, sf)
     stats = txn.groupBy("merchant_id").agg(F.avg("transaction_amount").alias("mean_amount"),
@@ -112,7 +127,9 @@ def q_stream_alerts(spark, sf):
     a = I.alerts(_txn_stream(spark, sf), stats)
     _run(a.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("transaction_id", "merchant_id", "transaction_amount",
+                                          dround("mean_amount", 6).alias("mean_amount"),
+                                          dround("sd_amount", 6).alias("sd_amount"), "ts")
 
 
 @register("stream_memory", with_ctes("""

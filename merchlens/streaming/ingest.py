@@ -120,12 +120,10 @@ def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint
     return w.start()
 
 
-RAW_ORDER = [F.col("_epoch").desc(), F.col("timestamp_ms").desc(), F.col("event_id").desc()]
-
-
 def raw_table(spark: SparkSession, raw_path: str) -> DataFrame | None:
     """The raw table: last write per transaction id (later batch wins)."""
-    return log_read(spark, raw_path, "transaction_id", RAW_ORDER)
+    order = [F.col("_epoch").desc(), F.col("timestamp_ms").desc(), F.col("event_id").desc()]
+    return log_read(spark, raw_path, "transaction_id", order)
 
 
 def stream_dedup(stream: DataFrame, ts_col: str = "ts", key: str = "transaction_id",

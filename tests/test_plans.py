@@ -83,3 +83,12 @@ def test_bench_prints_one_json_line():
                          env=env, capture_output=True, text=True, timeout=600, check=True).stdout
     rec = json.loads(out.strip().splitlines()[-1])
     assert rec["unit"] == "sec" and set(rec["queries"]) == {"dense_topk", "velocity_30d"}
+
+
+def test_registry_loads_without_a_session():
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "from pyspark import SparkContext; q, o = E.queries(), E.oracle_sql(); "
+            "assert SparkContext._active_spark_context is None; print(len(q), len(o))") % ROOT
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True)
+    n_q, n_o = map(int, out.stdout.split())
+    assert n_q >= n_o > 0
