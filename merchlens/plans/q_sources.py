@@ -136,7 +136,18 @@ def q_csv_staging_roundtrip(spark, sf):
     return _roundtrip_cols(valid)
 
 
-@register("csv_staging_load", ids=("S1",))
+def _csv_reject_sql() -> str:
+    missing = [f"CASE WHEN {c} IS NULL THEN 'missing {c}' END" for c in
+               ("transaction_id", "merchant_id", "merchant_name", "mcc_code", "mcc_description", "city", "state")]
+    acc = (f"CASE WHEN coalesce(acceptance_method, '') NOT IN ({sql_list(K.ACCEPTANCE_METHODS)}) "
+           f"THEN 'bad acceptance_method' END")
+    reason = "concat_ws('; ', " + ", ".join(missing + [acc]) + ")"
+    return with_ctes(f"""
+SELECT transaction_id, reason, CAST(NULL AS VARCHAR) AS _corrupt_record
+FROM (SELECT transaction_id, {reason} AS reason FROM raw_txn) WHERE reason <> ''""", "raw_txn")
+
+
+@register("csv_staging_load", _csv_reject_sql(), ids=("S1",))
 def q_csv_staging_load(spark, sf):
     _, rejects = _csv_roundtrip(spark, sf)
     return rejects

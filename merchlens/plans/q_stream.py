@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from merchlens.functions.numeric import dround
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import stg_of
-from merchlens.plans.sqltext import dr, with_ctes
+from merchlens import constants as K
+from merchlens.plans.sqltext import dr, sql_list, with_ctes
 from merchlens.session import scratch_dir
 from merchlens.sources import fixtures as FX
 from merchlens.streaming import ingest as I
@@ -33,7 +34,13 @@ def _txn_stream(spark, sf):
     return _stream_files(spark, FX.stream_txn(spark, sf), "stream-txn")
 
 
-@register("stream_ingest_envelope", ids=("S5", "ST1", "ST8"))
+@register("stream_ingest_envelope", with_ctes(f"""
+SELECT md5(transaction_id) AS event_id, transaction_id, merchant_id, merchant_name, transaction_amount, mcc_code,
+       city, acceptance_method, strftime(transaction_at, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+       epoch_ms(transaction_at) AS timestamp_ms, make_timestamp(epoch_ms(transaction_at) * 1000) AS event_time
+FROM stg
+WHERE transaction_id IS NOT NULL AND merchant_id IS NOT NULL AND transaction_amount >= 0
+  AND lower(acceptance_method) IN ({sql_list(K.ACCEPTANCE_METHODS)})""", "stg"), ids=("S5", "ST1", "ST8"))
 def q_stream_ingest_envelope(spark, sf):
     src = scratch_dir(spark, "envelopes")
     I.to_envelope(stg_of(spark, sf)).repartition(4).write.mode("overwrite").text(src)
