@@ -216,3 +216,19 @@ def test_keyed_log_replay_idempotent_and_compaction(spark):
     log_append(spark.createDataFrame([(2, "b2", 9)], schema), root, 2)
     got = log_read(spark, root, "k", order).collect()
     assert {r["k"]: r["v"] for r in got} == {1: "a", 2: "b2", 3: "c"} and len(got) == 3
+
+
+def test_st7_two_stage_sessions_equal_single_stage(spark):
+    from merchlens.streaming import windows as W
+    base = dt.datetime(2024, 1, 1, 0, 0)
+    mins = [0, 20, 45, 70, 95, 119, 200, 230, 290, 355, 356, 420, 600, 615, 1439, 1450, 1475]
+    rows = [("hot", base + dt.timedelta(minutes=m), float(i)) for i, m in enumerate(mins)]
+    rows += [("cold", base + dt.timedelta(minutes=m * 7), 1.0) for m in range(40)]
+    df = spark.createDataFrame(rows, "merchant_id string, ts timestamp, transaction_amount double")
+    got = W.activity_sessions(df, gap="30 minutes", bucket="1 hour")
+    want = (df.groupBy("merchant_id", F.session_window("ts", "30 minutes").alias("s"))
+            .agg(F.count(F.lit(1)).alias("n_events"), dround(F.sum("transaction_amount"), 2).alias("amount"))
+            .select("merchant_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
+                    "n_events", "amount"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("merchant_id = 'hot'").count() < len(mins)      # chains across buckets were joined
