@@ -4,8 +4,9 @@ Data layout is long-form postings ``(doc_id, token, ...)`` — never a per-doc
 dict on the driver.
 
 Plan shape and scale
-* tokenise + explode + ``groupBy(doc, token)``: the map-side partial aggregate
-  already folds a document's repeated tokens, so the shuffle carries postings.
+* documents are hash-partitioned by id, then tokenise + explode +
+  ``groupBy(doc, token)`` runs without a further exchange (a document is one
+  row, so its groups are already co-located).
 * document frequency is ``groupBy(token)`` (partial aggregation absorbs hot
   tokens); idf is joined back on ``token`` — AQE's skew-join splits a stop-word
   partition of the postings side.
@@ -50,9 +51,13 @@ class TfidfIndex:
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """R3 + R4: ``(id, token, tf_count, n_tokens, tf)`` over the whole text.
 
-    The document length rides along as a grouping key (it is fixed per
-    document), so the aggregate carries a single count buffer."""
-    t = docs.select(id_col, tokens(text_col).alias("_t"))
+    Documents are hash-partitioned by id first: a document is one row, so
+    every ``(id, token)`` group then lives in one partition and the count
+    needs no second exchange — the shuffle carries the text once instead of
+    the (several times larger) exploded postings.  The document length rides
+    along as a grouping key (fixed per document), so the aggregate carries a
+    single count buffer."""
+    t = docs.repartition(id_col).select(id_col, tokens(text_col).alias("_t"))
     ex = t.select(id_col, F.size("_t").alias("n_tokens"), F.explode("_t").alias("token"))
     return (ex.groupBy(id_col, "n_tokens", "token")
             .agg(F.count(F.lit(1)).alias("tf_count"))
