@@ -156,8 +156,9 @@ def embed(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[li
           out_col: str = "embedding") -> DataFrame:
     """Batch-embed a text column with a pluggable model.
 
-    ``model_factory`` is called once per Python worker (the model loads once,
-    not per row); texts travel to it in Arrow batches through a pandas UDF."""
+    ``model_factory`` is called once per task (the closure's cache travels
+    with the task), never per row or per batch; texts travel to the model in
+    Arrow batches through a pandas UDF."""
     holder: dict = {}
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
