@@ -275,6 +275,36 @@ def q_anomaly_type_counts(spark, sf):
     return N.type_counts(N.all_anomalies(latest_of(spark, sf)))
 
 
-@register("health_summary", ids=("N7",))
+_TYPE_RANK = "CASE type WHEN 'amount_outlier' THEN 1 WHEN 'review_velocity_spike' THEN 2 ELSE 3 END"
+_HEALTH_LOCAL = _VALID_LOCAL + _FRESH_LOCAL + _ANOM_LOCAL + [
+    ("vs", f"""SELECT count(*) AS total, count(CASE WHEN passed THEN 1 END) AS passed,
+       {dt('coalesce(CAST(count(CASE WHEN passed THEN 1 END) AS DOUBLE) / nullif(count(*), 0), 0.0) * 100', 1)} || '%'
+         AS pass_rate,
+       CASE WHEN coalesce(CAST(count(CASE WHEN passed THEN 1 END) AS DOUBLE) / nullif(count(*), 0), 0.0) >= 0.95
+            THEN 'pass' ELSE 'fail' END AS status FROM vr"""),
+    ("frs", """SELECT CASE WHEN CAST(count(CASE WHEN status = 'critical' THEN 1 END) AS DOUBLE) / greatest(count(*), 1) > 0.1
+            THEN 'critical' WHEN count(CASE WHEN status = 'warning' THEN 1 END) > 0 THEN 'warning'
+            ELSE 'healthy' END AS status,
+       count(CASE WHEN status = 'fresh' THEN 1 END) AS fresh,
+       count(CASE WHEN status = 'critical' THEN 1 END) AS stale_critical FROM fr"""),
+    ("tc", f"SELECT type, count(*) AS n, {_TYPE_RANK} AS k FROM anoms GROUP BY type"),
+    ("an_text", f"""SELECT (SELECT count(*) FROM anoms) AS total,
+       (SELECT string_agg(type || ': ' || CAST(n AS VARCHAR), ' | ' ORDER BY k, type, n) FROM tc) AS counts,
+       (SELECT string_agg('  • ' || narrative, chr(10) ORDER BY k, merchant_id, narrative) FROM (
+          SELECT {_TYPE_RANK} AS k, merchant_id, narrative FROM anoms ORDER BY k, merchant_id LIMIT 3)) AS top3"""),
+]
+
+
+@register("health_summary", with_ctes(f"""
+SELECT vs.status AS validation_status, vs.pass_rate, frs.status AS freshness_status, a.total AS anomaly_count,
+       'Agent Pipeline Summary — Task: pipeline_health_check' || chr(10) || chr(10)
+       || 'Data Validation: ' || upper(vs.status) || ' | ' || CAST(vs.passed AS VARCHAR) || '/'
+       || CAST(vs.total AS VARCHAR) || ' records passed (' || vs.pass_rate || ')' || chr(10)
+       || 'Data Freshness: ' || upper(frs.status) || ' | ' || CAST(frs.fresh AS VARCHAR) || ' fresh, '
+       || CAST(frs.stale_critical AS VARCHAR) || ' critical' || chr(10)
+       || CASE WHEN a.total > 0 THEN 'Anomalies Detected: ' || CAST(a.total AS VARCHAR) || ' total | ' || a.counts
+               || chr(10) || chr(10) || 'Top anomalies:' || chr(10) || a.top3
+               ELSE 'Anomalies Detected: None' END AS summary
+FROM vs, frs, an_text a""", "latest", local=_HEALTH_LOCAL), ids=("N7",))
 def q_health_summary(spark, sf):
     return N.health_summary(latest_of(spark, sf), AS_OF)
