@@ -73,7 +73,7 @@ def q_price_range_coerce(spark, sf):
                                   P.expected_amount(pr).alias("expected_amount"))
 
 
-@register("business_to_merchant", with_ctes(f"""
+_B2M_BODY = f"""
 SELECT b.business_id AS merchant_id, coalesce(b.name, 'Unknown') AS merchant_name, m.mcc_code,
        coalesce(d.descr, 'General Retail') AS mcc_description, coalesce(b.city, '') AS city,
        coalesce(b.state, '') AS state, b.neighborhood, coalesce(b.latitude, 0.0) AS latitude,
@@ -82,8 +82,11 @@ SELECT b.business_id AS merchant_id, coalesce(b.name, 'Unknown') AS merchant_nam
        CAST(coalesce(b.review_velocity_30d, 0) AS INTEGER) AS review_velocity_30d,
        array_to_string(m.cats[1:5], ', ') AS categories, coalesce(b.is_open, 1) <> 0 AS is_open,
        CAST({_PRICE} AS INTEGER) AS price_range, CAST({_EXPECTED} AS DOUBLE) AS transaction_amount
-FROM businesses b JOIN biz_mcc m USING (business_id) LEFT JOIN mcc_desc d ON d.code = m.mcc_code""",
-    "businesses", "biz_mcc", "mcc_desc"), ids=("P7",))
+FROM {{src}} b JOIN biz_mcc m USING (business_id) LEFT JOIN mcc_desc d ON d.code = m.mcc_code"""
+
+
+@register("business_to_merchant", with_ctes(_B2M_BODY.format(src="businesses"), "businesses", "biz_mcc", "mcc_desc"),
+          ids=("P7",))
 def q_business_to_merchant(spark, sf):
     return P.business_to_merchant(_biz(spark, sf))
 
@@ -153,13 +156,19 @@ def q_csv_staging_load(spark, sf):
     return rejects
 
 
+# Regional feeds: these regions send JSON lines, every other region sends CSV.
+_JSON_FEEDS = ("AMERICA", "ASIA", "EUROPE")
+
+
 def _write_business_files(spark, sf):
-    """Land business records in one folder: JSON lines, CSV and an unsupported file type."""
+    """Land every business record once in one folder, as regional feeds do:
+    JSON lines from some regions, CSV from the rest, plus a file of an
+    unsupported type."""
     folder = scratch_dir(spark, "landed")
     biz = _biz(spark, sf)
-    part = F.abs(F.xxhash64("business_id")) % 3
-    P.nest_business(biz.where(part != 0)).write.mode("append").json(folder)
-    biz.where(part == 0).select(
+    is_json = F.col("state").isin(*_JSON_FEEDS)
+    P.nest_business(biz.where(is_json)).write.mode("append").json(folder)
+    biz.where(~is_json).select(
         "business_id", "name", "address", "city", "state", "postal_code", "latitude", "longitude", "stars",
         "review_count", "is_open", "categories", "neighborhood", "review_velocity_30d",
     ).write.mode("append").option("header", True).csv(folder)
@@ -167,7 +176,10 @@ def _write_business_files(spark, sf):
     return folder
 
 
-@register("business_json_read", ids=("S9",))
+@register("business_json_read", with_ctes(f"""
+SELECT business_id, name, city, stars, price_attr AS price, parking_street,
+       CASE WHEN is_open = 1 THEN 2 END AS n_hours
+FROM businesses WHERE state IN ({sql_list(_JSON_FEEDS)})""", "businesses"), ids=("S9",))
 def q_business_json_read(spark, sf):
     folder = _write_business_files(spark, sf)
     good, _ = S.read_business_json(spark, folder + "/*.json")
@@ -176,7 +188,10 @@ def q_business_json_read(spark, sf):
                        F.size("hours").alias("n_hours"))
 
 
-@register("landed_files_ingest", ids=("S4",))
+@register("landed_files_ingest", with_ctes(
+    _B2M_BODY.format(src="landed"), "businesses", "biz_mcc", "mcc_desc",
+    local=[("landed", f"""SELECT * REPLACE (CASE WHEN state IN ({sql_list(_JSON_FEEDS)}) THEN price_attr END
+                                   AS price_attr) FROM businesses""")]), ids=("S4",))
 def q_landed_files_ingest(spark, sf):
     return S.ingest_landed(spark, _write_business_files(spark, sf))
 
