@@ -239,3 +239,25 @@ def pipeline_counts(raw_df: DataFrame, staged: DataFrame) -> DataFrame:
         valid.alias("records_valid"),
         (F.count(F.lit(1)) - valid).alias("records_failed"),
     ).withColumn("records_transformed", staged.select(F.count(F.lit(1))).scalar())
+
+
+def analytics(df: DataFrame, metric: str, group_by: str = "mcc_code", city: str | None = None,
+              limit: int | None = 10) -> DataFrame:
+    """The analytics call by metric name (the reference's analytics endpoint):
+    ``review_velocity`` | ``avg_transaction`` | ``mcc_distribution`` | ``acceptance``
+    | ``summary`` | ``anomaly_flags`` | ``q4_spending``."""
+    if metric == "review_velocity":
+        return review_velocity(df, group_by, city, limit)
+    if metric == "avg_transaction":
+        return avg_transaction(df, group_by, city, limit)
+    if metric == "mcc_distribution":
+        return mcc_distribution(df, city, limit)
+    if metric == "acceptance":
+        return acceptance_distribution(df, city)
+    if metric == "summary":
+        return summary(_city_filter(df, city))
+    if metric == "anomaly_flags":
+        return anomaly_flags(_city_filter(df, city), limit)
+    if metric == "q4_spending":
+        return q4_spending(_city_filter(df, city), limit)
+    raise ValueError(f"unknown metric {metric!r}")

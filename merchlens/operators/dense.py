@@ -169,3 +169,10 @@ def embed(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[li
         return pd.Series([np.asarray(v, dtype=np.float32) for v in vecs])
 
     return df.withColumn(out_col, _embed(F.col(text_col)))
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = K.DEFAULT_TOP_K,
+                 filters: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """R10 entry point: exact cosine top-k; ``filters`` names a vector column that
+    must equal each query's ``q_filter``."""
+    return dense_topk(vectors, queries, k=k, id_col=id_col, vec_col=vec_col, filter_col=filters)

@@ -254,3 +254,14 @@ def search_merchants(index: TfidfIndex, chunks: DataFrame, questions: DataFrame,
                     "transaction_amount", "acceptance_method", dround("score", 4).alias("score"), "doc_id",
                     F.substring("text", 1, K.CHUNK_PREVIEW_CHARS).alias("chunk_text"),
                     F.substring("text", 1, K.SEARCH_PREVIEW_CHARS).alias("chunk_preview")))
+
+
+def tfidf_search(index: TfidfIndex, questions: DataFrame, chunks: DataFrame, filters: Column | None = None,
+                 k: int = K.DEFAULT_TOP_K, merchants: DataFrame | None = None) -> DataFrame:
+    """R9 entry point: with ``merchants`` the filtered merchant search (one row per
+    merchant, its best chunk); without, top-k chunks per question (``filters``
+    then restricts the chunks searched)."""
+    if merchants is not None:
+        return search_merchants(index, chunks, questions, merchants, k=k, static_filter=filters)
+    docs = chunks.where(filters) if filters is not None else chunks
+    return search_documents(index, docs.select(index.id_col), questions, k=k)

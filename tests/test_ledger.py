@@ -232,3 +232,22 @@ def test_st7_two_stage_sessions_equal_single_stage(spark):
                     "n_events", "amount"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.where("merchant_id = 'hot'").count() < len(mins)      # chains across buckets were joined
+
+
+def test_public_entry_points(spark):
+    df = spark.createDataFrame(
+        [("m1", "A", "Chicago", "5812", "Eating", 10.0, 5, 3, 4.0, True),
+         ("m2", "B", "Chicago", "5813", "Bars", 30.0, 9, 1, 3.0, True)],
+        "merchant_id string, merchant_name string, city string, mcc_code string, mcc_description string, "
+        "transaction_amount double, review_velocity_30d int, review_count int, stars double, is_open boolean")
+    top = A.analytics(df, "avg_transaction", group_by="city").collect()
+    assert top[0]["group"] == "Chicago" and top[0]["avg_transaction"] == 20.0
+    assert A.analytics(df, "summary").collect()[0]["total_merchants"] == 2
+    docs = spark.createDataFrame([(1, "coffee shop"), (2, "pizza place")], "doc_id long, text string")
+    qs = spark.createDataFrame([(1, "coffee")], "query_id long, query string")
+    idx = R.tfidf_fit(docs, materialize=False)
+    hits = R.tfidf_search(idx, qs, docs, k=1).collect()
+    assert [(h["doc_id"], h["rank"]) for h in hits] == [(1, 1)]
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(7, [0.9, 0.1])], "query_id long, qvec array<double>")
+    assert [r["vec_id"] for r in D.dense_search(vecs, q, k=1).collect()] == [1]
