@@ -48,7 +48,8 @@ class TfidfIndex:
                         (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             by_document: bool = True) -> DataFrame:
     """R3 + R4: ``(id, token, tf_count, n_tokens, tf)`` over the whole text.
 
     Documents are hash-partitioned by id first: a document is one row, so
@@ -56,8 +57,14 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     needs no second exchange — the shuffle carries the text once instead of
     the (several times larger) exploded postings.  The document length rides
     along as a grouping key (fixed per document), so the aggregate carries a
-    single count buffer."""
-    t = docs.repartition(id_col).select(id_col, tokens(text_col).alias("_t"))
+    single count buffer.  The partition count is stated (the session's shuffle
+    partitions) so AQE does not coalesce the text partitions by bytes:
+    tokenising is CPU-bound and needs the tasks, not bigger partitions.
+    A question batch (``by_document=False``) is short text and skips the
+    repartition: its partial aggregate is already tiny."""
+    if by_document:
+        docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    t = docs.select(id_col, tokens(text_col).alias("_t"))
     ex = t.select(id_col, F.size("_t").alias("n_tokens"), F.explode("_t").alias("token"))
     return (ex.groupBy(id_col, "n_tokens", "token")
             .agg(F.count(F.lit(1)).alias("tf_count"))
@@ -112,7 +119,7 @@ def query_weights(index: TfidfIndex, questions: DataFrame, qid: str = "query_id"
                   text_col: str = "query") -> DataFrame:
     """Query vector ``(qid, token, q_weight, idf)``; unknown tokens take idf 1
     and still count in the norm (their ``idf`` column stays null)."""
-    qp = postings(questions, qid, text_col).select(qid, "token", "tf")
+    qp = postings(questions, qid, text_col, by_document=False).select(qid, "token", "tf")
     qw = (qp.join(index.idf.select("token", "idf"), "token", "left")
           .select(qid, "token", "idf", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(1.0))).alias("w")))
     return _l2(qw, qid).withColumnRenamed("weight", "q_weight")
