@@ -152,20 +152,33 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+# Models loaded in this Python worker process, by caller-chosen key.  Spark
+# reuses Python workers across tasks, so a keyed model loads once per process.
+_MODELS: dict = {}
+
+
 def embed(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[list[str]], np.ndarray]],
-          out_col: str = "embedding") -> DataFrame:
+          out_col: str = "embedding", model_key: str | None = None) -> DataFrame:
     """Batch-embed a text column with a pluggable model.
 
-    ``model_factory`` is called once per task (the closure's cache travels
-    with the task), never per row or per batch; texts travel to the model in
-    Arrow batches through a pandas UDF."""
+    Texts travel to the model in Arrow batches through a pandas UDF.  Without
+    ``model_key`` ``model_factory`` is called once per task (the closure's
+    cache travels with the task); with it, the model is kept in the worker
+    process and later tasks reuse it.  Never per row or per batch."""
     holder: dict = {}
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(texts: pd.Series) -> pd.Series:
-        if "m" not in holder:
-            holder["m"] = model_factory()
-        vecs = holder["m"](texts.tolist())
+        if model_key is not None:
+            from merchlens.operators import dense as this
+            model = this._MODELS.get(model_key)
+            if model is None:
+                model = this._MODELS[model_key] = model_factory()
+        else:
+            if "m" not in holder:
+                holder["m"] = model_factory()
+            model = holder["m"]
+        vecs = model(texts.tolist())
         return pd.Series([np.asarray(v, dtype=np.float32) for v in vecs])
 
     return df.withColumn(out_col, _embed(F.col(text_col)))

@@ -344,7 +344,7 @@ def q_precision_recall(spark, sf):
 @register("embed_batch", ids=("R12", "UF1"))
 def q_embed_batch(spark, sf):
     docs = _docs(spark, sf)
-    out = D.embed(docs, "text", lambda: D.hashing_embedder(64))
+    out = D.embed(docs, "text", lambda: D.hashing_embedder(64), model_key="hashing-64")
     return out.select("doc_id", F.size("embedding").alias("dims"),
                       dround(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
