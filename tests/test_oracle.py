@@ -4,12 +4,12 @@ schema."""
 
 import pytest
 
-import __spark_entry__ as E
+from merchlens.plans import catalog
 from scripts.compare import digest
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
