@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm import line_dedup, simhash, warc
+from merchlens.llm import line_dedup, packing, simhash, token_file, warc
 from merchlens.llm.common import table
+from merchlens.llm.tokens import vocabulary_path
 from merchlens.session import scratch_dir
 
 
@@ -37,10 +38,25 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents into a grammar-compressed id file, read it back."""
+    path = scratch_dir(spark, "token-file")
+    docs = table(spark, sf_dir, "documents")
+    token_file.write_file(docs, path, vocabulary_path("word_bpe_49k.json"), end_id=1)
+    return token_file.read_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_token_file": op5_token_file,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 _OP3_SQL = """
