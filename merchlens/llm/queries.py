@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm import line_dedup, packing, simhash, token_file, warc
+from merchlens.llm import line_dedup, packing, quality_classifier, quality_rules, simhash, token_file, warc
 from merchlens.llm.common import table
 from merchlens.llm.tokens import vocabulary_path
 from merchlens.session import scratch_dir
@@ -51,7 +51,20 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every document."""
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and line-first verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", quality_rules.verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op10_quality_rules": op10_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
@@ -71,4 +84,5 @@ FROM p JOIN o ON o.h = p.h
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.LINE_DEDUP_SQL.format(src="documents"),
     "op3_warc": _OP3_SQL,
+    "op10_quality_rules": quality_rules.RULES_SQL.format(src="documents", max_lost=quality_rules.MAX_LOST_PERCENT, extra=""),
 }
