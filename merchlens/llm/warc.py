@@ -3,7 +3,7 @@
 An archive is a folder of two Parquet tables:
 
 * ``payloads`` - every distinct payload once: digest (SHA-256, hex), ``sha1``,
-  ``bytes`` and the payload itself;
+  ``bytes`` and ``frame``, the payload as one zstd frame;
 * ``records`` - one row per record in capture order fields: the exact WARC header
   block (named fields, CRLF line ends) and the digest of its payload.
 
@@ -21,8 +21,11 @@ An empty table gives empty tables.  Only the named columns are read.
 
 from __future__ import annotations
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Payloads below this many bytes are always stored as responses.
 REVISIT_MIN_BYTES = 1000
@@ -62,14 +65,23 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         _field("Content-Type", F.lit("text/html; charset=utf-8")), _field("Content-Length", F.col("bytes")))
     r.select("page_id", head.alias("header"), "digest").write.parquet(f"{path}/records")
 
-    full = pages.select(F.col(id_col).alias("page_id"), body.alias("payload"))
-    full = full.withColumn("digest", F.sha2("payload", 256))
-    # one holder per payload: equal rows of the owner fold in the aggregate of its few copies
-    keep = owner.select("digest", F.col("owner").alias("page_id"))
-    one = full.join(keep, (full.digest == keep.digest) & full.page_id.eqNullSafe(keep.page_id), "left_semi")
-    one = one.dropDuplicates(["digest"])
-    one.select("digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"),
-               "payload").write.parquet(f"{path}/payloads")
+    full = pages.select(body.alias("payload"))
+    full = full.select(F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"),
+                       F.octet_length("payload").cast("long").alias("bytes"), _packed("payload").alias("frame"))
+    # equal payloads fold in the tasks that read them, before anything moves
+    full.groupBy(*key).agg(F.first("frame").alias("frame")).write.parquet(f"{path}/payloads")
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(payloads: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor().compress
+    return payloads.map(lambda b: pack(bytes(b)))
+
+
+@F.pandas_udf(T.BinaryType())
+def _unpacked(frames: pd.Series) -> pd.Series:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return frames.map(lambda b: unpack(bytes(b)))
 
 
 def _named(name: str) -> Column:
@@ -82,11 +94,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     header's digest and length stops the read."""
     h = spark.read.parquet(f"{path}/records")
     p = spark.read.parquet(f"{path}/payloads")
-    broken = (F.sha2("payload", 256) != F.col("digest")) | (F.octet_length("payload") != F.col("bytes")) | (
-        F.sha1("payload") != F.col("sha1"))
-    p = p.select("digest", F.when(broken, F.raise_error(F.concat(F.lit("payload damaged: "), "digest")))
-                 .otherwise(F.col("payload")).cast("binary").alias("payload"))
-    return h.join(p, "digest", "left").select("page_id", "header", "payload")
+    r = h.join(p, "digest", "left").withColumn("payload", _unpacked("frame"))
+    whole = (F.sha2("payload", 256) == F.col("digest")) & (F.sha1("payload") == F.col("sha1")) & (
+        F.octet_length("payload") == F.col("bytes"))
+    checked = F.when(whole, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload damaged: "), "digest")).cast("binary"))
+    return r.select("page_id", "header", checked.alias("payload"))
 
 
 def record_fields(records: DataFrame, *keep: str) -> DataFrame:
