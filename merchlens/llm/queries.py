@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm import line_dedup, packing, quality_classifier, quality_rules, simhash, token_file, warc
+from merchlens.llm import ann, line_dedup, packing, quality_classifier, quality_rules, simhash, token_file, warc
 from merchlens.llm.common import table
 from merchlens.llm.tokens import vocabulary_path
 from merchlens.session import scratch_dir
@@ -56,6 +56,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = ann.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and line-first verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_file": op5_token_file,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
 _OP3_SQL = """
