@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm import ann, line_dedup, packing, quality_classifier, quality_rules, simhash, token_file, warc
+from merchlens.llm import (ann, chat, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash,
+                           token_file, warc)
 from merchlens.llm.common import table
 from merchlens.llm.tokens import vocabulary_path
-from merchlens.session import scratch_dir
+from merchlens.session import materialize, scratch_dir
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,17 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations (and one of control strings) as chats, read them back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    messages = materialize(chat.linear(rows.unionByName(tricky)), "chat-messages")
+    formatted = materialize(chat.format_paths(messages, chat.best_paths(messages)), "chat-formatted")
+    return chat.digests(formatted, "conv_id")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
@@ -56,6 +68,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents into pieces and decode them again."""
+    path = vocabulary_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    coded = docs.select("doc_id", sentencepiece_codec.encode_column(F.col("text"), path).alias("ids"))
+    text = sentencepiece_codec.decode_column(F.col("ids"), path)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                        text.alias("text")).select(
+        "doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("decoded_chars"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -76,7 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_file": op5_token_file,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
@@ -89,7 +115,22 @@ SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS paylo
 FROM p JOIN o ON o.h = p.h
 """
 
+# The digests of what went in; the formatted length follows from the template, 32 characters
+# a turn and one backslash for each control string's first character.
+_OP6_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(role) + length(text) + 32
+        + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_formatting": _OP6_SQL,
     "op2_line_dedup": line_dedup.LINE_DEDUP_SQL.format(src="documents"),
     "op3_warc": _OP3_SQL,
     "op10_quality_rules": quality_rules.RULES_SQL.format(src="documents", max_lost=quality_rules.MAX_LOST_PERCENT, extra=""),

@@ -55,6 +55,7 @@ class TextEncoder:
         self.cache: dict[str, bytes] = {}
         # vocabularies with word-end marks drop blanks; the others keep them as tokens
         self.drops_blanks = bool(self.lib.model.end_of_word_suffix)
+        self.odd = r"[\x01\x02]" if self.drops_blanks else _ODD
         self.alphabet = _byte_alphabet()
         self.space = "" if self.drops_blanks else self.alphabet[32]
         self.punct = {p: self._whole([p])[0] for p in _PUNCT}
@@ -117,11 +118,10 @@ class TextEncoder:
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), offsets.astype(np.int64)
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, self.odd)
         if self.drops_blanks:
-            odd = pc.match_substring_regex(texts, r"[\x01\x02]")
             marked = pc.replace_substring(texts, "\n", " ")
         else:
-            odd = pc.match_substring_regex(texts, _ODD)
             marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", " " + _LINE), "")
         n_odd = pc.sum(odd).as_py() or 0
         if n_odd:
@@ -162,12 +162,12 @@ class TextEncoder:
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, kind: type[TextEncoder] = TextEncoder) -> TextEncoder:
     """The worker's encoder for a vocabulary file: Python workers are reused, so its
     word cache stays warm from task to task."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = TextEncoder(path)
+        _ENCODERS[path] = kind(path)
     return _ENCODERS[path]
 
 
