@@ -33,11 +33,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from merchlens.llm.common import shuffle_width, text_or_empty
+from merchlens.llm.common import fresh, text_or_empty
 from merchlens.session import materialize
 
 #: Fingerprints that a shard should hold at most; more of them add a level to the
@@ -167,7 +168,7 @@ def shard_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> np.ndarr
     return np.unique(np.stack([fp[moved], top[moved]], axis=1), axis=0) if moved.any() else np.empty((0, 2), np.uint64)
 
 
-def _shards(levels: int, radius: int, buckets: int):
+def _shards(levels: int, radius: int):
     """mapInArrow: fingerprint -> (shard, is_home, fp), home first, then later shards in reach."""
     vantage = _vantage_points(levels)
 
@@ -204,7 +205,7 @@ def links(fps: DataFrame, n: int, radius: int = 3, shard_rows: int = SHARD_ROWS)
     levels = 1
     while n * 0.1 ** levels > shard_rows and levels < 8:
         levels += 1
-    rows = fps.select("fp").mapInArrow(_shards(levels, radius, 0), "shard long, home boolean, fp long")
+    rows = fps.select("fp").mapInArrow(_shards(levels, radius), "shard long, home boolean, fp long")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         fp = group["fp"].to_numpy().view(np.uint64)
@@ -243,19 +244,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                     radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per document: (``id_col``, fp long, component_id).
+    """One row per document: (``id_col``, fp long, text_hash long, root long, component_id).
 
-    ``component_id`` is the smallest id reachable over links of at most ``radius``
+    ``root`` names the component (its smallest fingerprint), ``text_hash`` tells rows with one id
+    apart; ``component_id`` is the smallest id reachable over links of at most ``radius``
     differing fingerprint bits (the document's own id included).  Only the id and
     text columns are read, so other columns cannot clash."""
-    ids = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp"))
+    ids = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp"),
+                      F.xxhash64(text_col).alias("text_hash"))
     ids = materialize(ids, "simhash-ids")
     fps = materialize(ids.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-fps")
     roots = components(links(fps, fps.count(), radius, shard_rows))
     joined = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = joined.join(least, "root").select("fp", "component_id")
-    return ids.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    labels = joined.join(least, "root").select("fp", "root", "component_id")
+    return ids.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "text_hash", "root", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that with its smallest id (of
+    rows sharing that id the smallest text hash, of repeated rows any one)."""
+    groups = materialize(near_duplicates(docs, id_col, text_col, width, radius), "simhash-groups")
+    one = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.min(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("th"))).alias("k"))
+    rid, rth, row = (fresh(docs, n) for n in ("__id", "__th", "__row"))
+    one = one.select(F.col("k.id").alias(rid), F.col("k.th").alias(rth))
+    kept = docs.join(one, F.col(id_col).eqNullSafe(F.col(rid)) & (F.xxhash64(text_col) == F.col(rth)), "left_semi")
+    if groups.groupBy(id_col, "text_hash").count().where("count > 1").limit(1).count():  # repeated rows
+        same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
+        kept = kept.withColumn(row, F.row_number().over(same)).where(F.col(row) == 1).drop(row)
+    return kept
 
 
 def hex_fingerprint(fp: Column) -> Column:
