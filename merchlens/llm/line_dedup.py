@@ -2,19 +2,23 @@
 
 Built-in DataFrame functions only.
 
-1. Each document's lines (split at ``\\n``) give overlapping windows of ``span``
-   consecutive lines, hashed to 128 bits (two xxhash64 with different leads).
+1. A text's lines are its physical lines; a line of more than :data:`LONG_LINE` words
+   (a paragraph on one line) counts as several, cut after its sentence ends, so a
+   passage inside a paragraph is seen like one on lines of its own.  Overlapping windows
+   of ``span`` consecutive lines are hashed to 128 bits (two xxhash64 with different
+   leads) over the trimmed lines.
 2. Windows are counted globally.  The aggregate is partial, so a window that a
    third of all documents share folds map-side to one row per task.  The first
    occurrence is the smallest (doc_id, text hash, position).
 3. Every other occurrence of a repeated window covers ``span`` lines; a
    document's covered positions are merged into intervals (gaps and islands) and
-   the lines inside them are removed.
+   the lines inside them are removed, with their line ends.
 
-Only windows with a character other than blanks count.  A line is removed only
-when an equal line stays at an earlier place, so no line content is lost
-altogether.  Documents with fewer than ``span`` lines have no window and stay as
-they are (whole copies are the near-duplicate stage's work).
+Only windows of at least :data:`MIN_CHARS` characters count: three one-word lines that meet
+again are no passage.  A line is removed only when an equal line stays at an
+earlier place, so no line content is lost altogether.  Texts with fewer than ``span`` lines
+have no window and stay as they are (whole copies are the near-duplicate stage's
+work).
 
 Nulls: a null text has no window and stays null; null ids sort before all others.
 Repeated rows (same id and same text) are one document: each copy of the row gets
@@ -32,29 +36,38 @@ from merchlens.llm.common import fresh
 from merchlens.session import materialize
 
 
+#: Words beyond which a physical line is cut at its sentence ends.
+LONG_LINE = 40
+#: Fewest characters of a window's trimmed lines together.
+MIN_CHARS = 40
+
+
 def _lines(text: str) -> Column:
-    return F.split(F.col(text), "\n", -1)
+    """The lines of a text with their line ends; together they are the text."""
+    physical = F.regexp_extract_all(F.col(text), F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
+    sentences = F.lit(r"[^\n]*?[.!?] |[^\n]+\n?|\n")
+    cut = F.transform(physical, lambda x: F.when(F.size(F.split(x, " ")) > LONG_LINE, F.regexp_extract_all(x, sentences, F.lit(0)))
+                      .otherwise(F.array(x)))
+    return F.flatten(cut)
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3) -> DataFrame:
-    """(id, th, pos, h1, h2): one row per ``span``-line window of each distinct document."""
+    """(id, th, pos, h1, h2): one row per counting window of each distinct document."""
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), _lines(text_col).alias("lines"))
     d = d.where(F.size("lines") >= span)
-    # a line costs one hash, a window a hash of its lines' hashes
-    a = F.transform("lines", lambda x: F.xxhash64(F.lit("a"), x))
-    b = F.transform("lines", lambda x: F.xxhash64(F.lit("b"), x, F.length(x)))
-    blank = F.transform("lines", lambda x: F.length(F.trim(x)) == 0)
-    d = d.select("id", "th", a.alias("a"), b.alias("b"), blank.alias("blank"))
+    # a line costs its hashes once, a window a hash of its lines' hashes
+    line = F.transform("lines", lambda x: F.trim(F.rtrim(x, F.lit("\n"))))
+    d = d.select("id", "th", line.alias("lines"))
+    d = d.select("id", "th", F.transform("lines", lambda x: F.struct(
+        F.xxhash64(F.lit("a"), x).alias("a"), F.xxhash64(F.lit("b"), x, F.length(x)).alias("b"), F.length(x).alias("n"))).alias("s"))
 
     def window(i: Column) -> Column:
-        at = [i + k for k in range(span)]
-        return F.struct(i.alias("pos"),
-                        F.xxhash64(*[F.get("a", k) for k in at]).alias("h1"),
-                        F.xxhash64(*[F.get("b", k) for k in at]).alias("h2"),
-                        F.forall(F.array(*[F.get("blank", k) for k in at]), lambda x: x).alias("blank"))
+        at = [F.get("s", i + k) for k in range(span)]
+        return F.struct(i.alias("pos"), F.xxhash64(*[x["a"] for x in at]).alias("h1"),
+                        F.xxhash64(*[x["b"] for x in at]).alias("h2"), sum((x["n"] for x in at[1:]), at[0]["n"]).alias("n"))
 
-    w = F.explode(F.transform(F.sequence(F.lit(0), F.size("a") - span), window)).alias("w")
-    return d.select("id", "th", w).select("id", "th", "w.*").where(~F.col("blank")).drop("blank")
+    w = F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - span), window)).alias("w")
+    return d.select("id", "th", w).select("id", "th", "w.*").where(F.col("n") >= MIN_CHARS).drop("n")
 
 
 def later_intervals(win: DataFrame, span: int = 3) -> DataFrame:
@@ -90,20 +103,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed = F.coalesce(F.aggregate(cuts_, F.lit(0), lambda t, c: t + c["e"] - c["s"]), F.lit(0))
     n1, n2 = fresh(docs, "n_lines"), fresh(docs, "n_removed")
     out = joined.withColumns({n1: n_lines.cast("long"), n2: removed.cast("long")})
-    out = out.withColumn(text_col, F.when(cuts_.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    out = out.withColumn(text_col, F.when(cuts_.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "")))
     return out.select(*docs.columns, n1, n2)
 
 
 #: DuckDB SQL for dedup over a table expression with doc_id, text (distinct doc_id).
-LINE_DEDUP_SQL = """
-WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {src}),
-p AS (SELECT doc_id, unnest(range(0, len(ls) - 2)) AS pos, ls FROM l WHERE len(ls) >= 3),
+LINE_DEDUP_SQL = r"""
+WITH l AS (SELECT doc_id, text, flatten([CASE WHEN len(string_split(x, ' ')) > 40
+      THEN regexp_extract_all(x, '[^\n]*?[.!?] |[^\n]+\n?|\n') ELSE [x] END
+    FOR x IN regexp_extract_all(text, '[^\n]*\n|[^\n]+')]) AS ls FROM {src}),
+t AS (SELECT doc_id, [trim(rtrim(x, chr(10))) FOR x IN ls] AS ls FROM l),
+p AS (SELECT doc_id, unnest(range(0, len(ls) - 2)) AS pos, ls FROM t WHERE len(ls) >= 3),
 w AS (SELECT doc_id, pos, ls[pos + 1] AS a, ls[pos + 2] AS b, ls[pos + 3] AS c FROM p
-      WHERE trim(ls[pos + 1]) <> '' OR trim(ls[pos + 2]) <> '' OR trim(ls[pos + 3]) <> ''),
+      WHERE length(ls[pos + 1]) + length(ls[pos + 2]) + length(ls[pos + 3]) >= 40),
 r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS rn FROM w),
 cov AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (VALUES (0), (1), (2)) AS v(k) WHERE rn > 1),
 e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM l),
-j AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE cov.pos IS NULL) AS t,
+j AS (SELECT e.doc_id, string_agg(e.line, '' ORDER BY e.pos) FILTER (WHERE cov.pos IS NULL) AS t,
         count(*) AS n_lines, count(cov.pos) AS n_removed
       FROM e LEFT JOIN cov ON cov.doc_id = e.doc_id AND cov.pos = e.pos GROUP BY e.doc_id)
 SELECT l.doc_id, coalesce(j.t, '') AS text, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.n_removed, 0) AS n_removed
