@@ -42,7 +42,7 @@ CAPACITY = 2048
 SHARE, SEEDS, RATE, MAX_ROUNDS = 0.05, 16, 2.0, 400
 #: How much dearer than their tokens the longest pieces start: short ones, which fill any
 #: gap, are saved for later.
-LONG = 0.1
+LONG = 1.0
 
 
 # --------------------------------------------------------------------------- plan
@@ -165,22 +165,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     demand = np.zeros(capacity + 1, np.int64)
     for k, v in histogram.items():
         demand[k] = v
-    out: list[tuple[tuple[int, ...], int]] = []
-    left = demand.copy()
-    if demand.any():
-        x, _ = fractional(demand, capacity)
-        # fullest patterns first: loose ones are dissolved again for the best fit
-        free = {p: capacity - sum(p) for p in x}
-        typical = sum(free[p] * x[p] for p in x) / sum(x.values())
-        for p in sorted(x, key=lambda p: (free[p], -x[p], p)):
-            m = int(x[p] + 1e-9)
-            if m > 0 and free[p] <= typical:
-                for k in p:
-                    left[k] -= m
-                out.append((p, m))
-        lengths = np.nonzero(left)[0]
-        out += [(tuple(int(lengths[i]) for i in p), m) for p, m in best_fit(lengths, left[lengths], capacity)]
-    return out
+    if not demand.any():
+        return []
+    x, _ = fractional(demand, capacity)
+    free = {p: capacity - sum(p) for p in x}
+    typical = sum(free[p] * x[p] for p in x) / sum(x.values())
+    # patterns looser than a limit are dissolved for the best fit; the tightest rounding wins
+    return min((_rounded(demand, x, free, limit, capacity) for limit in (0, typical, capacity)), key=lambda r: sum(m for _, m in r))
+
+
+def _rounded(demand: np.ndarray, x: dict[tuple[int, ...], float], free: dict[tuple[int, ...], int], limit: float,
+             capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Whole numbers of the patterns with at most ``limit`` free tokens, best fit for the rest."""
+    out, left = [], demand.copy()
+    for p in sorted(x, key=lambda p: (free[p], -x[p], p)):
+        m = int(x[p] + 1e-9)
+        if m > 0 and free[p] <= limit:
+            for k in p:
+                left[k] -= m
+            out.append((p, m))
+    lengths = np.nonzero(left)[0]
+    return out + [(tuple(int(lengths[i]) for i in p), m) for p, m in best_fit(lengths, left[lengths], capacity)]
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
