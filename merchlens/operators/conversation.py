@@ -55,6 +55,12 @@ def active_sessions(turns: DataFrame, session: str = "session_id") -> DataFrame:
     return turns.agg(F.count_distinct(session).alias("active_sessions"))
 
 
+def _tokens_of(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """(keys, token): each distinct token of a text, tokenised once (see ``retrieval.postings``)."""
+    ex = df.select(*keys, F.explode_outer(token_set(text_col)).alias("token"))
+    return ex.where("token is not null")
+
+
 def _finish(df: DataFrame) -> DataFrame:
     """Shared E1-E3 formulas from per-run counts."""
     n_ctx = F.col("n_contexts")
@@ -75,9 +81,9 @@ def heuristic_eval(runs: DataFrame, contexts: DataFrame, run: str = "run_id") ->
 
     Token sets are joined on ``(run, token)`` — each context row meets only its
     own run's question tokens; no pair of unrelated rows is formed."""
-    q = runs.select(run, F.explode(token_set("query")).alias("token"))
-    a = runs.select(run, F.explode(token_set("answer")).alias("token"))
-    c = contexts.select(run, "ctx_id", F.explode(token_set("text")).alias("token"))
+    q = _tokens_of(runs, "query", run)
+    a = _tokens_of(runs, "answer", run)
+    c = _tokens_of(contexts, "text", run, "ctx_id")
     ov = (q.join(c, [run, "token"]).groupBy(run, "ctx_id").agg(F.count(F.lit(1)).alias("ov"))
           .groupBy(run).agg(F.count(F.when(F.col("ov") > 1, F.lit(1))).alias("n_rel_ctx"),
                             F.sum("ov").alias("sum_overlap")))
@@ -98,10 +104,10 @@ def conversation_eval(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     turns that share nothing: faithfulness uses each token's first turn in the
     conversation; overlaps come from an equi-join on (conversation, token)."""
     turns = conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ctx_turn"), "text")
-    ct = turns.select("session_id", "ctx_turn", F.explode(token_set("text")).alias("token"))
+    ct = _tokens_of(turns, "text", "session_id", "ctx_turn")
     first = ct.groupBy("session_id", "token").agg(F.min("ctx_turn").alias("first_turn"))
-    qt = pairs.select("session_id", "turn_no", F.explode(token_set("human")).alias("token"))
-    at = pairs.select("session_id", "turn_no", F.explode(token_set("ai")).alias("token"))
+    qt = _tokens_of(pairs, "human", "session_id", "turn_no")
+    at = _tokens_of(pairs, "ai", "session_id", "turn_no")
     a_hits = (at.join(first, ["session_id", "token"]).where(F.col("first_turn") < F.col("turn_no"))
               .groupBy("session_id", "turn_no").agg(F.count(F.lit(1)).alias("a_hits")))
     ov = (qt.join(ct, ["session_id", "token"]).where(F.col("ctx_turn") < F.col("turn_no"))

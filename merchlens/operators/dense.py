@@ -1,13 +1,11 @@
 """Dense vectors: exact cosine top-k (J5, R10, F4, W7, W9), centroid queries,
 precision/recall@k (E4, E5, J6) and batch embedding with a pluggable model (R12, UF1).
 
-Top-k plan: the query matrix is a *size-checked* broadcast (at most
-``max_broadcast_queries`` rows; larger query sets are processed in slices of
-that size).  Each task multiplies its Arrow batches of vectors with the query
-matrix in numpy (BLAS), keeps a running top-k per query, and emits at most
-k rows per query per partition; a final ``row_number() <= k`` per query merges
-the partial lists.  No cross join is materialised and the shuffle carries only
-k x partitions rows per query.
+Top-k plan: the query set is dealt into packed blocks and the vectors into packed
+chunks; each chunk meets each block once in an equi-join on the block number, and a
+task multiplies the two in numpy (BLAS) and emits at most k rows per query and
+chunk; ``row_number() <= k`` per query merges them.  No driver action, no cross
+join, and no plan that depends on how many queries there are.
 """
 
 from __future__ import annotations
@@ -16,14 +14,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchlens import constants as K
 from merchlens.functions.numeric import dround
 
-MAX_BROADCAST_QUERIES = 20_000
+#: Query blocks that the query set is dealt into; a block's vectors are held by a task at once.
+QUERY_BLOCKS = 8
+#: Vectors packed into one row before they meet the query blocks.
+CHUNK_ROWS = 4096
 
 
 def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
@@ -36,84 +37,104 @@ def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str =
              F.col(label_col).cast("long").alias("q_filter"))
 
 
-def _topk_partition(q_ids, q_mat, q_filter, k, id_col, vec_col, filter_col):
-    qn = np.linalg.norm(q_mat, axis=1)
-    qn[qn == 0] = 1.0
-    qm = q_mat / qn[:, None]
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1)
+    n[n == 0] = 1.0
+    return m / n[:, None]
 
-    def run(batches):
-        best_s = None   # (nq, <=k) rounded scores
-        best_id = None
-        best_raw = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            V = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            vn = np.linalg.norm(V, axis=1)
-            vn[vn == 0] = 1.0
-            S = (V / vn[:, None]) @ qm.T                      # (n, nq)
-            ids = pdf[id_col].to_numpy()
-            if q_filter is not None:
-                labels = pdf[filter_col].to_numpy()
-                S = np.where(labels[:, None] == q_filter[None, :], S, -np.inf)
-            R = np.round(S, 8)
-            cand_s = R.T                                       # (nq, n)
-            cand_raw = S.T
-            cand_id = np.broadcast_to(ids, cand_s.shape)
-            if best_s is not None:
-                cand_s = np.concatenate([best_s, cand_s], axis=1)
-                cand_raw = np.concatenate([best_raw, cand_raw], axis=1)
-                cand_id = np.concatenate([best_id, cand_id], axis=1)
-            # order by rounded score desc, then id asc; keep k
-            order = np.lexsort((cand_id, -cand_s), axis=1)[:, :k]
-            best_s = np.take_along_axis(cand_s, order, axis=1)
-            best_raw = np.take_along_axis(cand_raw, order, axis=1)
-            best_id = np.take_along_axis(cand_id, order, axis=1)
-        if best_s is None:
-            return
-        keep = np.isfinite(best_s)
-        qi = np.repeat(q_ids[:, None], best_s.shape[1], axis=1)
-        yield pd.DataFrame({"query_id": qi[keep], id_col: best_id[keep], "score": best_raw[keep]})
-    return run
+
+def _block_best(v: np.ndarray, ids: np.ndarray, labels, q: np.ndarray, q_filter, k: int):
+    """(query index, id, score) of the k best rows of one chunk for each query of one block."""
+    for s in range(0, len(q), 256):
+        raw = q[s:s + 256] @ v.T
+        if labels is not None:
+            raw = np.where(labels[None, :] == q_filter[s:s + 256, None], raw, -np.inf)
+        rank = np.round(raw, 8)
+        if rank.shape[1] > k:  # ties with the k-th stay in
+            cut = np.partition(rank, -k, axis=1)[:, -k]
+            keep = rank >= cut[:, None]
+        else:
+            keep = np.ones(rank.shape, bool)
+        keep &= np.isfinite(raw)
+        row, col = np.nonzero(keep)
+        order = np.lexsort((ids[col], -rank[row, col], row))
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, row)
+        top = np.arange(len(row)) - first < k
+        yield s + row[top], ids[col[top]], raw[row[top], col[top]]
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = K.DEFAULT_TOP_K, id_col: str = "vec_id",
-               vec_col: str = "embedding", filter_col: str | None = None,
-               max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+               vec_col: str = "embedding", filter_col: str | None = None, query_blocks: int = QUERY_BLOCKS) -> DataFrame:
     """Exact cosine top-k per query; ``filter_col`` keeps only vectors whose value
     equals the query's ``q_filter`` (per-query metadata pre-filter, F4).  Ties
-    rank by id ascending; scores are ranked on their 8-dp rounded value."""
-    spark = vectors.sparkSession
-    cols = [id_col, vec_col] + ([filter_col] if filter_col else [])
-    v = vectors.select(*cols)
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType()),
-                           T.StructField("score", T.DoubleType())])
-    n_q = queries.count()
-    parts = []
-    # bounded broadcast: hash slices of the query set, each expected well under the cap
-    n_slices = max(1, -(-2 * n_q // max_broadcast_queries)) if n_q > max_broadcast_queries else 1
-    for sl_no in range(n_slices):
-        sl = queries if n_slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_slices)) == sl_no)
-        rows = sl.select("query_id", "qvec", *(["q_filter"] if filter_col else [])).collect()
-        if not rows:
-            continue
-        q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        q_mat = np.array([r["qvec"] for r in rows], dtype=np.float64)
-        q_f = np.array([r["q_filter"] for r in rows]) if filter_col else None
-        bq = spark.sparkContext.broadcast((q_ids, q_mat, q_f))
-
-        def fn(batches, bq=bq):
-            ids_, mat_, f_ = bq.value
-            yield from _topk_partition(ids_, mat_, f_, k, id_col, vec_col, filter_col)(batches)
-        parts.append(v.mapInPandas(fn, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rank by id ascending; scores are ranked on their 8-dp rounded value.
+
+    One plan for any number of queries: queries are dealt into ``query_blocks`` packed
+    blocks, vectors into packed chunks, and each chunk row meets each block row in an
+    equi-join on the block number (Spark broadcasts the blocks when they are small).  A
+    task holds one chunk and one block; raise ``query_blocks`` for larger query
+    sets.  Rows with a null vector or id take no part; an empty side gives no rows."""
+    id_type, q_type = vectors.schema[id_col].dataType, queries.schema["query_id"].dataType
+    keep = [F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")]
+    if filter_col:
+        keep.append(F.col(filter_col).alias("label"))
+    v = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(*keep)
+    q = queries.where(F.col("qvec").isNotNull())
+    member = [F.col("query_id"), F.col("qvec").cast("array<double>").alias("qvec"), *([F.col("q_filter")] if filter_col else [])]
+    blocks = (q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("block"))
+              .agg(F.collect_list(F.struct(*member)).alias("members")))
+
+    # a chunk number per CHUNK_ROWS rows of a partition packs the vectors without moving them
+    fields = ["id", "vec"] + (["label"] if filter_col else [])
+    chunk = T.StructType([T.StructField(f, T.ArrayType(v.schema[f].dataType)) for f in fields])
+
+    def pack(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), CHUNK_ROWS):
+                part = pdf.iloc[s:s + CHUNK_ROWS]
+                yield pd.DataFrame({f: [part[f].tolist()] for f in fields})
+
+    chunks = v.mapInPandas(pack, chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    met = chunks.withColumn("block", F.col("block").cast("long")).join(blocks, "block").drop("block")
+    out_schema = T.StructType([T.StructField("query_id", q_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
+
+    def search(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids = np.array(list(r.id))
+                mat = _unit(np.array([list(x) for x in r.vec], dtype=np.float64))
+                names = [m["query_id"] for m in r.members]
+                qm = _unit(np.array([list(m["qvec"]) for m in r.members], dtype=np.float64))
+                labels = np.array(list(r.label)) if filter_col else None
+                qf = np.array([m["q_filter"] for m in r.members]) if filter_col else None
+                for qi, found, score in _block_best(mat, ids, labels, qm, qf, k):
+                    yield pd.DataFrame({"query_id": [names[i] for i in qi], id_col: found, "score": score})
+
+    out = met.mapInPandas(search, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.col("_rk").desc(), F.col(id_col).asc())
     return (out.withColumn("_rk", dround("score", 8)).withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k).drop("_rk"))
 
 
+def dense_merchants(vectors: DataFrame, queries: DataFrame, merchants: DataFrame, k: int = K.DEFAULT_TOP_K,
+                    static_filter: Column | None = None, id_col: str = "doc_id", vec_col: str = "embedding",
+                    depth: int = 4) -> DataFrame:
+    """Dense merchant search.  ``vectors`` are chunk vectors with their metadata
+    (``merchant_id``, city, mcc_code, transaction_value_tier ...), restricted by
+    ``static_filter`` before scoring; each merchant appears once, with its best chunk, joined to
+    its record.  ``depth``: chunks a merchant can have at most."""
+    v = vectors.where(static_filter) if static_filter is not None else vectors
+    hits = dense_topk(v, queries, k * depth, id_col, vec_col).join(v.select(id_col, "merchant_id"), id_col)
+    rank = dround("score", 8)
+    one = Window.partitionBy("query_id", "merchant_id").orderBy(rank.desc(), F.col(id_col).asc())
+    best = hits.drop("rank").withColumn("_b", F.row_number().over(one)).where("_b = 1").drop("_b")
+    top = Window.partitionBy("query_id").orderBy(rank.desc(), F.col(id_col).asc())
+    best = best.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return best.join(merchants.select("merchant_id", "merchant_name", "city", "mcc_code", "stars"), "merchant_id").select(
+        "query_id", "rank", "merchant_id", "merchant_name", "city", "mcc_code", "stars", id_col, dround("score", 4).alias("score"))
+
+
 def precision_recall_at_k(retrieved: DataFrame, relevant: DataFrame, k: int = K.DEFAULT_TOP_K,
                           qid: str = "query_id", id_col: str = "vec_id") -> DataFrame:
     """Precision divides by k (not by rows returned); recall is 0
@@ -122,7 +143,8 @@ def precision_recall_at_k(retrieved: DataFrame, relevant: DataFrame, k: int = K.
     hits = top.join(relevant.select(qid, id_col), [qid, id_col], "left_semi").groupBy(qid).agg(
         F.count(F.lit(1)).alias("hits"))
     n_rel = relevant.groupBy(qid).agg(F.count(F.lit(1)).alias("n_relevant"))
-    qs = retrieved.select(qid).distinct()
+    # a question without hits counts with 0, one without relevant rows too
+    qs = retrieved.select(qid).unionByName(relevant.select(qid)).distinct()
     return (qs.join(hits, qid, "left").join(n_rel, qid, "left")
             .select(qid, F.coalesce("hits", F.lit(0)).alias("hits"),
                     F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"),
@@ -133,22 +155,24 @@ def precision_recall_at_k(retrieved: DataFrame, relevant: DataFrame, k: int = K.
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in model: signed feature hashing of lower-cased
-    ``[a-z0-9]+`` tokens, L2-normalised (tests; real models plug in the same way)."""
+    ``[a-z0-9]+`` tokens, L2-normalised (tests; real models plug in the same way).  A token's
+    32-bit hash is the start of its md5: the slot is it modulo ``dim``, its top bit the sign."""
+    import hashlib
     import re
 
-    import xxhash
-
     pat = re.compile(K.TOKEN_PATTERN)
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for tok in pat.findall((t or "").lower()):
-                h = xxhash.xxh64_intdigest(tok)
-                out[i, h % dim] += 1.0 if (h >> 63) == 0 else -1.0
+        found = [pat.findall((t or "").lower()) for t in texts]
+        vocabulary = {t: i for i, t in enumerate(dict.fromkeys(t for f in found for t in f))}
+        h = np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") for t in vocabulary], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        hash_ = h[[vocabulary[t] for f in found for t in f]] if len(row) else np.zeros(0, np.int64)
+        out = np.zeros((len(texts), dim))
+        np.add.at(out, (row, hash_ % dim), np.where(hash_ >> 31 == 0, 1.0, -1.0))
         n = np.linalg.norm(out, axis=1, keepdims=True)
         n[n == 0] = 1.0
-        return out / n
+        return (out / n).astype(np.float32)
     return embed
 
 

@@ -65,7 +65,9 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if by_document:
         docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
     t = docs.select(id_col, tokens(text_col).alias("_t"))
-    ex = t.select(id_col, F.size("_t").alias("n_tokens"), F.explode("_t").alias("token"))
+    # explode_outer: for a plain explode Catalyst infers size > 0 filters over the tokenising
+    # expression and pushes them below the exchange, where every text would be tokenised again
+    ex = t.select(id_col, F.size("_t").alias("n_tokens"), F.explode_outer("_t").alias("token")).where("token is not null")
     return (ex.groupBy(id_col, "n_tokens", "token")
             .agg(F.count(F.lit(1)).alias("tf_count"))
             .select(id_col, "token", "tf_count", "n_tokens", (F.col("tf_count") / F.col("n_tokens")).alias("tf")))
@@ -190,8 +192,9 @@ def top_k_padded(matched: DataFrame, questions: DataFrame, candidates: Column, k
 def search_documents(index: TfidfIndex, docs: DataFrame, questions: DataFrame, k: int = K.DEFAULT_TOP_K,
                      qid: str = "query_id", text_col: str = "query") -> DataFrame:
     """R9 on a plain corpus: top-k documents per question, zero scores eligible."""
-    s = scores(index, questions, qid, text_col)
     id_col = index.id_col
+    # only the kept documents may be found (an index may hold more than ``docs``)
+    s = scores(index, questions, qid, text_col).join(docs.select(id_col), id_col, "left_semi")
     # the 2k highest ids: enough to pad any query that matched fewer than k docs
     cand = (docs.select(id_col).orderBy(F.col(id_col).desc()).limit(2 * k)
             .agg(F.sort_array(F.collect_list(F.struct(F.col(id_col))), asc=False)).scalar())
