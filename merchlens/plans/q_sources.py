@@ -246,17 +246,6 @@ def q_chunk_upsert(spark, sf):
 
 # ---------------------------------------------------------------- envelopes
 
-ENVELOPE_SCHEMA = T.StructType([
-    T.StructField("event_id", T.StringType()), T.StructField("event_type", T.StringType()),
-    T.StructField("source", T.StringType()), T.StructField("schema_version", T.StringType()),
-    T.StructField("payload", T.StructType([
-        T.StructField("transaction_id", T.StringType()), T.StructField("merchant_id", T.StringType()),
-        T.StructField("transaction_amount", T.DoubleType()), T.StructField("acceptance_method", T.StringType()),
-        T.StructField("timestamp", T.StringType())])),
-    T.StructField("timestamp_ms", T.LongType()),
-])
-
-
 def envelope(df):
     """Event envelope as JSON text (the ``value`` of a topic record)."""
     from merchlens.streaming.ingest import to_envelope
@@ -265,17 +254,14 @@ def envelope(df):
 
 @register("event_envelope", with_ctes("""
 SELECT md5(transaction_id) AS event_id, 'merchant_transaction' AS event_type, 'merchlens_pipeline' AS source,
-       '1.0' AS schema_version, transaction_id, transaction_amount, acceptance_method,
-       epoch_ms(transaction_at) AS timestamp_ms
+       '1.0' AS schema_version, transaction_id, merchant_id, merchant_name, transaction_amount, mcc_code, mcc_description,
+       city, state, neighborhood, latitude, longitude, strftime(transaction_at, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+       acceptance_method, stars, review_count, review_velocity_30d, categories, CAST(is_open AS INTEGER) AS is_open,
+       CAST(price_range AS INTEGER) AS price_range, epoch_ms(transaction_at) AS timestamp_ms
 FROM stg""", "stg"), ids=("S6",))
 def q_event_envelope(spark, sf):
-    env = envelope(stg_of(spark, sf))
-    parsed = env.select(F.from_json("value", ENVELOPE_SCHEMA).alias("e"))
-    return parsed.select("e.event_id", "e.event_type", "e.source", "e.schema_version",
-                         F.col("e.payload.transaction_id").alias("transaction_id"),
-                         F.col("e.payload.transaction_amount").alias("transaction_amount"),
-                         F.col("e.payload.acceptance_method").alias("acceptance_method"),
-                         F.col("e.timestamp_ms").alias("timestamp_ms"))
+    parsed = envelope(stg_of(spark, sf)).select(F.from_json("value", I.ENVELOPE).alias("e"))
+    return parsed.select("e.event_id", "e.event_type", "e.source", "e.schema_version", "e.payload.*", "e.timestamp_ms")
 
 
 # ---------------------------------------------------------------- ingest validation, batch jobs
@@ -300,14 +286,16 @@ def q_ingest_validate(spark, sf):
         "transaction_id", "merchant_id", "mcc_code", "acceptance_method", "reason", "is_valid")
 
 
-@register("batch_load_job", _ROUNDTRIP_SQL, ids=("S3",))
+@register("batch_load_job", _ROUNDTRIP_SQL + """
+QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY ts DESC NULLS LAST, merchant_id DESC NULLS LAST,
+  transaction_amount DESC NULLS LAST, acceptance_method DESC NULLS LAST) = 1""", ids=("S3",))
 def q_batch_load_job(spark, sf):
     staging, archive = scratch_dir(spark, "staging-in"), scratch_dir(spark, "staging-archive")
     S.write_staging_csv(FX.raw_txn(spark, sf).repartition(6), staging)
     raw_p, rej_p = scratch_dir(spark, "loaded"), scratch_dir(spark, "load-rejects")
     I.start_batch_load(spark, staging, archive, raw_p, rej_p, scratch_dir(spark, "ckpt"), max_files=2) \
         .awaitTermination()
-    return _roundtrip_cols(spark.read.parquet(raw_p).drop("epoch"))
+    return _roundtrip_cols(I.loaded_table(spark, raw_p))
 
 
 def _rebuild_sql() -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchlens.functions.numeric import dround
+from merchlens.operators import models as M
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import stg_of
 from merchlens import constants as K
@@ -34,23 +35,46 @@ def _txn_stream(spark, sf):
     return _stream_files(spark, FX.stream_txn(spark, sf), "stream-txn")
 
 
-@register("stream_ingest_envelope", with_ctes(f"""
-SELECT md5(transaction_id) AS event_id, transaction_id, merchant_id, merchant_name, transaction_amount, mcc_code,
-       city, acceptance_method, strftime(transaction_at, '%Y-%m-%dT%H:%M:%S') AS timestamp,
-       epoch_ms(transaction_at) AS timestamp_ms, make_timestamp(epoch_ms(transaction_at) * 1000) AS event_time
-FROM stg
-WHERE transaction_id IS NOT NULL AND merchant_id IS NOT NULL AND transaction_amount >= 0
-  AND lower(acceptance_method) IN ({sql_list(K.ACCEPTANCE_METHODS)})""", "stg"), ids=("S5", "ST1", "ST8"))
-def q_stream_ingest_envelope(spark, sf):
+_VALID_STG = f"""
+SELECT * FROM stg
+WHERE transaction_id IS NOT NULL AND merchant_id IS NOT NULL AND merchant_name IS NOT NULL AND transaction_amount >= 0
+  AND mcc_code IS NOT NULL AND mcc_description IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL
+  AND latitude IS NOT NULL AND longitude IS NOT NULL
+  AND coalesce(acceptance_method, '{K.DEFAULT_ACCEPTANCE}') IN ({sql_list(K.ACCEPTANCE_METHODS)})"""
+
+
+def _ingested(spark, sf, max_files=2):
+    """All of staging sent as envelopes in bounded batches, beside a broken one; the raw table."""
     src = scratch_dir(spark, "envelopes")
     I.to_envelope(stg_of(spark, sf)).repartition(4).write.mode("overwrite").text(src)
     spark.createDataFrame([("{broken envelope",)], "value string").write.mode("append").text(src)
     raw, rejects = scratch_dir(spark, "raw"), scratch_dir(spark, "rejects")
-    q = _run(I.start_ingest(I.file_source(spark, src, max_files=2), raw, rejects, scratch_dir(spark, "ckpt")))
-    del q
+    _run(I.start_ingest(I.file_source(spark, src, max_files=max_files), raw, rejects, scratch_dir(spark, "ckpt")))
     return I.raw_table(spark, raw)
 
 
+@register("stream_ingest_envelope", with_ctes(f"""
+SELECT md5(transaction_id) AS event_id, transaction_id, merchant_id, merchant_name, transaction_amount, mcc_code,
+       mcc_description, city, state, neighborhood, latitude, longitude,
+       strftime(transaction_at, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+       coalesce(acceptance_method, '{K.DEFAULT_ACCEPTANCE}') AS acceptance_method, stars, review_count,
+       review_velocity_30d, categories, CAST(is_open AS INTEGER) AS is_open, CAST(price_range AS INTEGER) AS price_range,
+       epoch_ms(transaction_at) AS timestamp_ms, make_timestamp(epoch_ms(transaction_at) * 1000) AS event_time
+FROM valid""", "stg", local=[("valid", _VALID_STG)]), ids=("S5", "ST1", "ST8", "F7"))
+def q_stream_ingest_envelope(spark, sf):
+    return _ingested(spark, sf).drop("ts", "ingested_at")
+
+
+@register("stream_raw_staging", with_ctes("""
+SELECT transaction_id, merchant_id, merchant_name, transaction_amount, mcc_code, mcc_description, city, state, neighborhood,
+       latitude, longitude, transaction_at, acceptance_method, stars, review_count, review_velocity_30d, categories, is_open,
+       price_range, transaction_value_tier, price_symbol, transaction_quarter, transaction_year
+FROM valid""", "stg", local=[("valid", _VALID_STG)]), ids=("S5", "ST1", "S14"))
+def q_stream_raw_staging(spark, sf):
+    """The staging model over the raw table that the stream wrote."""
+    return M.staging(_ingested(spark, sf, max_files=1)).drop("ingested_at")
+
+
 @register("stream_dedup", with_ctes(
     "SELECT transaction_id, merchant_id, transaction_amount, acceptance_method, ts FROM stream_txn", "stream_txn"),
     ids=("ST2",))

@@ -18,24 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from merchlens import constants as K
 from merchlens.operators.models import latest_per_key
+from merchlens.operators.quality import validate_ingest
 from merchlens.sources.upsert import log_append, log_read
 
 SOURCE_NAME = "merchlens_pipeline"
 EVENT_TYPE = "merchant_transaction"
 SCHEMA_VERSION = "1.0"
 
-PAYLOAD_SCHEMA = T.StructType([
-    T.StructField("transaction_id", T.StringType()),
-    T.StructField("merchant_id", T.StringType()),
-    T.StructField("merchant_name", T.StringType()),
-    T.StructField("transaction_amount", T.DoubleType()),
-    T.StructField("mcc_code", T.StringType()),
-    T.StructField("city", T.StringType()),
-    T.StructField("acceptance_method", T.StringType()),
-    T.StructField("timestamp", T.StringType()),
-])
+_S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
+# The whole transaction record travels: nothing that staging needs is lost on the way.
+PAYLOAD_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
+    ("transaction_id", _S), ("merchant_id", _S), ("merchant_name", _S), ("transaction_amount", _D), ("mcc_code", _S),
+    ("mcc_description", _S), ("city", _S), ("state", _S), ("neighborhood", _S), ("latitude", _D), ("longitude", _D),
+    ("timestamp", _S), ("acceptance_method", _S), ("stars", _D), ("review_count", _I), ("review_velocity_30d", _I),
+    ("categories", _S), ("is_open", _I), ("price_range", _I))])
 ENVELOPE = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("event_type", T.StringType()),
@@ -51,7 +48,7 @@ def to_envelope(txns: DataFrame, ts_col: str = "transaction_at") -> DataFrame:
     event id = md5 of the transaction id, so re-sends are idempotent)."""
     payload = F.struct(*[
         (F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp") if f.name == "timestamp"
-         else F.col(f.name).alias(f.name)) for f in PAYLOAD_SCHEMA.fields
+         else F.col(f.name).cast(f.dataType).alias(f.name)) for f in PAYLOAD_SCHEMA.fields
         if f.name == "timestamp" or f.name in txns.columns])
     env = F.struct(
         F.md5(F.col("transaction_id")).alias("event_id"), F.lit(EVENT_TYPE).alias("event_type"),
@@ -68,9 +65,10 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, max_offsets: int
             .select(F.col("value").cast("string").alias("value")))
 
 
-def kafka_sink_options(servers: str, topic: str) -> dict:
-    """S6 production sink options (gzip-compressed producer)."""
-    return {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.compression.type": "gzip"}
+def write_kafka(txns: DataFrame, servers: str, topic: str, ts_col: str = "transaction_at") -> None:
+    """Send transactions as envelopes to a topic (gzip-compressed producer), keyed by merchant."""
+    (to_envelope(txns, ts_col).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+     .option("kafka.compression.type", "gzip").save())
 
 
 def file_source(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -79,37 +77,39 @@ def file_source(spark: SparkSession, folder: str, max_files: int = 1000) -> Data
 
 
 def parse_envelopes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Envelope text -> (valid transaction rows, rejects with reason)."""
+    """Envelope text -> (valid transaction rows, rejects with reason).
+
+    The rules are those of ``quality.validate_ingest``, as for every other way in."""
     e = values.select(F.col("value"), F.from_json("value", ENVELOPE).alias("e"))
     p = F.col("e.payload")
-    amount = p["transaction_amount"]
-    reason = (F.when(F.col("e").isNull() | p.isNull(), F.lit("unparseable envelope"))
-              .when(p["transaction_id"].isNull() | p["merchant_id"].isNull(), F.lit("missing id"))
-              .when(amount.isNull() | (amount < 0), F.lit("bad amount"))
-              .when(~F.lower(p["acceptance_method"]).isin(K.ACCEPTANCE_METHODS), F.lit("bad acceptance_method")))
-    tagged = e.withColumn("_reason", reason)
+    flat = e.select("value", F.col("e.event_id").alias("event_id"), F.col("e.timestamp_ms").alias("timestamp_ms"),
+                    (F.col("e").isNull() | p.isNull()).alias("_broken"), *[p[f.name].alias(f.name) for f in PAYLOAD_SCHEMA.fields])
+    checked = validate_ingest(flat)
+    reason = (F.when(F.col("_broken"), F.lit("unparseable envelope"))
+              .when(F.col("transaction_id").isNull(), F.concat_ws("; ", F.lit("missing transaction_id"), F.col("reason")))
+              .otherwise(F.col("reason")))
+    tagged = checked.withColumn("_reason", reason)
     good = tagged.where(F.col("_reason").isNull()).select(
-        F.col("e.event_id").alias("event_id"), "e.payload.*",
-        F.col("e.timestamp_ms").alias("timestamp_ms"),
-        F.timestamp_millis(F.col("e.timestamp_ms")).alias("event_time"))
+        "event_id", *PAYLOAD_SCHEMA.names, "timestamp_ms", F.timestamp_millis("timestamp_ms").alias("event_time"))
     bad = tagged.where(F.col("_reason").isNotNull()).select("value", F.col("_reason").alias("reason"))
     return good, bad
 
 
 def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint: str,
-                 available_now: bool = True, max_records: int | None = None) -> StreamingQuery:
+                 available_now: bool = True) -> StreamingQuery:
     """ST1: envelope stream -> validate -> dedupe within the batch -> append to
     the raw keyed log (readers see the last write per transaction); rejects go
     to a side table, one folder per epoch.  The batch is persisted so the
-    envelopes are parsed once for both writes."""
+    envelopes are parsed once for both writes.
+
+    No record is dropped: bound a batch at its source (``maxFilesPerTrigger``,
+    ``maxOffsetsPerTrigger``), where what is not read yet stays unread."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         df.persist()
         try:
             good, bad = parse_envelopes(df)
             good = latest_per_key(good, "transaction_id", [F.col("timestamp_ms").desc(), F.col("event_id").desc()])
-            if max_records:
-                good = good.orderBy("timestamp_ms", "transaction_id").limit(max_records)
             log_append(good, raw_path, epoch)
             bad.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
         finally:
@@ -121,9 +121,11 @@ def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint
 
 
 def raw_table(spark: SparkSession, raw_path: str) -> DataFrame | None:
-    """The raw table: last write per transaction id (later batch wins)."""
+    """The raw table: last write per transaction id (later batch wins), with the columns that
+    ``models.staging`` reads (``ts`` from the record, ``ingested_at`` from the envelope)."""
     order = [F.col("_epoch").desc(), F.col("timestamp_ms").desc(), F.col("event_id").desc()]
-    return log_read(spark, raw_path, "transaction_id", order)
+    rows = log_read(spark, raw_path, "transaction_id", order)
+    return None if rows is None else rows.withColumns({"ts": F.to_timestamp("timestamp"), "ingested_at": F.col("event_time")})
 
 
 def stream_dedup(stream: DataFrame, ts_col: str = "ts", key: str = "transaction_id",
@@ -160,6 +162,16 @@ def alerts(stream: DataFrame, stats: DataFrame, sd_mult: float = 2.0) -> DataFra
                     F.col("ts")))
 
 
+def _loaded_order() -> list:
+    """Newest record first; what is as new is ordered by its content, so any file order loads alike."""
+    return [F.col(c).desc_nulls_last() for c in ("ts", "merchant_id", "transaction_amount", "acceptance_method")]
+
+
+def loaded_table(spark: SparkSession, raw_path: str) -> DataFrame | None:
+    """The table behind ``start_batch_load``: one row per ``transaction_id``, the newest."""
+    return log_read(spark, raw_path, "transaction_id", _loaded_order())
+
+
 def start_batch_load(spark: SparkSession, staging_dir: str, archive_dir: str, raw_path: str, rejects_path: str,
                      checkpoint: str, max_files: int = 1000, array_sep: str = "|") -> StreamingQuery:
     """S3: load every staged CSV file once, then archive it.
@@ -169,8 +181,9 @@ def start_batch_load(spark: SparkSession, staging_dir: str, archive_dir: str, ra
     ``cleanSource=archive`` moves processed files to ``archive_dir`` (Spark
     archives a batch's files when the next batch starts, so the last batch's
     files move on the next run).  Each micro-batch is parsed once (persisted
-    for its two writes) and written to an epoch folder that a replay
-    overwrites, so a retried batch never duplicates rows."""
+    for its two writes) and upserted by ``transaction_id`` into the keyed log
+    under ``raw_path``: an epoch folder that a replay overwrites, read by
+    ``loaded_table``."""
     from merchlens.sources.files import CSV_STRING_SCHEMA, parse_staging_rows
 
     stream = (spark.readStream.schema(CSV_STRING_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
@@ -182,7 +195,7 @@ def start_batch_load(spark: SparkSession, staging_dir: str, archive_dir: str, ra
         df.persist()
         try:
             valid, rejects = parse_staging_rows(df, array_sep)
-            valid.write.mode("overwrite").parquet(f"{raw_path}/epoch={epoch}")
+            log_append(latest_per_key(valid, "transaction_id", _loaded_order()), raw_path, epoch)
             rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
         finally:
             df.unpersist()
