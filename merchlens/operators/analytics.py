@@ -106,27 +106,25 @@ def top_mcc_categories(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def merchant_summary(txns: DataFrame) -> DataFrame:
-    """Merchant rollup over all transactions, with the sorted set of methods used."""
+    """Merchant rollup over all transactions, with the sorted set of methods used.
+
+    The merchant's own attributes are those of its newest transaction (ties: larger id), so a
+    merchant whose record changed gets one consistent row."""
     c = F.col
+    attributes = ("merchant_name", "city", "state", "neighborhood", "mcc_code", "mcc_description", "review_count",
+                  "review_velocity_30d", "categories", "price_range", "is_open", "latitude", "longitude")
+    newest = F.max_by(F.struct(*attributes), F.struct("transaction_at", "transaction_id"))
     return txns.groupBy("merchant_id").agg(
-        F.max("merchant_name").alias("merchant_name"),
-        F.max("city").alias("city"),
-        F.max("state").alias("state"),
-        F.max("neighborhood").alias("neighborhood"),
-        F.max("mcc_code").alias("mcc_code"),
-        F.max("mcc_description").alias("mcc_description"),
+        newest.alias("m"),
         dround(F.avg("transaction_amount"), 2).alias("avg_transaction"),
         F.count(F.lit(1)).alias("total_transactions"),
         dround(F.avg("stars"), 2).alias("avg_stars"),
-        F.max("review_count").alias("total_reviews"),
-        F.max("review_velocity_30d").alias("review_velocity"),
-        F.max("categories").alias("categories"),
         F.array_join(F.sort_array(F.collect_set("acceptance_method")), ",").alias("acceptance_methods"),
-        F.max(c("price_range")).alias("price_range"),
-        F.max(c("is_open").cast("int")).cast("boolean").alias("is_open"),
-        F.max("latitude").alias("lat"),
-        F.max("longitude").alias("lon"),
-    )
+    ).select(
+        "merchant_id", "m.merchant_name", "m.city", "m.state", "m.neighborhood", "m.mcc_code", "m.mcc_description",
+        "avg_transaction", "total_transactions", "avg_stars", c("m.review_count").alias("total_reviews"),
+        c("m.review_velocity_30d").alias("review_velocity"), "m.categories", "acceptance_methods", "m.price_range", "m.is_open",
+        c("m.latitude").alias("lat"), c("m.longitude").alias("lon"))
 
 
 def anomaly_flags(df: DataFrame, limit: int | None = 10) -> DataFrame:
@@ -195,8 +193,9 @@ def merchant_record(df: DataFrame) -> DataFrame:
 
 def merchant_filter(city: str | None = None, neighborhood: str | None = None, mcc_code: str | None = None,
                     min_stars: float | None = None, value_tier_: str | None = None, open_only: bool = False,
-                    acceptance: str | None = None, case_sensitive: bool = False) -> Column:
-    """F2/F3/F4 predicate builder.  Falsy filters are skipped."""
+                    acceptance: str | None = None, has_parking: bool | None = None, case_sensitive: bool = False) -> Column:
+    """F2/F3/F4 predicate builder.  Falsy filters are skipped (L14).  ``has_parking`` reads the
+    business record's ``attributes.Parking``: some kind of parking is offered (or, if False, none)."""
     c = F.col
     cond = F.lit(True)
     if city:
@@ -213,6 +212,10 @@ def merchant_filter(city: str | None = None, neighborhood: str | None = None, mc
         cond &= c("is_open")
     if acceptance:
         cond &= c("acceptance_method") == acceptance
+    if has_parking is not None:
+        some = F.coalesce(F.exists(F.map_values(c("attributes.Parking")), lambda v: F.coalesce(v.cast("boolean"), F.lit(False))),
+                          F.lit(False))
+        cond &= some == has_parking
     return cond
 
 
@@ -244,7 +247,7 @@ def pipeline_counts(raw_df: DataFrame, staged: DataFrame) -> DataFrame:
 def analytics(df: DataFrame, metric: str, group_by: str = "mcc_code", city: str | None = None,
               limit: int | None = 10) -> DataFrame:
     """The analytics call by metric name (the reference's analytics endpoint):
-    ``review_velocity`` | ``avg_transaction`` | ``mcc_distribution`` | ``acceptance``
+    ``review_velocity`` | ``avg_transaction`` | ``mcc_distribution`` | ``acceptance_methods``
     | ``summary`` | ``anomaly_flags`` | ``q4_spending``."""
     if metric == "review_velocity":
         return review_velocity(df, group_by, city, limit)
@@ -252,7 +255,7 @@ def analytics(df: DataFrame, metric: str, group_by: str = "mcc_code", city: str
         return avg_transaction(df, group_by, city, limit)
     if metric == "mcc_distribution":
         return mcc_distribution(df, city, limit)
-    if metric == "acceptance":
+    if metric in ("acceptance", "acceptance_methods"):
         return acceptance_distribution(df, city)
     if metric == "summary":
         return summary(_city_filter(df, city))

@@ -6,7 +6,7 @@ from a bounded, rank-sorted array (``sort_array`` before ``array_join``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlens import constants as K
@@ -82,14 +82,21 @@ def prompt_text(questions: DataFrame, context: DataFrame, history: DataFrame | N
 
 
 def trace_rows(questions: DataFrame, answers: DataFrame, hits: DataFrame, qid: str = "query_id") -> DataFrame:
-    """One trace row per answered question (preview 200 chars, sources, top score)."""
+    """One trace row per answered question (preview 200 chars, sources, top score).
+
+    ``latency_ms`` and ``tokens_used`` are what the answering run measured: columns of
+    ``questions`` where it has them, else 0."""
     top = hits.where(F.col("rank") == 1).select(qid, F.col("score").alias("_top"))
-    return (questions.select(qid, "query").join(answers, qid).join(top, qid, "left")
+    def given(name: str, dtype: str) -> Column:
+        return F.coalesce(F.col(name).cast(dtype) if name in questions.columns else F.lit(None).cast(dtype), F.lit(0).cast(dtype))
+
+    measured = (given("latency_ms", "double").alias("latency_ms"), given("tokens_used", "long").alias("tokens_used"))
+    return (questions.select(qid, "query", *measured).join(answers, qid).join(top, qid, "left")
             .select(F.md5(F.concat(F.lit("run_"), F.col(qid).cast("string"))).alias("run_id"), qid, "query",
                     F.substring("answer", 1, K.TRACE_PREVIEW_CHARS).alias("answer_preview"),
                     F.col("num_sources").cast("long").alias("num_sources"),
                     F.coalesce("_top", F.lit(0.0)).alias("top_score"),
-                    F.lit(0.0).alias("latency_ms"), F.lit(0).cast("long").alias("tokens_used")))
+                    "latency_ms", "tokens_used"))
 
 
 def recent(traces: DataFrame, n: int = 10, order: str = "query_id") -> DataFrame:
@@ -100,15 +107,15 @@ def recent(traces: DataFrame, n: int = 10, order: str = "query_id") -> DataFrame
 def eval_rows(traces: DataFrame, answers: DataFrame, hits: DataFrame, qid: str = "query_id") -> DataFrame:
     """Evaluation row per run with results; contexts are the hits' chunk texts."""
     from merchlens.operators.conversation import heuristic_eval
-    runs = (traces.where(F.col("num_sources") > 0).select("run_id", qid, "query")
+    runs = (traces.where(F.col("num_sources") > 0).select("run_id", qid, "query", "latency_ms")
             .join(answers.select(qid, "answer"), qid))
     ctx = hits.join(runs.select("run_id", qid), qid).select("run_id", F.col("rank").alias("ctx_id"),
                                                              F.col("chunk_text").alias("text"))
     scores = heuristic_eval(runs.select("run_id", "query", "answer"), ctx)
-    return runs.select("run_id", "query").join(scores, "run_id").select(
+    return runs.select("run_id", "query", "latency_ms").join(scores, "run_id").select(
         "run_id", "query", F.col("precision_at_k"), F.col("context_recall").alias("recall_at_k"),
         F.col("faithfulness").alias("answer_faithfulness"), F.col("answer_relevancy").alias("context_relevance"),
-        F.lit(0.0).alias("latency_ms"))
+        "latency_ms")
 
 
 def eval_summary(rows: DataFrame) -> DataFrame:

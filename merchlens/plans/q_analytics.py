@@ -133,16 +133,16 @@ def q_q4_actual(spark, sf):
 
 
 @register("merchant_summary", with_ctes(f"""
-SELECT merchant_id, max(merchant_name) AS merchant_name, max(city) AS city, max(state) AS state,
-       max(neighborhood) AS neighborhood, max(mcc_code) AS mcc_code, max(mcc_description) AS mcc_description,
-       {dr('avg(transaction_amount)', 2)} AS avg_transaction, count(*) AS total_transactions,
-       {dr('avg(stars)', 2)} AS avg_stars, max(review_count) AS total_reviews,
-       max(review_velocity_30d) AS review_velocity, max(categories) AS categories,
-       array_to_string(list_sort(list_distinct(list(acceptance_method) FILTER (WHERE acceptance_method IS NOT NULL))), ',')
-         AS acceptance_methods,
-       max(price_range) AS price_range, CAST(max(CAST(is_open AS INTEGER)) AS BOOLEAN) AS is_open,
-       max(latitude) AS lat, max(longitude) AS lon
-FROM stg GROUP BY merchant_id""", "stg"), ids=("A9",))
+SELECT a.merchant_id, n.merchant_name, n.city, n.state, n.neighborhood, n.mcc_code, n.mcc_description, a.avg_transaction,
+       a.total_transactions, a.avg_stars, n.review_count AS total_reviews, n.review_velocity_30d AS review_velocity,
+       n.categories, a.acceptance_methods, n.price_range, n.is_open, n.latitude AS lat, n.longitude AS lon
+FROM (SELECT merchant_id, {dr('avg(transaction_amount)', 2)} AS avg_transaction, count(*) AS total_transactions,
+             {dr('avg(stars)', 2)} AS avg_stars,
+             array_to_string(list_sort(list_distinct(list(acceptance_method) FILTER (WHERE acceptance_method IS NOT NULL))), ',')
+               AS acceptance_methods
+      FROM stg GROUP BY merchant_id) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY transaction_at DESC NULLS LAST, transaction_id DESC) AS rn
+      FROM stg) n ON n.merchant_id = a.merchant_id AND n.rn = 1""", "stg"), ids=("A9",))
 def q_merchant_summary(spark, sf):
     return A.merchant_summary(stg_of(spark, sf))
 

@@ -14,7 +14,7 @@ from merchlens.operators.analytics import merchant_filter
 from merchlens.operators.filters import infer_filters
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import latest_of, stg_of
-from merchlens.plans.sqltext import cte, dr, dt, tier, with_ctes
+from merchlens.plans.sqltext import cte, dr, dt, tier, toks, with_ctes
 from merchlens.session import ensure_checkpoint_dir
 from merchlens.sources import fixtures as FX
 
@@ -256,11 +256,24 @@ def q_tfidf_search_filtered(spark, sf):
     return merchant_search(spark, sf, static=merchant_filter(min_stars=4.0, neighborhood="zone"))
 
 
-@register("infer_filters", with_ctes(
-    "SELECT query_id, query, f_city, f_mcc_code, f_value_tier, is_valid FROM qf", "qf"), ids=("F6", "F8", "L15"))
+# Questions as users asked them: benchmark items and the user turns of conversations.
+_ASKED = """SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id, text AS query, CAST(NULL AS VARCHAR) AS city_filter,
+       CAST(NULL AS VARCHAR) AS mcc_filter, CAST(NULL AS VARCHAR) AS value_tier FROM benchmark
+UNION ALL SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), text, NULL, NULL, NULL
+FROM conversations WHERE role = 'user'"""
+
+
+@register("infer_filters", with_ctes(f"""
+SELECT query_id, query, {_rule_sql('lower(query)', 'city_filter', K.CITY_RULES)} AS f_city,
+       {_rule_sql('lower(query)', 'mcc_filter', K.MCC_RULES)} AS f_mcc_code,
+       {_rule_sql('lower(query)', 'value_tier', K.TIER_RULES)} AS f_value_tier,
+       length(query) BETWEEN 3 AND 500 AND 5 BETWEEN 1 AND 20 AS is_valid
+FROM asked""", local=[("asked", _ASKED)]), ids=("F6", "F8", "L15"))
 def q_infer_filters(spark, sf):
-    return infer_filters(FX.questions(spark)).select("query_id", "query", "f_city", "f_mcc_code", "f_value_tier",
-                                                     "is_valid")
+    bench = FX.table(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("query_id"), F.col("text").alias("query"))
+    turns = FX.table(spark, sf, "conversations").where("role = 'user'").select(
+        F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return infer_filters(bench.unionByName(turns)).select("query_id", "query", "f_city", "f_mcc_code", "f_value_tier", "is_valid")
 
 
 @register("mart_documents", with_ctes(f"""
@@ -341,12 +354,55 @@ def q_precision_recall(spark, sf):
     return D.precision_recall_at_k(top, relevant, k=5)
 
 
-@register("embed_batch", ids=("R12", "UF1"))
+def _embed_sql(src: str, key: str) -> list[tuple[str, str]]:
+    """Signed feature hashing: slot and sign from the first 32 bits of a token's md5, L2-normalised."""
+    return [
+        ("emt", f"SELECT {key} AS k, unnest({toks('text')}) AS token FROM {src}"),
+        ("emh", "SELECT k, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS h FROM emt"),
+        ("ems", "SELECT k, h % 64 AS i, sum(CASE WHEN h < 2147483648 THEN 1.0 ELSE -1.0 END) AS x FROM emh GROUP BY k, h % 64"),
+        ("emb", """SELECT k, i, CAST(CAST(x / coalesce(nullif(sqrt(sum(x * x) OVER (PARTITION BY k)), 0), 1) AS FLOAT) AS DOUBLE) AS x
+FROM ems"""),
+    ]
+
+
+@register("embed_batch", with_ctes(f"""
+SELECT d.doc_id, 64 AS dims, {dr('coalesce(sqrt(e.n), 0)', 4)} AS norm, {dr('coalesce(e.s, 0)', 3)} AS weighted_sum
+FROM documents d LEFT JOIN (SELECT k, sum(x * x) AS n, sum(x * (i + 1)) AS s FROM emb GROUP BY k) e ON e.k = d.doc_id""",
+    local=_embed_sql("documents", "doc_id")), ids=("R12", "UF1"))
 def q_embed_batch(spark, sf):
     docs = _docs(spark, sf)
     out = D.embed(docs, "text", lambda: D.hashing_embedder(64), model_key="hashing-64")
+    x = F.col("embedding").cast("array<double>")
+    weighted = F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0).cast("double"), lambda a, v: a + v)
     return out.select("doc_id", F.size("embedding").alias("dims"),
-                      dround(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+                      dround(F.sqrt(F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + v * v)), 4).alias("norm"),
+                      dround(weighted, 3).alias("weighted_sum"))
+
+
+@register("dense_merchants", with_ctes(f"""
+SELECT r.query_id, r.rank, l.merchant_id, l.merchant_name, l.city, l.mcc_code, l.stars, r.doc_id, {dr('r.score', 4)} AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {dr('score', 8)} DESC, doc_id) AS rank
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id, merchant_id ORDER BY {dr('score', 8)} DESC, doc_id) AS b
+            FROM (SELECT q.query_id, c.doc_id, c.merchant_id, coalesce(s.score, 0.0) AS score
+                  FROM questions q JOIN chunks c ON lower(c.city) IN ('nation_7', 'nation_3', 'nation_11')
+                    AND c.mcc_code <> '0742' AND c.transaction_value_tier IN ('low', 'mid', 'high')
+                  LEFT JOIN dms s ON s.query_id = q.query_id AND s.doc_id = c.doc_id))
+      WHERE b = 1) r
+JOIN latest l ON l.merchant_id = r.merchant_id WHERE r.rank <= 5""", "chunks", "latest", "questions", local=[
+    ("dmt", "SELECT doc_id AS key, text FROM chunks UNION ALL SELECT 'q' || CAST(query_id AS VARCHAR), query FROM questions"),
+    *_embed_sql("dmt", "key"),
+    ("dmn", "SELECT k, sqrt(sum(x * x)) AS n FROM emb GROUP BY k"),
+    ("dms", """SELECT CAST(substr(a.k, 2) AS INTEGER) AS query_id, b.k AS doc_id, sum(a.x * b.x) / any_value(an.n * bn.n) AS score
+FROM emb a JOIN emb b ON a.i = b.i JOIN dmn an ON an.k = a.k JOIN dmn bn ON bn.k = b.k
+WHERE a.k LIKE 'q%' AND b.k NOT LIKE 'q%' GROUP BY a.k, b.k""")]), ids=("F4", "W9", "R10"))
+def q_dense_merchants(spark, sf):
+    """Dense merchant search under city, MCC and tier filters: one hit per merchant, joined to its record."""
+    lat = latest_of(spark, sf)
+    vec = D.embed(C.chunk_merchants(lat), "text", lambda: D.hashing_embedder(64), model_key="hashing-64")
+    qs = D.embed(FX.questions(spark), "query", lambda: D.hashing_embedder(64), out_col="qvec", model_key="hashing-64")
+    keep = (F.lower("city").isin("nation_7", "nation_3", "nation_11") & (F.col("mcc_code") != "0742")
+            & F.col("transaction_value_tier").isin("low", "mid", "high"))
+    return D.dense_merchants(vec, qs.select("query_id", "qvec"), lat, k=5, static_filter=keep)
 
 
 @register("chunk_budget_compare", ids=("R16",))

@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 
 from merchlens.functions.numeric import dround
 from merchlens.operators import models as M
-from merchlens.plans.catalog import register
+from merchlens.plans.catalog import REGISTRY, register
 from merchlens.plans.q_models import stg_of
 from merchlens import constants as K
 from merchlens.plans.sqltext import dr, sql_list, with_ctes
-from merchlens.session import scratch_dir
+from merchlens.session import materialize, scratch_dir
 from merchlens.sources import fixtures as FX
+from merchlens.sources.upsert import log_append, log_read
 from merchlens.streaming import ingest as I
 from merchlens.streaming import windows as W
 
@@ -26,6 +27,28 @@ def _stream_files(spark, df, name, n_files=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def _stream_by_time(spark, df, name, ts="ts", slices=4, late=None):
+    """The same as files that arrive in event-time order, one per micro-batch; ``late`` rows come
+    with the last one."""
+    folder = scratch_dir(spark, name)
+    cuts = df.select(F.unix_micros(ts).alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.01)
+    bucket = sum((F.when(F.unix_micros(ts) >= F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(slices):
+        part = df.where(bucket == i)
+        if late is not None and i == slices - 1:
+            part = part.unionByName(late)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _keyed_updates(agg, spark, name, keys, mode="update"):
+    """Run an aggregation in update mode into a keyed log; the newest value of each key."""
+    table = scratch_dir(spark, name)
+    _run(agg.writeStream.outputMode(mode).foreachBatch(lambda df, epoch: log_append(df, table, epoch))
+         .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
+    return log_read(spark, table, keys, [F.col("_epoch").desc()])
+
+
 def _run(query):
     query.awaitTermination()
     return query
@@ -79,9 +102,13 @@ def q_stream_raw_staging(spark, sf):
     "SELECT transaction_id, merchant_id, transaction_amount, acceptance_method, ts FROM stream_txn", "stream_txn"),
     ids=("ST2",))
 def q_stream_dedup(spark, sf):
+    """Every seventh transaction is sent again at once, every fifth again long after: the first
+    copies fall to the duplicate test, the others are late and fall to the watermark."""
     out = scratch_dir(spark, "dedup-out")
-    # the fixture files arrive in no event-time order, so the watermark spans the whole range
-    s = I.stream_dedup(_txn_stream(spark, sf), watermark="3650 days")
+    txn = FX.stream_txn(spark, sf)
+    number = F.col("transaction_id").cast("long")
+    early = txn.where(number % 5 == 0).where(F.col("ts") < txn.select((F.min("ts") + F.expr("INTERVAL 5 DAYS"))).scalar())
+    s = I.stream_dedup(_stream_by_time(spark, txn.unionByName(txn.where(number % 7 == 0)), "dups", late=early), watermark="1 day")
     _run(s.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
     return spark.read.parquet(out)
@@ -92,14 +119,10 @@ SELECT date_trunc('day', ts) AS window_start, acceptance_method, count(*) AS n_t
        {dr('sum(transaction_amount)', 2)} AS amount
 FROM stream_txn GROUP BY 1, 2""", "stream_txn"), ids=("ST3",))
 def q_stream_daily_acceptance(spark, sf):
-    out = scratch_dir(spark, "daily")
-
-    def batch(df, epoch):
-        df.write.mode("overwrite").parquet(out)   # complete mode: every batch holds the whole result
-    agg = W.daily_acceptance(_txn_stream(spark, sf), watermark="3650 days")
-    _run(agg.writeStream.outputMode("complete").foreachBatch(batch)
-         .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    txn = FX.stream_txn(spark, sf)
+    late = txn.where(F.col("ts") < txn.select((F.min("ts") + F.expr("INTERVAL 5 DAYS"))).scalar())  # sent again, too late to count
+    agg = W.daily_acceptance(_stream_by_time(spark, txn, "daily", late=late), watermark="1 day")
+    return _keyed_updates(agg, spark, "daily-state", ["window_start", "acceptance_method"])
 
 
 @register("velocity_30d", with_ctes(f"""
@@ -113,6 +136,15 @@ def q_velocity_30d(spark, sf):
     return W.velocity_30d(FX.stream_txn(spark, sf))
 
 
+@register("velocity_30d_stream", with_ctes("""
+SELECT merchant_id, CAST(d AS TIMESTAMP) AS window_start, CAST(d + INTERVAL 30 DAYS AS TIMESTAMP) AS window_end, count(*) AS txns_30d
+FROM (SELECT merchant_id, CAST(ts AS DATE) - CAST(k AS INTEGER) AS d FROM stream_txn, (SELECT unnest(range(0, 30)) AS k))
+GROUP BY merchant_id, d""", "stream_txn"), ids=("ST4",))
+def q_velocity_30d_stream(spark, sf):
+    agg = W.velocity_30d_stream(_stream_by_time(spark, FX.stream_txn(spark, sf), "velocity"))
+    return _keyed_updates(agg, spark, "velocity-state", ["merchant_id", "window_start"])
+
+
 _GAP = "6 hours"
 
 
@@ -128,6 +160,22 @@ def q_stream_sessions(spark, sf):
     return W.activity_sessions(FX.stream_txn(spark, sf), gap=_GAP)
 
 
+_SESSIONS_SQL = next(e.sql for n, e in REGISTRY.items() if n == "stream_sessions")
+
+
+@register("stream_sessions_streaming", _SESSIONS_SQL, ids=("ST7",))
+def q_stream_sessions_streaming(spark, sf):
+    """The streaming session windows: a row far in the future moves the watermark past all sessions."""
+    txn = FX.stream_txn(spark, sf)
+    flush = txn.limit(1).withColumns({"merchant_id": F.lit("flush"), "transaction_id": F.lit("flush"),
+                                      "ts": F.col("ts") + F.expr("INTERVAL 20 YEARS")})
+    out = scratch_dir(spark, "sessions")
+    s = W.activity_sessions(_stream_by_time(spark, txn, "session-txn", late=flush), gap=_GAP)
+    _run(s.writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
+    return spark.read.parquet(out).where("merchant_id <> 'flush'")
+
+
 @register("stream_latest", with_ctes("""
 SELECT merchant_id, transaction_id, transaction_amount, acceptance_method, ts FROM (
   SELECT *, row_number() OVER (PARTITION BY merchant_id
@@ -151,7 +199,8 @@ def q_stream_alerts(spark, sf):
     stats = txn.groupBy("merchant_id").agg(F.avg("transaction_amount").alias("mean_amount"),
                                            F.stddev_samp("transaction_amount").alias("sd_amount"))
     out = scratch_dir(spark, "alerts")
-    a = I.alerts(_txn_stream(spark, sf), stats)
+    # written once: the static side of a stream-static join is read again by every micro-batch
+    a = I.alerts(_txn_stream(spark, sf), materialize(stats, "alert-stats"))
     _run(a.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
     return spark.read.parquet(out).select("transaction_id", "merchant_id", "transaction_amount",

@@ -135,8 +135,9 @@ def conversation_memory(turns: DataFrame, max_turns: int = K.MAX_TURNS, timeout_
             kept = pd.DataFrame({"turn_no": pd.Series(dtype="int64"), "human": pd.Series(dtype="object"),
                                  "ai": pd.Series(dtype="object")})
         for pdf in pdfs:
+            # trimmed batch by batch: a session's turns are never held together
             kept = pd.concat([kept, pdf[["turn_no", "human", "ai"]]], ignore_index=True)
-        kept = kept.drop_duplicates("turn_no", keep="last").sort_values("turn_no").tail(max_turns)
+            kept = kept.drop_duplicates("turn_no", keep="last").sort_values("turn_no").tail(max_turns)
         state.update((kept["turn_no"].astype("int64").tolist(), kept["human"].tolist(), kept["ai"].tolist()))
         if timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)

@@ -29,13 +29,10 @@ def test_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_only_runs_with_stable_schema(spark, name):
     a = QUERIES[name](spark, SF_SMALL)
-    assert a.count() >= 0
+    assert a.count() > 0
     b = QUERIES[name](spark, SF_SMALL)
     assert a.schema.simpleString() == b.schema.simpleString()
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
-    rows_only = {"business_json_read", "csv_staging_load", "embed_batch", "health_summary",
-                 "landed_files_ingest", "stream_alerts", "stream_ingest_envelope", "stream_latest",
-                 "batch_load_job", "eval_store_roundtrip", "rebuild_counts", "chunk_budget_compare"}
-    assert set(QUERIES) - set(SQL) <= rows_only
+    assert set(QUERIES) - set(SQL) <= {"chunk_budget_compare"}
