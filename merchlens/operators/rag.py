@@ -104,13 +104,14 @@ def recent(traces: DataFrame, n: int = 10, order: str = "query_id") -> DataFrame
     return traces.orderBy(F.col(order).desc()).limit(n)
 
 
-def eval_rows(traces: DataFrame, answers: DataFrame, hits: DataFrame, qid: str = "query_id") -> DataFrame:
-    """Evaluation row per run with results; contexts are the hits' chunk texts."""
+def eval_rows(traces: DataFrame, answers: DataFrame, hits: DataFrame, chunks: DataFrame, qid: str = "query_id") -> DataFrame:
+    """Evaluation row per run with results; contexts are the whole texts of the hits' chunks
+    (a hit itself carries a preview only)."""
     from merchlens.operators.conversation import heuristic_eval
     runs = (traces.where(F.col("num_sources") > 0).select("run_id", qid, "query", "latency_ms")
             .join(answers.select(qid, "answer"), qid))
-    ctx = hits.join(runs.select("run_id", qid), qid).select("run_id", F.col("rank").alias("ctx_id"),
-                                                             F.col("chunk_text").alias("text"))
+    ctx = (hits.select(qid, "rank", "doc_id").join(runs.select("run_id", qid), qid)
+           .join(chunks.select("doc_id", "text"), "doc_id").select("run_id", F.col("rank").alias("ctx_id"), "text"))
     scores = heuristic_eval(runs.select("run_id", "query", "answer"), ctx)
     return runs.select("run_id", "query", "latency_ms").join(scores, "run_id").select(
         "run_id", "query", F.col("precision_at_k"), F.col("context_recall").alias("recall_at_k"),

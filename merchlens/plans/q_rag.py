@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from merchlens import constants as K
+from merchlens.operators import chunks as C
 from merchlens.operators import conversation as V
 from merchlens.operators import rag as G
 from merchlens.operators import retrieval as R
@@ -122,8 +123,8 @@ def q_recent_traces(spark, sf):
 _EVAL_LOCAL = _HIT_LOCAL + [
     ("runs", """SELECT t.run_id, t.query_id, t.query, a.answer FROM traces t JOIN ans a USING (query_id)
 WHERE t.num_sources > 0"""),
-    ("ectx", f"""SELECT r.run_id, h.rank AS ctx_id, list_distinct({toks('h.chunk_text')}) AS c
-FROM hits h JOIN runs r USING (query_id)"""),
+    ("ectx", f"""SELECT r.run_id, h.rank AS ctx_id, list_distinct({toks('c.text')}) AS c
+FROM hits h JOIN runs r USING (query_id) JOIN chunks c ON c.doc_id = h.doc_id"""),
     ("erq", f"""SELECT run_id, query, list_distinct({toks('query')}) AS q, list_distinct({toks('answer')}) AS a
 FROM runs"""),
     ("ej", """SELECT erq.run_id, any_value(erq.query) AS query, any_value(q) AS q, any_value(a) AS a,
@@ -144,7 +145,7 @@ FROM ej"""),
 
 def _evals(spark, sf):
     traces, ans, hits = _traces(spark, sf)
-    return G.eval_rows(traces, ans, hits)
+    return G.eval_rows(traces, ans, hits, C.chunk_merchants(latest_of(spark, sf)))
 
 
 @register("eval_rows", with_ctes("SELECT * FROM evals", *_NEED, local=_EVAL_LOCAL), ids=("E6", "E1", "E2", "E3"))

@@ -40,6 +40,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.merchlens.fixture.partitions", str(os.cpu_count() if cores == "*" else cores))
         .config("spark.driver.extraJavaOptions", JVM_FLAGS)
         .config("spark.executor.extraJavaOptions", JVM_FLAGS)
     )

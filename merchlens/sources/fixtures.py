@@ -111,14 +111,18 @@ def as_duckdb(sql: str) -> str:
 FACT_TABLES = {"lineitem", "events", "documents", "embeddings", "pages", "conversations"}
 
 
+# Session setting of ``spread``: partitions to fan a fact-table scan out to; unset, scans stay as they are.
+SPREAD_CONF = "spark.merchlens.fixture.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Fan a scan out to the cluster's parallelism when it arrives in fewer
-    splits (one Parquet row group is one task, however large).  A scan that
-    already has enough splits — any table at cluster scale — is returned as
-    is, so no shuffle is added there; filters and column pruning still reach
-    the scan through the round-robin repartition."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Fan a scan out to a stated number of partitions (one Parquet row group is
+    one task, however large; the test tables have one).  Stated by the session
+    (``SPREAD_CONF``, set by ``local_session``), never derived from the
+    data: on a cluster it stays unset and no shuffle is added.  Filters and column
+    pruning still reach the scan through the round-robin repartition."""
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
