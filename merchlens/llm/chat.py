@@ -69,19 +69,28 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     # anc: the ancestor ``2^r`` steps up (null beyond the root); total, steps: over the messages before it
     step = step.select("tree", "id", F.col("kid").alias("anc"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
     rounds = [materialize(step, "chat-round")]
+    done = [rounds[0].where("anc is null")]
     open_, before = rounds[0].where("anc is not null").count(), -1
     while open_ and open_ != before:
-        s = rounds[-1]
-        up = s.select(F.col("tree").alias("ut"), F.col("id").alias("uid"), F.col("anc").alias("uanc"),
-                      F.col("total").alias("utotal"), F.col("steps").alias("usteps"))
-        nxt = s.join(up, F.col("tree").eqNullSafe(F.col("ut")) & (F.col("anc") == F.col("uid")), "left").select(
-            "tree", "id", F.col("uanc").alias("anc"), (F.col("total") + F.coalesce("utotal", F.lit(0.0))).alias("total"),
-            (F.col("steps") + F.coalesce("usteps", F.lit(0))).alias("steps"))
+        # only messages that have not met their root go on; those that have are still jumped to
+        s = rounds[-1].where("anc is not null")
+        up = s
+        for d in done:
+            up = up.unionByName(d)
+        up = up.select(F.col("tree").alias("ut"), F.col("id").alias("uid"), F.col("anc").alias("uanc"),
+                       F.col("total").alias("utotal"), F.col("steps").alias("usteps"))
+        nxt = s.join(up, F.col("tree").eqNullSafe(F.col("ut")) & (F.col("anc") == F.col("uid"))).select(
+            "tree", "id", F.col("uanc").alias("anc"), (F.col("total") + F.col("utotal")).alias("total"),
+            (F.col("steps") + F.col("usteps")).alias("steps"))
         rounds.append(materialize(nxt, "chat-round"))
+        done.append(rounds[-1].where("anc is null"))
         before, open_ = open_, rounds[-1].where("anc is not null").count()
     first = rounds[0]
     parents = first.where("anc is not null").select(F.col("tree").alias("pt"), F.col("anc").alias("pid")).distinct()
-    leaves = rounds[-1].where("anc is null").join(
+    rooted = done[0]
+    for d in done[1:]:
+        rooted = rooted.unionByName(d)
+    leaves = rooted.join(
         parents, F.col("tree").eqNullSafe(F.col("pt")) & (F.col("id") == F.col("pid")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), "id")
     chosen = leaves.withColumn("path_rank", F.row_number().over(best)).where(F.col("path_rank") <= top)
