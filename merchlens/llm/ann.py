@@ -28,7 +28,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,8 +37,9 @@ from merchlens.session import materialize
 #: Most vectors that the trees are fitted on, and most probe vectors of the calibration.
 SAMPLE, PROBES = 32_768, 256
 TREES = 8
-#: Vectors a leaf should hold; the sample must leave at least 4 of its own to each.
-LEAF = 128
+#: Vectors a leaf should hold (a visit costs one row of a shuffle, so leaves are coarse); the
+#: sample must leave at least 4 of its own to each.
+LEAF = 1024
 RECALL = 0.95
 
 
@@ -140,21 +141,30 @@ def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nda
     return np.take_along_axis(ids[at], order, 1), np.take_along_axis(exact, order, 1)
 
 
+def _plain(vec_col: str) -> Column:
+    """The vector without negative zeros, which equal zero but hash apart."""
+    return F.transform(vec_col, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
+
+
+def _key(vec: Column) -> Column:
+    """Name of a vector: equal vectors have equal names."""
+    return F.concat_ws("-", F.xxhash64(vec).cast("string"), F.md5(F.array_join(vec.cast("array<string>"), ",")))
+
+
 def classes(rows: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(cid, ids, vec): distinct usable vectors with their k + 1 smallest ids; cid is the smallest."""
+    """(key, cid, ids, vec): distinct usable vectors with their k + 1 smallest ids; cid is the smallest."""
     v = F.col("vec")
-    ok = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(
+    ok = rows.select(F.col(id_col).cast("long").alias("id"), _plain(vec_col).alias("vec")).where(
         F.col("id").isNotNull() & v.isNotNull() & (F.size("vec") > 0)
         & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
     size = ok.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if size:
         ok = ok.where(F.size("vec") == size[0]["n"])
-    # the smallest id is found on narrow rows' terms: rank <= k + 1 is cut in the reading tasks
-    ok = ok.distinct().withColumn("key", F.struct(F.xxhash64("vec").alias("a"), F.md5(F.array_join(F.col("vec").cast(
-        "array<string>"), ",")).alias("b")))
+    # rank <= k + 1 is cut in the tasks that hold the rows, before a shared vector's rows meet
+    ok = ok.distinct().withColumn("key", _key(F.col("vec")))
     first = ok.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
     return first.groupBy("key").agg(F.min("id").alias("cid"), F.array_sort(F.collect_list("id")).alias("ids"),
-                                    F.min_by("vec", "id").alias("vec")).drop("key")
+                                    F.min_by("vec", "id").alias("vec"))
 
 
 def _probe(index: DataFrame, forest: Forest, probes: pd.DataFrame, k: int, target: float) -> int:
@@ -192,7 +202,7 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
         return spark.createDataFrame([], schema)
     sample = found.select("cid", "vec").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toPandas()
     depth = int(max(0, min(np.ceil(np.log2(max(n, 1) / leaf)), np.floor(np.log2(max(len(sample), 1) / 4)))))
-    forest = Forest(_vectors(sample["vec"]), depth)
+    forest = Forest(_vectors(sample["vec"]), depth, TREES if depth else 1)
     width = 2 ** depth
 
     @F.pandas_udf("array<int>")
@@ -208,9 +218,8 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
                          index=vec.index, dtype=object)
 
     # classes that hold a query are asked once, whatever the number of their rows
-    q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).alias("qvec")).where("query_id is not null")
-    byvec = found.select("cid", F.col("vec").alias("cvec"))
-    q = q.distinct().join(byvec, F.col("qvec") == F.col("cvec")).select("query_id", "cid")
+    q = queries.select(F.col(id_col).cast("long").alias("query_id"), _key(_plain(vec_col)).alias("key"))
+    q = q.where("query_id is not null").distinct().join(found.select("key", "cid"), "key").select("query_id", "cid")
     q = materialize(q, "ann-queries")
     asked = q.select("cid").distinct().join(found.select("cid", "vec"), "cid")
     asked = asked.withColumn("cell", F.explode(to_visit("vec"))).select(

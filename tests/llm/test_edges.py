@@ -328,6 +328,7 @@ def test_neighbours_edges(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(60)]
     same = [1.0, 2.0, 3.0, 4.0]
+    rows += [(400, [0.0, 1.0, 0.0, 2.0]), (401, [-0.0, 1.0, 0.0, 2.0])]  # equal vectors
     rows += [(100 + i, same) for i in range(80)] + [(100, same), (200, None), (220, [0.0] * 4), (240, [1.0, None, 0.0, 0.0]),
                                                     (260, [float("nan")] * 4), (280, [float("inf")] * 4), (300, [1.0]), (None, same), (320, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cid", F.lit("clash"))
