@@ -99,7 +99,7 @@ class PieceCodec(TextEncoder):
                 known = self._merged(piece) == 1
             else:
                 known = self._merged(self.pieces[left] + piece) == 2 and self._cut == len(self.pieces[left])
-            if len(self.apart) > 2 * self.limit:
+            if len(self.apart) > self.limit:
                 self.apart.clear()
             self.apart[key] = known
         return known

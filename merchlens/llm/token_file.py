@@ -16,7 +16,7 @@ sequence       the compressed sequence (uint32)
 
 Re-Pair runs per shard: each round counts all neighbouring pairs exactly, and replaces
 the frequent ones - where two overlap, the more frequent - by new nonterminals, until
-no pair is frequent or the symbols are used up.  The expansion lengths make any id
+no pair is frequent or a round gains next to nothing.  The expansion lengths make any id
 range readable without expanding what lies before it (:func:`decode_range`).
 
 Nulls: a null text is an empty document (the end id alone); null ids sort first.
@@ -40,9 +40,20 @@ from merchlens.llm.tokens import encoder, lists_to_bytes
 SHARD_IDS = 1 << 18
 #: A pair is frequent from this many occurrences on.
 MIN_COUNT = 4
-#: Symbols stay below this; rounds end when no nonterminal is free.
+#: Symbols stay below this.
 MAX_SYMBOLS = 1 << 20
-MAX_ROUNDS = 10
+#: Rounds end when one replaces less than this share of the symbols.
+MIN_GAIN = 0.005
+
+
+def _sorted(keys: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending pair keys and their positions."""
+    bits = len(keys).bit_length()
+    if 2 * n_symbols.bit_length() + bits > 62:
+        order = np.argsort(keys)
+        return keys[order], order
+    both = np.sort((keys << bits) | np.arange(len(keys)))  # one plain sort of key and position
+    return both >> bits, both & ((1 << bits) - 1)
 
 
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,12 +62,9 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarr
     base = int(seq.max()) + 1 if len(seq) else 1
     n_symbols = base
     rules, sizes = [], [np.ones(base, np.int64)]
-    for _ in range(MAX_ROUNDS):
-        if len(seq) < 2 * min_count or n_symbols >= MAX_SYMBOLS:
-            break
+    while len(seq) >= 2 * min_count and n_symbols < MAX_SYMBOLS:
         keys = seq[:-1] * n_symbols + seq[1:]
-        order = np.argsort(keys)
-        ks = keys[order]
+        ks, order = _sorted(keys, n_symbols)
         edge = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
         count = np.diff(np.append(edge, len(ks)))
         frequent = np.flatnonzero(count >= min_count)
@@ -88,6 +96,8 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarr
         keep[take + 1] = False
         seq = seq[keep]
         n_symbols += len(new)
+        if len(take) < MIN_GAIN * len(keep):
+            break
     r = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
     e = np.concatenate(sizes[1:]) if rules else np.empty(0, np.int64)
     return base, r, e, seq
@@ -179,7 +189,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document with its place in the whole file; ``ids``
     are little-endian uint32."""
     blocks = spark.read.parquet(path)
-    # one row per partition of the file
+    # one row per partition of the file, whatever its size: small enough to broadcast
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -199,6 +209,6 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
                     [doc_ids.values, pa.array(offs[:-1] + at.as_py()), pa.array(n), lists_to_bytes(ids, offs)],
                     names=schema.names)
 
-    rows = blocks.join(starts, "part").select(
+    rows = blocks.join(F.broadcast(starts), "part").select(
         "doc_ids", "doc_tokens", "base", "rules", "sequence", (F.col("part_start") + F.col("before")).alias("at"))
     return rows.mapInArrow(documents, schema)

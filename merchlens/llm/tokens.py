@@ -12,18 +12,21 @@ library whole.
 from __future__ import annotations
 
 import os
+import string
+from array import array
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept per worker; a full cache is dropped and refilled from the next batch.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 #: Characters of text encoded at once: bounds the scratch arrays.
 _SLICE_BYTES = 4 << 20
 _FIRST, _LINE = "\x02", "\x01"
 _ODD = r"[\s\v\p{Z}\x85\x{1c}-\x{1f}]{2}|[\x01\x02]"
-_PUNCT = frozenset(".,;:!?")
+_PUNCT = string.punctuation
 
 
 def vocabulary_path(name: str) -> str:
@@ -40,6 +43,14 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+def _le(ids: list[int]) -> bytes:
+    """Little-endian uint32 bytes of a short id list."""
+    a = array("I", ids)
+    if byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class TextEncoder:
     """Encodes Arrow string arrays to token ids with the tokenizers library.
 
@@ -58,10 +69,11 @@ class TextEncoder:
         self.odd = r"[\x01\x02]" if self.drops_blanks else _ODD
         self.alphabet = _byte_alphabet()
         self.space = "" if self.drops_blanks else self.alphabet[32]
-        self.punct = {p: self._whole([p])[0] for p in _PUNCT}
+        self.tokenize = self.lib.model.tokenize
+        self.runs: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_le(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, word: str, lead: str) -> bytes | None:
         """Ids of a word of letters: one pre-token, straight to the library's model."""
@@ -74,7 +86,16 @@ class TextEncoder:
                 return None
             a = self.alphabet
             body = "".join([a[b] for b in (word.lower() if self.drops_blanks else word).encode()])
-        return np.array([t.id for t in self.lib.model.tokenize(lead + body)], "<u4").tobytes()
+        return _le([t.id for t in self.tokenize(lead + body)])
+
+    def _run(self, marks: str) -> bytes:
+        """Ids of a run of ASCII punctuation: one pre-token."""
+        ids = self.runs.get(marks)
+        if ids is None:
+            if len(self.runs) > 10_000:
+                self.runs.clear()
+            ids = self.runs[marks] = self._whole([marks])[0]
+        return ids
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of chunks: plain = blank + word, _LINE = line end + word, _FIRST = word."""
@@ -91,9 +112,14 @@ class TextEncoder:
             ids = None
             if lead is not None and word:
                 ids = self._letters(word, lead)
-                if ids is None and word[-1] in self.punct:
-                    ids = self._letters(word[:-1], lead) if len(word) > 1 else None
-                    ids = ids and ids + self.punct[word[-1]]
+                stem = word.rstrip(_PUNCT) if ids is None else ""
+                if stem and len(stem) < len(word):  # letters, then one run of punctuation
+                    ids = self.cache.get(stem) if lead == self.space and stem.isalpha() else None
+                    if ids is None:
+                        ids = self._letters(stem, lead)
+                        if ids is not None and lead == self.space:
+                            self.cache[stem] = ids
+                    ids = ids and ids + self._run(word[len(stem):])
             if ids is None:
                 whole.append(text)
             out.append(ids)
