@@ -2,14 +2,15 @@
 
 Built-in DataFrame functions only.
 
-1. A text's lines are its physical lines; a line of more than :data:`LONG_LINE` words
+1. A text's lines are its physical lines; a line of more than :data:`LONG_LINE` characters
    (a paragraph on one line) counts as several, cut after its sentence ends, so a
    passage inside a paragraph is seen like one on lines of its own.  Overlapping windows
-   of ``span`` consecutive lines are hashed to 128 bits (two xxhash64 with different
-   leads) over the trimmed lines.
-2. Windows are counted globally.  The aggregate is partial, so a window that a
-   third of all documents share folds map-side to one row per task.  The first
-   occurrence is the smallest (doc_id, text hash, position).
+   of ``span`` consecutive lines are hashed to 96 bits (xxhash64 of the trimmed lines, and 32
+   bits of another with a different lead).
+2. The first 64 bits are counted globally in the narrowest rows there are; nearly all windows
+   are unique and go no further.  The aggregate is partial, so a window that a third of
+   all documents share folds map-side to one row per task.  Of the windows that may
+   repeat, the first occurrence per whole hash is the smallest (doc_id, text hash, position).
 3. Every other occurrence of a repeated window covers ``span`` lines; a
    document's covered positions are merged into intervals (gaps and islands) and
    the lines inside them are removed, with their line ends.
@@ -36,25 +37,40 @@ from merchlens.llm.common import fresh
 from merchlens.session import materialize
 
 
-#: Words beyond which a physical line is cut at its sentence ends.
-LONG_LINE = 40
+#: Characters beyond which a physical line is cut at its sentence ends.
+LONG_LINE = 240
 #: Fewest characters of a window's trimmed lines together.
 MIN_CHARS = 40
 
 
 def _lines(text: str) -> Column:
     """The lines of a text with their line ends; together they are the text."""
-    physical = F.regexp_extract_all(F.col(text), F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
-    sentences = F.lit(r"[^\n]*?[.!?] |[^\n]+\n?|\n")
-    cut = F.transform(physical, lambda x: F.when(F.size(F.split(x, " ")) > LONG_LINE, F.regexp_extract_all(x, sentences, F.lit(0)))
-                      .otherwise(F.array(x)))
-    return F.flatten(cut)
+    # nothing but the element in the lambdas: what else stands there runs once per element
+    lines = F.filter(F.split(F.col(text), r"(?<=\n)", -1), lambda x: x != "")
+    # plain replacements and a split at one character, unless the text itself has that character
+    mark = "\x01"
+
+    def marked(x: Column) -> Column:
+        for end in (". ", "! ", "? "):
+            x = F.replace(x, F.lit(end), F.lit(end + mark))
+        return x
+
+    def cut(x: Column) -> Column:
+        pieces = F.when(F.contains(x, F.lit(mark)), F.regexp_extract_all(x, F.lit(r"[^\n]*?[.!?] |[^\n]+\n?|\n"), F.lit(0))).otherwise(
+            F.filter(F.split(marked(x), mark, -1), lambda y: y != ""))
+        return F.when(F.length(x) > LONG_LINE, pieces).otherwise(F.array(x))
+
+    return F.flatten(F.transform(lines, cut))
+
+
+def _text_hash(text_col: str) -> Column:
+    """32 bits that tell rows with one id apart."""
+    return F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF).cast("int")
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3) -> DataFrame:
-    """(id, th, pos, h1, h2): one row per counting window of each distinct document."""
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), _lines(text_col).alias("lines"))
-    d = d.where(F.size("lines") >= span)
+    """(id, th int, pos, h1 long, h2 int): one row per counting window of each distinct document."""
+    d = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("th"), _lines(text_col).alias("lines"))
     # a line costs its hashes once, a window a hash of its lines' hashes
     line = F.transform("lines", lambda x: F.trim(F.rtrim(x, F.lit("\n"))))
     d = d.select("id", "th", line.alias("lines"))
@@ -64,19 +80,25 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     def window(i: Column) -> Column:
         at = [F.get("s", i + k) for k in range(span)]
         return F.struct(i.alias("pos"), F.xxhash64(*[x["a"] for x in at]).alias("h1"),
-                        F.xxhash64(*[x["b"] for x in at]).alias("h2"), sum((x["n"] for x in at[1:]), at[0]["n"]).alias("n"))
+                        F.xxhash64(*[x["b"] for x in at]).bitwiseAND(0x7FFFFFFF).cast("int").alias("h2"), sum((x["n"] for x in at[1:]), at[0]["n"]).alias("n"))
 
-    w = F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - span), window)).alias("w")
-    return d.select("id", "th", w).select("id", "th", "w.*").where(F.col("n") >= MIN_CHARS).drop("n")
+    # no filter on the lines and an outer explode: Catalyst would copy the splitting into filters below
+    n = F.greatest(F.size("s") - span, F.lit(0))
+    w = F.when(F.size("s") >= span, F.transform(F.sequence(F.lit(0), n), window))
+    d = d.select("id", "th", F.explode_outer(w).alias("w")).select("id", "th", "w.*")
+    return d.where(F.col("n") >= MIN_CHARS).drop("n")
 
 
 def later_intervals(win: DataFrame, span: int = 3) -> DataFrame:
     """(id, th, cuts): per document the merged [start, end) line intervals covered by
     later occurrences of windows that occur more than once."""
     here = F.struct("id", "th", "pos")
-    first = (win.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(here).alias("first"))
-             .where("n > 1").select("h1", "h2", "first"))
-    later = win.join(first, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select("id", "th", "pos").distinct()
+    # written, so that both sides of the joins are plain exchanges, which adaptive execution splits
+    twice = materialize(win.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "line-twice")
+    again = materialize(win.join(twice, "h1"), "line-again")
+    first = again.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1")
+    first = materialize(first.select("h1", "h2", "first"), "line-first")
+    later = again.join(first, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select("id", "th", "pos").distinct()
     doc = Window.partitionBy("id", "th").orderBy("pos")
     gap = F.col("pos") > F.lag("pos").over(doc) + span
     islands = later.withColumn("opens", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0))
@@ -89,12 +111,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All rows and columns of ``docs`` with ``text_col`` cleaned, plus ``n_lines`` and
     ``n_removed`` (renamed with a trailing underscore where ``docs`` has such columns).
     Removing every line leaves an empty text; the document stays."""
-    win = materialize(windows(docs, id_col, text_col, span), "line-windows")
-    cuts = later_intervals(win, span)
-    rid, rth, cut = (fresh(docs, n) for n in ("__id", "__th", "__cuts"))
+    cuts = later_intervals(materialize(windows(docs, id_col, text_col, span), "line-windows"), span)
+    rid, rth, cut, parts = (fresh(docs, n) for n in ("__id", "__th", "__cuts", "__parts"))
     joined = docs.join(cuts.select(F.col("id").alias(rid), F.col("th").alias(rth), F.col("cuts").alias(cut)),
-                       F.col(id_col).eqNullSafe(F.col(rid)) & (F.xxhash64(text_col) == F.col(rth)), "left")
-    lines, cuts_ = _lines(text_col), F.col(cut)
+                       F.col(id_col).eqNullSafe(F.col(rid)) & (_text_hash(text_col) == F.col(rth)), "left")
+    # a column of its own: inside a lambda the splitting would run again for every interval
+    joined = joined.withColumn(parts, _lines(text_col))
+    lines, cuts_ = F.col(parts), F.col(cut)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     # what stays: before the first cut, between neighbours, after the last
     starts = F.concat(F.array(F.lit(0)), F.transform(cuts_, lambda c: c["e"]))
@@ -109,7 +132,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: DuckDB SQL for dedup over a table expression with doc_id, text (distinct doc_id).
 LINE_DEDUP_SQL = r"""
-WITH l AS (SELECT doc_id, text, flatten([CASE WHEN len(string_split(x, ' ')) > 40
+WITH l AS (SELECT doc_id, text, flatten([CASE WHEN length(x) > 240
       THEN regexp_extract_all(x, '[^\n]*?[.!?] |[^\n]+\n?|\n') ELSE [x] END
     FOR x IN regexp_extract_all(text, '[^\n]*\n|[^\n]+')]) AS ls FROM {src}),
 t AS (SELECT doc_id, [trim(rtrim(x, chr(10))) FOR x IN ls] AS ls FROM l),
