@@ -138,6 +138,10 @@ class PieceCodec(TextEncoder):
         ids.reverse()
         return ids
 
+    def forget(self) -> None:
+        self.apart = {}
+        super().forget()
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.viterbi(text), "<u4").tobytes()
 

@@ -11,8 +11,11 @@ library whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import string
+import threading
+import time
 from array import array
 from sys import byteorder
 
@@ -22,6 +25,8 @@ import pyarrow.compute as pc
 
 #: Words kept per worker; a full cache is dropped and refilled from the next batch.
 CACHE_WORDS = 700_000
+#: A worker that has not encoded for so long gives its cache back.
+IDLE_SECONDS = 3.0
 #: Characters of text encoded at once: bounds the scratch arrays.
 _SLICE_BYTES = 4 << 20
 _FIRST, _LINE = "\x02", "\x01"
@@ -126,8 +131,36 @@ class TextEncoder:
         rest = iter(self._whole(whole) if whole else ())
         return [next(rest) if x is None else x for x in out]
 
+    # a worker outlives its tasks: words that nobody asked for lately are given back
+    _busy, _used = False, 0.0
+    _watcher: threading.Thread | None = None
+
+    def forget(self) -> None:
+        """Drop the word cache and hand free memory back to the system."""
+        self.cache = {}
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    def _watch(self) -> None:
+        while self._busy or time.monotonic() - self._used < IDLE_SECONDS:
+            time.sleep(0.5)
+        self._watcher = None
+        self.forget()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32, offsets int64): text i has ids[offsets[i]:offsets[i + 1]].  Null is empty."""
+        self._busy = True
+        try:
+            return self._encode(texts)
+        finally:
+            self._busy, self._used = False, time.monotonic()
+            if self._watcher is None:
+                self._watcher = threading.Thread(target=self._watch, daemon=True)
+                self._watcher.start()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64,
                                       len(texts) + 1, texts.offset * (4 if pa.types.is_string(texts.type) else 8))) if len(
