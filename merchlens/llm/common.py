@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,15 @@ def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def give_back() -> None:
+    """Hand a Python worker's free memory back to the system: workers outlive their tasks, and the
+    next stage of the executor needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

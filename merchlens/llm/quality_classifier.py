@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlens.llm.common import fresh, text_or_empty
+from merchlens.llm.common import fresh, give_back, text_or_empty
 from merchlens.session import materialize
 
 #: Random features, kernel width in standard deviations per statistic, ridge penalty per label.
@@ -74,6 +74,8 @@ def statistics_column(text: Column) -> Column:
     def document_statistics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([statistics(bytes(t)) for t in texts], index=texts.index, dtype=object)
+            del texts
+            give_back()
 
     return document_statistics(F.encode(text_or_empty(text), "UTF-8"))
 

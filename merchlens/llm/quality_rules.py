@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlens.llm.common import fresh, text_or_empty
+from merchlens.llm.common import fresh, give_back, text_or_empty
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -134,6 +134,8 @@ def verdict(text: Column, max_lost_percent: int = MAX_LOST_PERCENT) -> Column:
     def rules(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([judge(bytes(t), max_lost_percent)[:8] for t in texts], columns=list(_COLUMNS))
+            del texts
+            give_back()
 
     return rules(F.encode(text_or_empty(text), "UTF-8"))
 
@@ -149,6 +151,8 @@ def clean(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_L
                 *_, kept, bad = judge(t, max_lost_percent)
                 rows.append((kept, _strip(t, bad) if kept else b""))
             yield pd.DataFrame(rows, columns=["kept", "text"])
+            del texts, rows
+            give_back()
 
     name = fresh(docs, "__rules")
     out = docs.withColumn(name, cleaned(F.encode(text_or_empty(text_col), "UTF-8")))

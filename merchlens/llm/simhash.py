@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from merchlens.llm.common import fresh, text_or_empty
+from merchlens.llm.common import fresh, give_back, text_or_empty
 from merchlens.session import materialize
 
 #: Fingerprints that a shard should hold at most; more of them add a level to the
@@ -74,7 +74,9 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = np.fromiter((fingerprint_bytes(t, width) for t in texts), np.uint64, len(texts))
+            del texts
             yield pd.Series(values.view(np.int64))
+            give_back()
 
     return simhash(F.encode(text_or_empty(text), "UTF-8"))
 

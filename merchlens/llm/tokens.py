@@ -11,7 +11,6 @@ library whole.
 
 from __future__ import annotations
 
-import ctypes
 import os
 import string
 import threading
@@ -23,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from merchlens.llm.common import give_back
+
 #: Words kept per worker; a full cache is dropped and refilled from the next batch.
 CACHE_WORDS = 700_000
 #: A worker that has not encoded for so long gives its cache back.
@@ -138,10 +139,7 @@ class TextEncoder:
     def forget(self) -> None:
         """Drop the word cache and hand free memory back to the system."""
         self.cache = {}
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     def _watch(self) -> None:
         while self._busy or time.monotonic() - self._used < IDLE_SECONDS:
