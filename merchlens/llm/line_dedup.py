@@ -2,7 +2,7 @@
 
 Built-in DataFrame functions only.
 
-1. A text's lines are its physical lines; a line of more than :data:`LONG_LINE` characters
+1. A text's lines are its physical lines; a line of more than :data:`LONG_LINE` words
    (a paragraph on one line) counts as several, cut after its sentence ends, so a
    passage inside a paragraph is seen like one on lines of its own.  Overlapping windows
    of ``span`` consecutive lines are hashed to 96 bits (xxhash64 of the trimmed lines, and 32
@@ -37,8 +37,8 @@ from merchlens.llm.common import fresh
 from merchlens.session import materialize
 
 
-#: Characters beyond which a physical line is cut at its sentence ends.
-LONG_LINE = 240
+#: Words (between single blanks) beyond which a physical line is cut at its sentence ends.
+LONG_LINE = 40
 #: Fewest characters of a window's trimmed lines together.
 MIN_CHARS = 40
 
@@ -58,7 +58,8 @@ def _lines(text: str) -> Column:
     def cut(x: Column) -> Column:
         pieces = F.when(F.contains(x, F.lit(mark)), F.regexp_extract_all(x, F.lit(r"[^\n]*?[.!?] |[^\n]+\n?|\n"), F.lit(0))).otherwise(
             F.filter(F.split(marked(x), mark, -1), lambda y: y != ""))
-        return F.when(F.length(x) > LONG_LINE, pieces).otherwise(F.array(x))
+        blanks = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+        return F.when(blanks >= LONG_LINE, pieces).otherwise(F.array(x))
 
     return F.flatten(F.transform(lines, cut))
 
@@ -132,7 +133,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: DuckDB SQL for dedup over a table expression with doc_id, text (distinct doc_id).
 LINE_DEDUP_SQL = r"""
-WITH l AS (SELECT doc_id, text, flatten([CASE WHEN length(x) > 240
+WITH l AS (SELECT doc_id, text, flatten([CASE WHEN len(string_split(x, ' ')) > 40
       THEN regexp_extract_all(x, '[^\n]*?[.!?] |[^\n]+\n?|\n') ELSE [x] END
     FOR x IN regexp_extract_all(text, '[^\n]*\n|[^\n]+')]) AS ls FROM {src}),
 t AS (SELECT doc_id, [trim(rtrim(x, chr(10))) FOR x IN ls] AS ls FROM l),

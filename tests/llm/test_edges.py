@@ -83,6 +83,18 @@ def test_line_dedup_windows(spark, odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_cuts_lines_by_words(spark):
+    # over 40 words on fewer than 240 characters: the repeated sentences inside go
+    same = "We sat on a low wall by the old mill. It was cold and we had no tea. So we all ran up to the inn. "
+    rows = [(1, "Al is in. " + same + "He ate a pie and so did I at six or so."), (2, "Bo is up. " + same + "No one saw us go out by the big red gate at ten.")]
+    assert all(len(t) < 240 and len(t.split(" ")) > 40 for _, t in rows)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1].replace(same, "")}
+    # exactly 40 words stay one line, of any length
+    rows = [(k, " ".join(["A" * 20 + "."] * 39 + [end])) for k, end in ((1, "x"), (2, "y"))]
+    assert [r["n_lines"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1, 1]
+
+
 def test_line_dedup_runs_no_python(spark, odd_docs):
     plan = line_dedup.dedup_lines(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
