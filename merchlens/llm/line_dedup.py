@@ -15,8 +15,9 @@ Built-in DataFrame functions only.
    document's covered positions are merged into intervals (gaps and islands) and
    the lines inside them are removed, with their line ends.
 
-Only windows of at least :data:`MIN_CHARS` characters count: three one-word lines that meet
-again are no passage.  A line is removed only when an equal line stays at an
+Every window counts, however short its lines.  Only a whole merged run whose trimmed lines
+have fewer than :data:`MIN_CHARS` characters together stays: three one-word lines that meet
+again, or blank lines alone, are no passage.  A line is removed only when an equal line stays at an
 earlier place, so no line content is lost altogether.  Texts with fewer than ``span`` lines
 have no window and stay as they are (whole copies are the near-duplicate stage's
 work).
@@ -39,7 +40,7 @@ from merchlens.session import materialize
 
 #: Words (between single blanks) beyond which a physical line is cut at its sentence ends.
 LONG_LINE = 40
-#: Fewest characters of a window's trimmed lines together.
+#: Fewest characters of a merged run's trimmed lines together.
 MIN_CHARS = 40
 
 
@@ -64,30 +65,33 @@ def _lines(text: str) -> Column:
     return F.flatten(F.transform(lines, cut))
 
 
+def _trimmed(line: Column) -> Column:
+    return F.trim(F.rtrim(line, F.lit("\n")))
+
+
 def _text_hash(text_col: str) -> Column:
     """32 bits that tell rows with one id apart."""
     return F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF).cast("int")
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3) -> DataFrame:
-    """(id, th int, pos, h1 long, h2 int): one row per counting window of each distinct document."""
+    """(id, th int, pos, h1 long, h2 int): one row per window of each distinct document."""
     d = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("th"), _lines(text_col).alias("lines"))
     # a line costs its hashes once, a window a hash of its lines' hashes
-    line = F.transform("lines", lambda x: F.trim(F.rtrim(x, F.lit("\n"))))
-    d = d.select("id", "th", line.alias("lines"))
+    d = d.select("id", "th", F.transform("lines", _trimmed).alias("lines"))
     d = d.select("id", "th", F.transform("lines", lambda x: F.struct(
-        F.xxhash64(F.lit("a"), x).alias("a"), F.xxhash64(F.lit("b"), x, F.length(x)).alias("b"), F.length(x).alias("n"))).alias("s"))
+        F.xxhash64(F.lit("a"), x).alias("a"), F.xxhash64(F.lit("b"), x, F.length(x)).alias("b"))).alias("s"))
 
     def window(i: Column) -> Column:
         at = [F.get("s", i + k) for k in range(span)]
         return F.struct(i.alias("pos"), F.xxhash64(*[x["a"] for x in at]).alias("h1"),
-                        F.xxhash64(*[x["b"] for x in at]).bitwiseAND(0x7FFFFFFF).cast("int").alias("h2"), sum((x["n"] for x in at[1:]), at[0]["n"]).alias("n"))
+                        F.xxhash64(*[x["b"] for x in at]).bitwiseAND(0x7FFFFFFF).cast("int").alias("h2"))
 
     # no filter on the lines and an outer explode: Catalyst would copy the splitting into filters below
     n = F.greatest(F.size("s") - span, F.lit(0))
     w = F.when(F.size("s") >= span, F.transform(F.sequence(F.lit(0), n), window))
     d = d.select("id", "th", F.explode_outer(w).alias("w")).select("id", "th", "w.*")
-    return d.where(F.col("n") >= MIN_CHARS).drop("n")
+    return d.where(F.col("pos").isNotNull())
 
 
 def later_intervals(win: DataFrame, span: int = 3) -> DataFrame:
@@ -118,7 +122,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col(id_col).eqNullSafe(F.col(rid)) & (_text_hash(text_col) == F.col(rth)), "left")
     # a column of its own: inside a lambda the splitting would run again for every interval
     joined = joined.withColumn(parts, _lines(text_col))
-    lines, cuts_ = F.col(parts), F.col(cut)
+    lines = F.col(parts)
+
+    def chars(c: Column) -> Column:
+        return F.aggregate(F.slice(lines, c["s"] + 1, c["e"] - c["s"]), F.lit(0), lambda t, x: t + F.length(_trimmed(x)))
+
+    joined = joined.withColumn(cut, F.filter(cut, lambda c: chars(c) >= MIN_CHARS))
+    cuts_ = F.col(cut)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     # what stays: before the first cut, between neighbours, after the last
     starts = F.concat(F.array(F.lit(0)), F.transform(cuts_, lambda c: c["e"]))
@@ -138,10 +148,12 @@ WITH l AS (SELECT doc_id, text, flatten([CASE WHEN len(string_split(x, ' ')) > 4
     FOR x IN regexp_extract_all(text, '[^\n]*\n|[^\n]+')]) AS ls FROM {src}),
 t AS (SELECT doc_id, [trim(rtrim(x, chr(10))) FOR x IN ls] AS ls FROM l),
 p AS (SELECT doc_id, unnest(range(0, len(ls) - 2)) AS pos, ls FROM t WHERE len(ls) >= 3),
-w AS (SELECT doc_id, pos, ls[pos + 1] AS a, ls[pos + 2] AS b, ls[pos + 3] AS c FROM p
-      WHERE length(ls[pos + 1]) + length(ls[pos + 2]) + length(ls[pos + 3]) >= 40),
+w AS (SELECT doc_id, pos, ls[pos + 1] AS a, ls[pos + 2] AS b, ls[pos + 3] AS c FROM p),
 r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS rn FROM w),
-cov AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (VALUES (0), (1), (2)) AS v(k) WHERE rn > 1),
+c0 AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (VALUES (0), (1), (2)) AS v(k) WHERE rn > 1),
+c1 AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c0),
+cov AS (SELECT c1.doc_id, pos FROM c1 JOIN t ON t.doc_id = c1.doc_id
+        QUALIFY sum(length(ls[pos + 1])) OVER (PARTITION BY c1.doc_id, run) >= 40),
 e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM l),
 j AS (SELECT e.doc_id, string_agg(e.line, '' ORDER BY e.pos) FILTER (WHERE cov.pos IS NULL) AS t,
         count(*) AS n_lines, count(cov.pos) AS n_removed

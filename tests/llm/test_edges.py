@@ -95,6 +95,18 @@ def test_line_dedup_cuts_lines_by_words(spark):
     assert [r["n_lines"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1, 1]
 
 
+def test_line_dedup_counts_short_windows(spark):
+    # twenty lines of two or three characters: no window has 40 characters, the run has
+    menu = "".join(f"m{k}\n" for k in range(20))
+    passage = "a passage of some length\n\n\n\n\nthat has blank lines\nand a short\nend\n"
+    texts = {1: "one\n" + menu + "first end", 2: "two\n" + menu + "second end", 3: "x\n\n\n\n\ny", 4: "z\n\n\n\n\nw", 5: "five\n" + passage, 6: "six\n" + passage + "m1\nm2\nm3\n"}
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1] == (texts[1], 0) and got[2] == ("two\nsecond end", 20)
+    # blank lines alone stay; inside a repeated run they go with it
+    assert got[3] == (texts[3], 0) and got[4] == (texts[4], 0)
+    assert got[5] == (texts[5], 0) and got[6][0].startswith("six\n") and "passage" not in got[6][0] and "\n\n" not in got[6][0]
+
+
 def test_line_dedup_runs_no_python(spark, odd_docs):
     plan = line_dedup.dedup_lines(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
