@@ -10,7 +10,9 @@ windows).  A line with words fails when it is
   ``MIN_OPEN_WORDS`` words and no closing punctuation;
 * **navigation**: at least three separators ``|``, ``»``, ``›``, ``•``, ``·``, or fewer words
   than twice its separators;
-* **boilerplate**: one of :data:`BOILERPLATE` occurs in it (any case).
+* **boilerplate**: one of :data:`BOILERPLATE`, plural and past forms included, occurs in it between
+  word edges (any case), and the notice is most of the line: it has at most
+  ``MAX_NOTICE_WORDS`` words, or at least half of its words belong to such phrases.
 
 Lines without a word stay.  Long texts are processed whole; the scratch space of a
 document is a few numbers per word.  Nulls: a null text counts as a text without
@@ -38,6 +40,7 @@ MIN_OPEN_WORDS = 4
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
+MAX_NOTICE_WORDS = 12
 CLOSING = ".!?…:;,)\"'”’»。！？"
 #: Phrases of notices, consent banners and page furniture.
 BOILERPLATE = (
@@ -50,6 +53,9 @@ _SYMBOL_BYTES = [c.encode() for c in SYMBOLS]
 _SEPARATOR_BYTES = [c.encode() for c in SEPARATORS]
 _CLOSING_BYTES = tuple(c.encode() for c in CLOSING)
 _BOILERPLATE = re.compile(b"|".join(re.escape(p.encode()) for p in BOILERPLATE))
+#: The phrases between (ASCII) word edges, a form that Python and RE2 read alike.
+NOTICE = r"\b(?:" + "|".join(p if p.endswith(" ") else p + r"[sd]?\b" for p in BOILERPLATE) + ")"
+_NOTICE = re.compile(NOTICE.encode())
 
 
 def line_fails(line: bytes, words: list[bytes]) -> bool:
@@ -68,7 +74,11 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
         return True
     if n < MIN_OPEN_WORDS and not words[-1].endswith(_CLOSING_BYTES):
         return True
-    return _BOILERPLATE.search(line.lower()) is not None
+    low = line.lower()
+    if not _BOILERPLATE.search(low):  # the quick look, without edges
+        return False
+    notices = _NOTICE.findall(low)
+    return bool(notices) and (n <= MAX_NOTICE_WORDS or 2 * sum(len(p.split()) for p in notices) >= n)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -165,7 +175,9 @@ def _rule_sql() -> str:
     word = r"'[^\x20\x09-\x0D]+'"
     seps = f"(length(line) - length(regexp_replace(line, {q('[' + esc(SEPARATORS) + ']')}, '', 'g')))"
     symbols = f"(length(line) - length(regexp_replace(line, {q('[' + esc(SYMBOLS) + ']')}, '', 'g')))"
-    boiler = " OR ".join(f"contains(lower(line), {q(p)})" for p in BOILERPLATE)
+    notices = f"regexp_extract_all(lower(line), {q(NOTICE)})"
+    boiler = (f"len({notices}) > 0 AND (n <= {MAX_NOTICE_WORDS} "
+              f"OR 2 * len(string_split(array_to_string([trim(x) FOR x IN {notices}], ' '), ' ')) >= n)")
     closing = "[" + esc(CLOSING) + "]$"
     return f"""
     SELECT *, n > 0 AND ({seps} >= 3 OR n < 2 * {seps}

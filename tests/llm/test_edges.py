@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -64,6 +65,25 @@ def test_repeated_words_against_brute_force():
         assert quality_rules.repeated_words(words) == len(want)
 
 
+def test_rules_boilerplate_is_most_of_the_line(spark):
+    prose = ("The council asked her to design in wood and to assign in turn a catalog in print, while an old blog in Welsh "
+             "told how a driver's license was lost beside a cookie jar in the yard of the mill.")
+    inside = "They design in oak, assign in pairs, and blog in Welsh."
+    fails = [b"We use cookies on this site.", b"Licensed under the MIT License.", b"All rights reserved.", b"Please sign in, or SUBSCRIBE!",
+             b"Sign in log in subscribe newsletter privacy policy terms of service cookie policy click here read more now."]
+    stays = [prose.encode(), inside.encode(), b"The subscriber said that signing in was slow."]
+    assert [quality_rules.line_fails(x, x.split()) for x in fails + stays] == [True] * len(fails) + [False] * len(stays)
+    # a document on one line stays whole, in the operator and in the SQL
+    rows = [(1, prose), (2, prose + "\n" + "\n".join(x.decode() for x in fails)), (3, inside + " " + prose)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in quality_rules.clean(docs, max_lost_percent=100).collect()} == {1: prose, 2: prose, 3: rows[2][1]}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO d VALUES (?, ?)", rows)
+    sql = quality_rules.RULES_SQL.format(src="d", max_lost=100, extra=", cleaned")
+    assert dict(con.execute(f"SELECT doc_id, cleaned FROM ({sql})").fetchall()) == {1: prose, 2: prose, 3: rows[2][1]}
+
+
 # ---------------------------------------------------------------------- line dedup
 
 def test_line_dedup_windows(spark, odd_docs, no_docs):
