@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm import (ann, chat, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash,
-                           token_file, warc)
+from merchlens.llm import (ann, chat, divergence, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec,
+                           sharding, simhash, token_file, warc, whitening)
 from merchlens.llm.common import table
 from merchlens.llm.tokens import vocabulary_path
 from merchlens.session import materialize, scratch_dir
@@ -93,9 +93,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality_rules.verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the eight leading components, whitened."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards, and where they would be in 25."""
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_sharding": op12_sharding,
+    "op13_source_divergence": op13_source_divergence,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
@@ -134,4 +153,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.LINE_DEDUP_SQL.format(src="documents"),
     "op3_warc": _OP3_SQL,
     "op10_quality_rules": quality_rules.RULES_SQL.format(src="documents", max_lost=quality_rules.MAX_LOST_PERCENT, extra=""),
+    "op12_sharding": sharding.SHARDING_SQL.format(src="documents", shards=24),
+    "op13_source_divergence": divergence.DIVERGENCE_SQL.format(src="documents", min_docs=divergence.MIN_DOCS, top=divergence.TOP),
 }
