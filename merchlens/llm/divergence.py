@@ -45,7 +45,7 @@ from merchlens.session import materialize
 SCALE, PRIOR = 1_000_000_000, 5
 MIN_DOCS, TOP = 30, 50
 #: Rates of a cell of the pair sums, and sources of a block.
-CELL, BLOCK = 1 << 20, 256
+CELL, BLOCK = 1 << 15, 256
 #: Bytes of text that are cut at once; rows after which a task folds its counts (at twice that many distinct ones
 #: it passes them on); rows of a skyband buffer; parts of a group's merge.
 _SLICE, _TABLE, _BUFFER, _PARTS = 1 << 22, 200_000, 8_192, 8
