@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from merchlens import constants as K
 from merchlens.functions.numeric import dround, money_sum, pct_text
-from merchlens.functions.text import price_symbol, value_tier
+from merchlens.functions.text import price_symbol, quarter_label, value_tier, year_text
 from merchlens.operators.models import latest_per_key, staging_filter
 
 
@@ -230,8 +230,18 @@ def list_merchants(df: DataFrame, limit: int = 20, offset: int = 0, **filters) -
 
 
 def date_range(df: DataFrame, start: str, end: str, ts_col: str = "transaction_at") -> DataFrame:
-    """inclusive timestamp range (prunes partitions when the table is partitioned by date)."""
-    return df.where(F.col(ts_col).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    """inclusive timestamp range.  Where ``df`` has the year and quarter that staging derives from
+    ``transaction_at``, the range is stated on them too: a table partitioned by them reads its quarters only."""
+    lo, hi = (F.lit(t).cast("timestamp") for t in (start, end))
+    cond = F.col(ts_col).between(lo, hi)
+    if ts_col == "transaction_at" and {"transaction_year", "transaction_quarter"} <= set(df.columns):
+        year, quarter = F.col("transaction_year"), F.col("transaction_quarter")
+        # years are compared as text: four digits each
+        four = (F.year(lo) >= 1000) & (F.year(hi) <= 9999)
+        cond &= ~four | ((year >= year_text(lo)) & (year <= year_text(hi))
+                         & ((year > year_text(lo)) | (quarter >= quarter_label(lo)))
+                         & ((year < year_text(hi)) | (quarter <= quarter_label(hi))))
+    return df.where(cond)
 
 
 def pipeline_counts(raw_df: DataFrame, staged: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None, ids: tuple[str, ...] = ()):
 
 def _load_all() -> None:
     from merchlens.plans import (q_analytics, q_models, q_quality, q_rag, q_retrieval,  # noqa: F401
-                                 q_sources, q_stream)
+                                 q_sources, q_stream, q_tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

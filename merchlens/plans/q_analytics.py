@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from merchlens.operators import analytics as A
 from merchlens.operators import models as M
 from merchlens.plans.catalog import register
@@ -179,21 +177,6 @@ def q_merchant_list_city(spark, sf):
                             neighborhood="Zone", value_tier_="mid")
 
 
-@register("merchant_by_id", with_ctes(f"SELECT {RECORD_SQL} FROM latest WHERE merchant_id = '7'", "latest"),
-          ids=("F9",))
-def q_merchant_by_id(spark, sf):
-    return A.merchant_record(latest_of(spark, sf).where(F.col("merchant_id") == "7"))
-
-
-@register("date_range_filter", with_ctes("""
-SELECT transaction_id, merchant_id, transaction_at, transaction_amount, transaction_quarter
-FROM stg WHERE transaction_at BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1995-06-30 23:59:59'""",
-                                         "stg"), ids=("F10",))
-def q_date_range(spark, sf):
-    return A.date_range(stg_of(spark, sf), "1995-01-01 00:00:00", "1995-06-30 23:59:59").select(
-        "transaction_id", "merchant_id", "transaction_at", "transaction_amount", "transaction_quarter")
-
-
 @register("pipeline_counts", with_ctes("""
 SELECT count(*) AS records_produced,
        count(CASE WHEN transaction_id IS NOT NULL AND merchant_id IS NOT NULL AND transaction_amount > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +11,7 @@ from merchlens import constants as K
 from merchlens.operators import chunks as C
 from merchlens.operators import mapping as P
 from merchlens.operators import quality as Q
+from merchlens.plans import q_retrieval  # noqa: F401  (the chunk CTEs)
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import latest_of, stg_of
 from merchlens.plans.sqltext import cte, sql_list, with_ctes
@@ -298,18 +301,24 @@ def q_batch_load_job(spark, sf):
     return _roundtrip_cols(I.loaded_table(spark, raw_p))
 
 
-def _rebuild_sql() -> str:
+def _rebuild_sql(source: str | None = None) -> str:
+    """Counts of the rebuilt tables; ``source`` replaces the raw table, which it names ``raw_all``."""
     from merchlens.plans.q_retrieval import _CH_IDX
-    return with_ctes("""
+    text = with_ctes("""
 SELECT 'staging' AS "table", count(*) AS row_count FROM stg
 UNION ALL SELECT 'mart', count(*) FROM mart
 UNION ALL SELECT 'chunks', count(*) FROM chunks
 UNION ALL SELECT 'tfidf_postings', count(*) FROM c_post
 UNION ALL SELECT 'tfidf_idf', count(*) FROM c_idf
 UNION ALL SELECT 'tfidf_norms', count(DISTINCT doc_id) FROM c_post""", "stg", "mart", "chunks", local=_CH_IDX[:2])
+    if source is None:
+        return text
+    head, rest = text.split("),\n", 1)
+    return head.replace("raw_txn AS (", "raw_all AS (", 1) + f"),\nraw_txn AS (SELECT * FROM {source}),\n" + rest
 
 
 @register("rebuild_counts", _rebuild_sql(), ids=("S16", "T6"))
 def q_rebuild_counts(spark, sf):
     from merchlens.plans.jobs import rebuild
-    return rebuild(spark, FX.raw_txn(spark, sf), scratch_dir(spark, "rebuild"), tiebreak=FX.DEDUPE_TIEBREAK)
+    return rebuild(spark, FX.raw_txn(spark, sf), scratch_dir(spark, "rebuild"), tiebreak=FX.DEDUPE_TIEBREAK,
+                   prefix=f"rebuild_{uuid.uuid4().hex[:12]}")

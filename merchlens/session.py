@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,3 +89,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def overwrite_partitions(df: DataFrame, table: str) -> None:
+    """Write ``df`` (partition columns last) over the partitions it has rows for; all others stay."""
+    with setting(df.sparkSession, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+        df.write.insertInto(table, overwrite=True)
+    df.sparkSession.catalog.refreshTable(table)

@@ -14,10 +14,12 @@ O(batch), never a rewrite of the whole table:
 * ``log_read`` resolves the newest row per key (caller's ordering, which may
   use the batch number ``_epoch``) over the latest snapshot plus the log
   epochs after it — partition pruning skips the folded epochs;
-* ``log_compact`` folds snapshot + newer epochs into ``<root>/snap/upto=<n>``
-  (a maintenance job; old folders can then be expired by retention).
+* ``log_compact`` folds snapshot + newer epochs into ``<root>/snap/upto=<n>``;
+  ``log_maintain`` does so once a stated number of epochs lies beyond the last
+  snapshot, and the ingest jobs call it after each batch (old folders can
+  then be expired by retention).
 
-A lakehouse MERGE can replace this when such a format is on the classpath.
+For a table that is merged in place, see :mod:`merchlens.sources.buckets`.
 """
 
 from __future__ import annotations
@@ -94,3 +96,16 @@ def log_compact(spark: SparkSession, root: str, key: str | list[str], order: lis
     merged = log_read(spark, root, key, order, keep_epoch=True)
     merged.write.mode("overwrite").parquet(f"{root}/snap/upto={epochs[-1]}")
     return epochs[-1]
+
+
+def log_length(spark: SparkSession, root: str) -> int:
+    """Committed log epochs that no snapshot covers: what a reader has to merge."""
+    snaps = _numbered(spark, f"{root}/snap", "upto=")
+    return sum(e > (snaps[-1] if snaps else -1) for e in _numbered(spark, f"{root}/log", "epoch="))
+
+
+def log_maintain(spark: SparkSession, root: str, key: str | list[str], order: list[Column], every: int | None) -> int | None:
+    """Compact the log when ``every`` or more epochs lie beyond its snapshot (None: never); returns the snapshot's epoch."""
+    if not every or log_length(spark, root) < every:
+        return None
+    return log_compact(spark, root, key, order)

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from merchlens.operators.models import latest_per_key
 from merchlens.operators.quality import validate_ingest
-from merchlens.sources.upsert import log_append, log_read
+from merchlens.sources.upsert import log_append, log_maintain, log_read
 
 SOURCE_NAME = "merchlens_pipeline"
 EVENT_TYPE = "merchant_transaction"
@@ -95,15 +95,20 @@ def parse_envelopes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+#: Log epochs after which an ingest job folds its log into a snapshot.
+COMPACT_EVERY = 50
+
+
 def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint: str,
-                 available_now: bool = True) -> StreamingQuery:
+                 available_now: bool = True, compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """ST1: envelope stream -> validate -> dedupe within the batch -> append to
     the raw keyed log (readers see the last write per transaction); rejects go
     to a side table, one folder per epoch.  The batch is persisted so the
     envelopes are parsed once for both writes.
 
     No record is dropped: bound a batch at its source (``maxFilesPerTrigger``,
-    ``maxOffsetsPerTrigger``), where what is not read yet stays unread."""
+    ``maxOffsetsPerTrigger``), where what is not read yet stays unread.  The log is compacted
+    whenever ``compact_every`` epochs lie beyond its snapshot."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         df.persist()
@@ -112,6 +117,7 @@ def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint
             good = latest_per_key(good, "transaction_id", [F.col("timestamp_ms").desc(), F.col("event_id").desc()])
             log_append(good, raw_path, epoch)
             bad.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
+            log_maintain(df.sparkSession, raw_path, "transaction_id", _raw_order(), compact_every)
         finally:
             df.unpersist()
 
@@ -120,11 +126,15 @@ def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint
     return w.start()
 
 
+def _raw_order() -> list:
+    """Later batch first, then the newer envelope."""
+    return [F.col("_epoch").desc(), F.col("timestamp_ms").desc(), F.col("event_id").desc()]
+
+
 def raw_table(spark: SparkSession, raw_path: str) -> DataFrame | None:
     """The raw table: last write per transaction id (later batch wins), with the columns that
     ``models.staging`` reads (``ts`` from the record, ``ingested_at`` from the envelope)."""
-    order = [F.col("_epoch").desc(), F.col("timestamp_ms").desc(), F.col("event_id").desc()]
-    rows = log_read(spark, raw_path, "transaction_id", order)
+    rows = log_read(spark, raw_path, "transaction_id", _raw_order())
     return None if rows is None else rows.withColumns({"ts": F.to_timestamp("timestamp"), "ingested_at": F.col("event_time")})
 
 
@@ -136,13 +146,15 @@ def stream_dedup(stream: DataFrame, ts_col: str = "ts", key: str = "transaction_
 
 
 def start_latest_state(stream: DataFrame, table: str, checkpoint: str, ts_col: str = "ts",
-                       key: str = "merchant_id") -> StreamingQuery:
+                       key: str = "merchant_id", compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """ST5: latest row per merchant as a table: each batch appends its newest
     row per key; ``read_latest_state`` orders by event time, so an older late
     row never replaces a newer one whatever batch it arrives in."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        log_append(latest_per_key(df, key, [F.col(ts_col).desc(), F.col("transaction_id").desc()]), table, epoch)
+        order = [F.col(ts_col).desc(), F.col("transaction_id").desc()]
+        log_append(latest_per_key(df, key, order), table, epoch)
+        log_maintain(df.sparkSession, table, key, order, compact_every)
 
     return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -173,7 +185,8 @@ def loaded_table(spark: SparkSession, raw_path: str) -> DataFrame | None:
 
 
 def start_batch_load(spark: SparkSession, staging_dir: str, archive_dir: str, raw_path: str, rejects_path: str,
-                     checkpoint: str, max_files: int = 1000, array_sep: str = "|") -> StreamingQuery:
+                     checkpoint: str, max_files: int = 1000, array_sep: str = "|",
+                     compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """S3: load every staged CSV file once, then archive it.
 
     A file-stream source over the staging folder: the checkpoint's file log is
@@ -197,6 +210,7 @@ def start_batch_load(spark: SparkSession, staging_dir: str, archive_dir: str, ra
             valid, rejects = parse_staging_rows(df, array_sep)
             log_append(latest_per_key(valid, "transaction_id", _loaded_order()), raw_path, epoch)
             rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
+            log_maintain(df.sparkSession, raw_path, "transaction_id", _loaded_order(), compact_every)
         finally:
             df.unpersist()
 
