@@ -14,6 +14,10 @@ Plan shape and scale
   document's distinct tokens, bounded by document length.
 * scoring joins query postings to document postings on ``token`` (only tokens
   present in the question batch survive the join) and sums per (query, doc).
+* a top-k search does not score every pair: documents lie in blocks, and per (token, block)
+  of the question batch the largest impact is known.  Tokens that cannot lift a document to the question's k-th
+  score find no candidates, blocks whose bound stays below it are not read
+  (:func:`top_scores`); what is left is scored exactly.
 * top-k per query is ``row_number() <= k`` (partial WindowGroupLimit before the
   exchange).  Zero-score padding (a query with fewer than k matches still gets k
   rows, ledger L13) uses a bounded candidate list — the 2k highest ids — held in
@@ -22,6 +26,7 @@ Plan shape and scale
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +38,16 @@ from merchlens.functions.text import tokens
 from merchlens.session import materialize as _stage
 
 
+#: Documents of one length class per block, were all of one class; scores closer than this may rank alike.
+BLOCK_DOCS, SLACK = 1024, 2e-8
+#: Distinct tokens beyond which a question is summed in full: the bounds of so many tokens add up past any score
+#: and prune nothing (passages as questions at sf0.1: 0.5 % of the blocks, at twice the time).
+LONG_QUESTION = 16
+
+
 @dataclass
 class TfidfIndex:
-    postings: DataFrame  # id, token, tf
+    postings: DataFrame  # id, token, tf, n_tokens
     idf: DataFrame       # token, df, idf
     norms: DataFrame     # id, norm (L2 norm of the tf-idf vector, 0 -> 1)
     id_col: str
@@ -85,6 +97,13 @@ def _l2(df: DataFrame, key: str, w: str = "w") -> DataFrame:
     return df.withColumn("weight", F.col(w) / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0))).drop(w)
 
 
+def block_of(id_col: str, modulus: Column) -> Column:
+    """Block of a document: its length class (half powers of two, for long documents have small impacts) and a hash
+    of its id, so that a block's documents are alike in the one thing that bounds an impact."""
+    length = F.floor(F.log2(F.col("n_tokens").cast("double")) * 2).cast("long")
+    return length * F.lit(2 ** 32) + F.pmod(F.xxhash64(id_col), modulus)
+
+
 def doc_norms(post: DataFrame, idf: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, norm)``: L2 norm of each document's tf-idf vector — a hash
     aggregate by document (no sort), one row per document."""
@@ -105,7 +124,7 @@ def tfidf_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables also cut the lineage: a lost executor re-reads files rather than
     re-running the shuffles.  No full weights table is written: a search only
     touches the postings of its query tokens and divides by the norm."""
-    post = postings(docs, id_col, text_col).select(id_col, "token", "tf")
+    post = postings(docs, id_col, text_col).select(id_col, "token", "tf", "n_tokens")
     if materialize:
         post = _stage(post, "tfidf-postings")
     idf = idf_table(post, docs, id_col)
@@ -142,6 +161,87 @@ def scores(index: TfidfIndex, questions: DataFrame, qid: str = "query_id", text_
     return dot.join(index.norms, idc).select(qid, idc, (F.col("_dot") / F.col("norm")).alias("score"))
 
 
+@dataclass
+class Bounded:
+    """The steps of a bounded search: ``tokens`` of the questions with their bounds, ``cells`` (question, token, block)
+    with the block's bound, ``hits`` (question, document) that are scored, ``postings`` of the batch's tokens."""
+
+    tokens: DataFrame
+    cells: DataFrame
+    hits: DataFrame
+    postings: DataFrame
+
+
+def bounded_search(index: TfidfIndex, questions: DataFrame, k: int, eligible: Callable[[DataFrame], DataFrame] | None = None,
+                   qid: str = "query_id", text_col: str = "query") -> Bounded:
+    """The candidates of :func:`top_scores`, step by step.
+
+    0. The postings of the batch's tokens - each token once, whatever the number of questions - are written with their
+       documents' blocks, and the largest impact (``tf / norm``) of each token in each block is taken from them.
+    1. The documents with the rarest tokens of a question - as many tokens as it takes to meet ``2 k`` documents - are
+       scored; the k-th of these scores is a lower bound ``theta`` of the k-th score of all (0 where fewer than k match).
+    2. A token's ``ub`` is the most that it can add to a score (question weight times the largest impact).  The tokens with
+       the smallest bounds, as many as together stay below ``theta``, are not essential: a document with none but
+       these cannot be among the k best.  They find no candidates; their bounds add up to ``rest``.
+    3. A block is read for a question only if the impacts of its essential tokens and ``rest`` can reach ``theta``,
+       and a document is completed only if its own partial score and ``rest`` can."""
+    idc = index.id_col
+    keep = eligible or (lambda rows: rows.withColumn("_unit", F.col(idc)))
+    qw = query_weights(index, questions, qid, text_col).where(F.col("idf").isNotNull()).select(
+        qid, "token", (F.col("q_weight") * F.col("idf")).alias("qw"))
+    modulus = index.norms.select(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.lit(1)).cast("long")).scalar()
+    post = index.postings.join(qw.select("token").distinct(), "token").withColumn("_m", modulus)
+    post = post.withColumn("block", block_of(idc, F.col("_m"))).join(index.norms, idc)
+    post = _stage(post.select(idc, "token", "tf", "norm", "block"), "query-postings")
+    blocks = _stage(post.groupBy("token", "block").agg(F.max(F.col("tf") / F.col("norm")).alias("top"), F.count(F.lit(1)).alias("n")),
+                    "query-blocks")
+
+    seen = blocks.groupBy("token").agg(F.max("top").alias("top"), F.sum("n").alias("df"))
+    qw = qw.join(seen, "token").withColumn("ub", F.col("qw") * F.col("top")).drop("top")
+    rarest = Window.partitionBy(qid).orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    met = F.coalesce(F.sum("df").over(rarest), F.lit(0))
+    tail = F.sum("ub").over(Window.partitionBy(qid).orderBy(F.desc("ub"), "token").rowsBetween(0, Window.unboundedFollowing))
+    qw = qw.withColumns({"met": met, "tail": tail})
+
+    first = keep(qw.where(F.col("met") < 2 * k).join(post, "token").select(qid, idc).distinct())
+    first = first.join(qw.select(qid, "token", "qw"), qid).join(post, ["token", idc]).groupBy(qid, idc, "_unit").agg(
+        (F.sum(F.col("qw") * F.col("tf")) / F.first("norm")).alias("score"))
+    units = first.groupBy(qid, "_unit").agg(F.max("score").alias("score"))
+    units = units.withColumn("_rn", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("score")))).where(F.col("_rn") <= k)
+    theta = units.groupBy(qid).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("theta"))
+    qt = qw.join(theta, qid, "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)) - SLACK)
+    qt = qt.withColumn("essential", F.col("tail") >= F.col("theta"))
+    rest = F.sum(F.when(F.col("essential"), F.lit(0.0)).otherwise(F.col("ub"))).over(Window.partitionBy(qid))
+    qt = _stage(qt.withColumn("rest", rest).drop("met", "tail"), "query-bounds")
+
+    cells = qt.where("essential").join(blocks, "token")
+    bound = F.sum(F.col("qw") * F.col("top")).over(Window.partitionBy(qid, "block")) + F.col("rest")
+    cells = cells.select(qid, "token", "block", "qw", "theta", "rest", bound.alias("bound"))
+    read = cells.where(F.col("bound") >= F.col("theta")).select(qid, "token", "block", "qw", "theta", "rest")
+    hits = read.join(post, ["token", "block"]).groupBy(qid, idc, "theta", "rest", "norm").agg(F.sum(F.col("qw") * F.col("tf")).alias("dot"))
+    hits = hits.where(F.col("dot") / F.col("norm") + F.col("rest") >= F.col("theta"))
+    return Bounded(qt, cells, keep(hits).select(qid, idc, "dot", "norm"), post)
+
+
+def top_scores(index: TfidfIndex, questions: DataFrame, k: int, eligible: Callable[[DataFrame], DataFrame] | None = None,
+               qid: str = "query_id", text_col: str = "query") -> DataFrame:
+    """``(qid, id, score)`` as :func:`scores` has them, for every pair that can be among a question's ``k`` best:
+    exact, without a row for pairs that share only tokens too frequent to matter.
+
+    ``eligible`` keeps the rows that may be found (it gets ``(qid, id, ...)`` rows) and adds ``_unit``, what is
+    counted to ``k`` - the document itself, or what it belongs to."""
+    idc = index.id_col
+    long = F.size(F.array_distinct(tokens(text_col))) > LONG_QUESTION
+    summed = scores(index, questions.where(long), qid, text_col)
+    if eligible is not None:
+        summed = eligible(summed).select(qid, idc, "score")
+    b = bounded_search(index, questions.where(~F.coalesce(long, F.lit(False))), k, eligible, qid, text_col)
+    other = b.tokens.where(~F.col("essential")).select(qid, "token", "qw")
+    rows = b.hits.join(other, qid, "left").join(b.postings.select(idc, "token", "tf"), [idc, "token"], "left")
+    full = rows.groupBy(qid, idc, "dot", "norm").agg(F.sum(F.coalesce(F.col("qw") * F.col("tf"), F.lit(0.0))).alias("_more"))
+    return full.select(qid, idc, ((F.col("dot") + F.col("_more")) / F.col("norm")).alias("score")).unionByName(summed)
+
+
 def _rank_key(score: Column) -> Column:
     """Rank on the 8-dp rounded score so engines with different summation order rank alike."""
     return dround(score, 8)
@@ -190,11 +290,18 @@ def top_k_padded(matched: DataFrame, questions: DataFrame, candidates: Column, k
 
 
 def search_documents(index: TfidfIndex, docs: DataFrame, questions: DataFrame, k: int = K.DEFAULT_TOP_K,
-                     qid: str = "query_id", text_col: str = "query") -> DataFrame:
-    """R9 on a plain corpus: top-k documents per question, zero scores eligible."""
+                     qid: str = "query_id", text_col: str = "query", bounded: bool = False) -> DataFrame:
+    """R9 on a plain corpus: top-k documents per question, zero scores eligible.  ``bounded`` searches by
+    score bounds (:func:`top_scores`): the same rows, for batches of short questions on a large corpus."""
     id_col = index.id_col
-    # only the kept documents may be found (an index may hold more than ``docs``)
-    s = scores(index, questions, qid, text_col).join(docs.select(id_col), id_col, "left_semi")
+    def kept(rows: DataFrame) -> DataFrame:
+        # only the kept documents may be found (an index may hold more than ``docs``)
+        return rows.join(docs.select(id_col), id_col, "left_semi").withColumn("_unit", F.col(id_col))
+
+    if bounded:
+        s = top_scores(index, questions, k, kept, qid, text_col)
+    else:
+        s = scores(index, questions, qid, text_col).join(docs.select(id_col), id_col, "left_semi")
     # the 2k highest ids: enough to pad any query that matched fewer than k docs
     cand = (docs.select(id_col).orderBy(F.col(id_col).desc()).limit(2 * k)
             .agg(F.sort_array(F.collect_list(F.struct(F.col(id_col))), asc=False)).scalar())
@@ -240,12 +347,18 @@ def search_merchants(index: TfidfIndex, chunks: DataFrame, questions: DataFrame,
     ch = chunks.where(static_filter) if static_filter is not None else chunks
     qf = questions.select(qid, *[F.col(c) if c in questions.columns else F.lit(None).cast("string").alias(c)
                                  for c in ("f_city", "f_mcc_code", "f_value_tier")])
-    s = scores(index, questions, qid, text_col)
     meta = ch.select("doc_id", "merchant_id", F.lower("city").alias("_c"), "mcc_code", "transaction_value_tier")
-    hits = (s.join(meta, "doc_id").join(qf, qid)
-            .where((F.col("f_city").isNull() | (F.col("_c") == F.lower("f_city")))
-                   & (F.col("f_mcc_code").isNull() | (F.col("mcc_code") == F.col("f_mcc_code")))
-                   & (F.col("f_value_tier").isNull() | (F.col("transaction_value_tier") == F.col("f_value_tier")))))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        # a merchant counts once, whatever the number of its chunks
+        hit = (rows.join(meta, "doc_id").join(qf, qid)
+               .where((F.col("f_city").isNull() | (F.col("_c") == F.lower("f_city")))
+                      & (F.col("f_mcc_code").isNull() | (F.col("mcc_code") == F.col("f_mcc_code")))
+                      & (F.col("f_value_tier").isNull() | (F.col("transaction_value_tier") == F.col("f_value_tier")))))
+        return hit.select(*rows.columns, F.col("merchant_id").alias("_unit"))
+
+    s = top_scores(index, questions, k, kept, qid, text_col)
+    hits = s.join(meta.select("doc_id", "merchant_id"), "doc_id")
     wb = Window.partitionBy(qid, "merchant_id").orderBy(_rank_key(F.col("score")).desc(), F.col("doc_id").desc())
     best = hits.withColumn("_b", F.row_number().over(wb)).where(F.col("_b") == 1).select(
         qid, "merchant_id", "doc_id", "score")

@@ -32,7 +32,7 @@ def rebuild(spark: SparkSession, raw_df: DataFrame, out_dir: str, city: str | No
     L.save(layers, "merchants", M.mart(stg))
     latest = L.save_lookup(layers, "merchant_latest", latest_per_merchant(stg), "merchant_id")
     chunks = L.save(layers, "chunks", C.chunk_merchants(latest))
-    post = L.save(layers, "tfidf_postings", R.postings(chunks).select("doc_id", "token", "tf"))
+    post = L.save(layers, "tfidf_postings", R.postings(chunks).select("doc_id", "token", "tf", "n_tokens"))
     idf = L.save(layers, "tfidf_idf", R.idf_table(post, chunks))
     L.save(layers, "tfidf_norms", R.doc_norms(post, idf))
     names = {"transactions": "staging", "merchants": "mart"}

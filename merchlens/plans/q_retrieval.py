@@ -185,6 +185,12 @@ def q_tfidf_documents(spark, sf):
     return R.search_documents(idx, docs, _bench_questions(spark, sf), k=5)
 
 
+@register("tfidf_documents_bounded", with_ctes(_DOC_TOPK, local=_DOC_IDX + _DOC_Q), ids=("R8", "R9", "J4", "W7"))
+def q_tfidf_documents_bounded(spark, sf):
+    docs = _docs(spark, sf)
+    return R.search_documents(R.tfidf_fit(docs), docs, _bench_questions(spark, sf), k=5, bounded=True)
+
+
 # merchant search over chunks, with filters inferred from the question text
 def _rule_sql(q: str, explicit: str, rules) -> str:
     parts = [f"WHEN nullif({explicit}, '') IS NOT NULL THEN nullif({explicit}, '')"]
