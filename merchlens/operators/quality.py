@@ -1,16 +1,17 @@
 """Data quality: expectation suites, model tests, record validation, freshness.
 
 A suite is a list of ``Check`` objects.  ``run_suite`` evaluates *all* checks of
-a suite in a single aggregate pass over the input (one scan, partial
-aggregation on the map side), then turns the one-row result into one row per
-check.  Only the uniqueness check needs a shuffle (count distinct on the key).
+a suite in one scan of the input: a row's failed checks are the bits of one number, and
+the counts per number and per unique key are grouping sets of one aggregate.  The
+former fold to a few rows in each task, so all that is shuffled is each key with its
+count (a key that a third of all rows share is one row per task).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchlens import constants as K
@@ -70,35 +71,61 @@ def _blank(c: Column, dtype: str) -> Column:
     return (c.isNull() | (c == "")) if dtype == "string" else c.isNull()
 
 
-def _failures(chk: Check, df: DataFrame) -> Column:
-    """Aggregate expression counting failing rows of one check."""
-    if chk.kind == "row_count":
-        return F.count(F.lit(1))
+def _bad(chk: Check, df: DataFrame) -> Column:
+    """Condition that a row fails the check (row checks only)."""
     c = F.col(chk.column) if chk.column else None
     dtype = dict(df.dtypes).get(chk.column, "string") if chk.column else None
     if chk.kind == "not_null":
-        return F.count(F.when(_blank(c, dtype), F.lit(1)))
+        return _blank(c, dtype)
     if chk.kind == "in_set":
         allowed = [str(v).lower() for v in chk.values]
-        bad = c.isNotNull() & ~F.lower(c.cast("string")).isin(allowed)
-        return F.count(F.when(bad, F.lit(1)))
+        return c.isNotNull() & ~F.lower(c.cast("string")).isin(allowed)
     if chk.kind == "between":
         if dtype == "string":
             x = F.expr(f"try_cast(nullif(`{chk.column}`, '') AS DOUBLE)")
-            bad = F.nullif(c, F.lit("")).isNotNull() & (x.isNull() | ~x.between(chk.lo, chk.hi))
-        else:
-            x = c.cast("double")
-            bad = x.isNotNull() & ~x.between(chk.lo, chk.hi)
-        return F.count(F.when(bad, F.lit(1)))
-    if chk.kind == "unique":
-        return F.count(c) - F.count_distinct(c)
+            return F.nullif(c, F.lit("")).isNotNull() & (x.isNull() | ~x.between(chk.lo, chk.hi))
+        x = c.cast("double")
+        return x.isNotNull() & ~x.between(chk.lo, chk.hi)
     if chk.kind == "pair_not_null":
-        return F.count(F.when(c.isNotNull() & F.col(chk.other).isNull(), F.lit(1)))
+        return c.isNotNull() & F.col(chk.other).isNull()
     if chk.kind == "expression":
-        return F.count(F.when(~F.expr(chk.expression), F.lit(1)))
+        return ~F.expr(chk.expression)
     raise ValueError(chk.kind)
 
 
+#: Conditions whose outcomes share one number.
+_BITS = 60
+
+
+def count_failures(df: DataFrame, bad: dict[str, Column], unique: dict[str, Column]) -> DataFrame:
+    """One row: ``_total``, rows meeting each condition of ``bad``, and for each column of ``unique`` its values that repeat an
+    earlier one (nulls aside).  One scan; exact, since keys are compared and not their hashes."""
+    names = list(bad)
+    masks = {f"_m{j}": names[j:j + _BITS] for j in range(0, max(len(names), 1), _BITS)}
+
+    def bits(part: list[str]) -> Column:
+        total = F.lit(0).cast("long")
+        for i, n in enumerate(part):
+            total = total + F.when(bad[n], F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        return total
+
+    keys = {f"_k{i}": c for i, c in enumerate(unique.values())}
+    flat = df.select(*[bits(part).alias(m) for m, part in masks.items()], *[c.alias(k) for k, c in keys.items()])
+    columns = [*masks, *keys]
+    sets = flat.groupingSets([[F.col(c)] for c in columns], *columns).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.grouping(c).alias(f"_by{c}") for c in columns])
+
+    def summed(column: str, where: Column, n: Column) -> Column:
+        return F.coalesce(F.sum(F.when((F.col(f"_by{column}") == 0) & where, n)), F.lit(0).cast("long"))
+
+    n, every = F.col("_n"), F.lit(True)
+    out = [summed("_m0", every, n).alias("_total")]
+    out += [summed(m, F.col(m).bitwiseAND(F.lit(1 << i).cast("long")) != 0, n).alias(name)
+            for m, part in masks.items() for i, name in enumerate(part)]
+    out += [summed(k, F.col(k).isNotNull(), n - 1).alias(name) for k, name in zip(keys, unique)]
+    return sets.agg(*out)
+
+
 def _observed(chk: Check, n: Column, total: Column) -> Column:
     if chk.kind == "not_null":
         pct = F.coalesce(safe_div(n * 100.0, total), F.lit(0.0))
@@ -124,15 +151,10 @@ def _success(chk: Check, n: Column) -> Column:
 
 
 def run_suite(df: DataFrame, checks: list[Check], suite_name: str) -> DataFrame:
-    """Evaluate every check in one aggregate; one output row per check."""
-    unique = [(i, ch) for i, ch in enumerate(checks) if ch.kind == "unique"]
-    aggs = [F.count(F.lit(1)).alias("_total")] + [_failures(ch, df).alias(f"_f{i}") for i, ch in enumerate(checks)
-                                                  if ch.kind != "unique"]
-    one = df.agg(*aggs)
-    for i, ch in unique:
-        # counting distinct values shuffles every value: an aggregate of its own, so the other
-        # checks stay one row per task
-        one = one.withColumn(f"_f{i}", df.select(F.col(ch.column)).agg(_failures(ch, df)).scalar())
+    """Evaluate every check in one pass; one output row per check."""
+    rows_checked = {f"_f{i}": _bad(ch, df) for i, ch in enumerate(checks) if ch.kind not in ("unique", "row_count")}
+    one = count_failures(df, rows_checked, {f"_f{i}": F.col(ch.column) for i, ch in enumerate(checks) if ch.kind == "unique"})
+    one = one.withColumns({f"_f{i}": F.col("_total") for i, ch in enumerate(checks) if ch.kind == "row_count"})
     total = F.col("_total")
     rows = [
         F.struct(
@@ -149,6 +171,34 @@ def run_suite(df: DataFrame, checks: list[Check], suite_name: str) -> DataFrame:
         "suite_name", "r.*")
 
 
+def failed_samples(df: DataFrame, checks: list[Check], suite_name: str, id_col: str = "transaction_id", n: int = 5) -> DataFrame:
+    """T4: per failed check its first ``n`` failing rows by id (then by value): ``(suite_name, check_no, expectation,
+    sample_no, id, value)``.  A row is paired with the checks that it fails and no others, and a task keeps ``n`` rows of each check
+    before anything is shuffled.  A uniqueness check shows repeated values."""
+    rows, numbered = [], list(enumerate(checks, 1))
+    by_row = [(i, ch) for i, ch in numbered if ch.kind not in ("unique", "row_count")]
+    if by_row:
+        failed = F.array(*[F.when(_bad(ch, df), F.struct(F.lit(i).alias("check_no"), F.col(ch.column).cast("string").alias("value")
+                                                         if ch.column else F.lit(None).cast("string").alias("value")))
+                           for i, ch in by_row])
+        rows.append(df.select(F.col(id_col).cast("string").alias("id"), F.explode(F.array_compact(failed)).alias("r")).select("id", "r.*"))
+    for i, ch in numbered:
+        if ch.kind == "unique":
+            c = F.col(ch.column)
+            again = df.where(c.isNotNull()).groupBy(c.cast("string").alias("id")).count().where("count > 1")
+            rows.append(again.select("id", F.lit(i).alias("check_no"), F.col("count").cast("string").alias("value")))
+    if not rows:
+        raise ValueError("no check of rows or keys")
+    pairs = rows[0]
+    for r in rows[1:]:
+        pairs = pairs.unionByName(r)
+    first = Window.partitionBy("check_no").orderBy(F.col("id").asc_nulls_first(), F.col("value").asc_nulls_first())
+    kept = pairs.withColumn("sample_no", F.row_number().over(first)).where(F.col("sample_no") <= n)
+    name = F.element_at(F.array(*[F.lit(ch.name) for ch in checks]), F.col("check_no"))
+    return kept.select(F.lit(suite_name).alias("suite_name"), "check_no", name.alias("expectation"), "sample_no",
+                       F.col("id").alias(id_col), "value")
+
+
 def raw_suite(min_rows: int = K.RAW_ROWCOUNT_MIN, max_rows: int = K.RAW_ROWCOUNT_MAX) -> list[Check]:
     """Q7: the 13 raw-layer checks; the row-count bounds are those of the table at hand."""
     return [
@@ -198,21 +248,20 @@ def suite_report(results: DataFrame) -> DataFrame:
 def model_test(df: DataFrame, model: str, tests: list[tuple[str, str, object]]) -> DataFrame:
     """Run (column, test, arg) tests in one pass; accepted_values is case-sensitive
     and ignores nulls, not_null counts only nulls, expression rows failing NOT(expr)."""
-    aggs = []
+    bad, unique = {}, {}
     for i, (col, test, arg) in enumerate(tests):
         c = F.col(col)
         if test == "unique":
-            e = F.count(c) - F.count_distinct(c)
+            unique[f"_t{i}"] = c
         elif test == "not_null":
-            e = F.count(F.when(c.isNull(), F.lit(1)))
+            bad[f"_t{i}"] = c.isNull()
         elif test == "accepted_values":
-            e = F.count(F.when(~c.isin(list(arg)), F.lit(1)))
+            bad[f"_t{i}"] = ~c.isin(list(arg))
         elif test == "expression_is_true":
-            e = F.count(F.when(~F.expr(f"`{col}` {arg}"), F.lit(1)))
+            bad[f"_t{i}"] = ~F.expr(f"`{col}` {arg}")
         else:
             raise ValueError(test)
-        aggs.append(e.alias(f"_t{i}"))
-    one = df.agg(*aggs)
+    one = count_failures(df, bad, unique)
     rows = [F.struct(F.lit(model).alias("model"), F.lit(col).alias("column_name"), F.lit(test).alias("test"),
                      F.col(f"_t{i}").alias("failures"),
                      F.when(F.col(f"_t{i}") == 0, F.lit("pass")).otherwise(F.lit("fail")).alias("status"))

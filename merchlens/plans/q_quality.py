@@ -9,7 +9,9 @@ from merchlens.operators import quality as Q
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import latest_of, stg_of
 from merchlens.plans.sqltext import dr, dt, sql_list, with_ctes
+from merchlens.session import materialize, scratch_dir
 from merchlens.sources import fixtures as FX
+from merchlens.sources.files import read_runs, write_run
 
 AS_OF = "2001-11-05 00:00:00"
 RAW_TEXT_COLS = {"transaction_id", "merchant_id", "merchant_name", "mcc_code", "mcc_description", "city",
@@ -84,6 +86,28 @@ def q_dq_staging_suite(spark, sf):
     return _stg_suite(spark, sf)
 
 
+def _samples_sql(checks, source: str, suite: str) -> str:
+    parts = []
+    for i, ch in enumerate(checks, 1):
+        if ch.kind == "row_count":
+            continue
+        c = ch.column
+        if ch.kind == "unique":
+            body = f"SELECT {c} AS id, CAST(count(*) AS VARCHAR) AS value FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1"
+        else:
+            cond = _check_sql(ch)[0].removeprefix("count(CASE WHEN ").removesuffix(" THEN 1 END)")
+            body = f"SELECT transaction_id AS id, CAST({c} AS VARCHAR) AS value FROM {source} WHERE {cond}"
+        parts.append(f"SELECT {i} AS check_no, '{ch.name.replace(chr(39), chr(39) * 2)}' AS expectation, * FROM ({body})")
+    return f"""SELECT '{suite}' AS suite_name, check_no, expectation, sample_no, id AS transaction_id, value FROM (
+SELECT *, row_number() OVER (PARTITION BY check_no ORDER BY id NULLS FIRST, value NULLS FIRST) AS sample_no
+FROM ({" UNION ALL ".join(parts)})) WHERE sample_no <= 5"""
+
+
+@register("dq_raw_samples", with_ctes(_samples_sql(Q.raw_suite(), "raw_txn", "raw_merchant_transactions"), "raw_txn"), ids=("T4",))
+def q_dq_raw_samples(spark, sf):
+    return Q.failed_samples(M.raw(FX.raw_txn(spark, sf)), Q.raw_suite(), "raw_merchant_transactions")
+
+
 _REPORT_BODY = f"""
 SELECT suite_name, count(*) AS evaluated_expectations,
        count(CASE WHEN success THEN 1 END) AS successful_expectations,
@@ -97,7 +121,11 @@ UNION ALL
 
 @register("dq_report", with_ctes(_REPORT_BODY, "raw_txn", "stg", local=_RAW_LOCAL + _STG_LOCAL), ids=("Q9", "S13"))
 def q_dq_report(spark, sf):
-    return Q.suite_report(_raw_suite(spark, sf).unionByName(_stg_suite(spark, sf)))
+    """The report is kept per run and read back."""
+    path = scratch_dir(spark, "dq-reports")
+    write_run(Q.suite_report(_raw_suite(spark, sf)), path, "raw")
+    write_run(Q.suite_report(_stg_suite(spark, sf)), path, "staging")
+    return read_runs(spark, path).drop("run_id")
 
 
 def _tests_sql(model: str, source: str, tests) -> str:
@@ -125,7 +153,7 @@ _MODEL_TESTS_BODY = "\nUNION ALL\n".join([
 
 @register("dq_model_tests", with_ctes(_MODEL_TESTS_BODY, "raw_txn", "stg", "mart"), ids=("Q10",))
 def q_dq_model_tests(spark, sf):
-    stg = stg_of(spark, sf)
+    stg = materialize(stg_of(spark, sf), "model-tests-staging")
     return (Q.model_test(FX.raw_txn(spark, sf), "raw_merchant_transactions", Q.SOURCE_TESTS)
             .unionByName(Q.model_test(stg, "stg_merchant_transactions", Q.STAGING_TESTS))
             .unionByName(Q.model_test(M.mart(stg), "mart_merchant_intelligence", Q.MART_TESTS)))

@@ -161,3 +161,14 @@ def append_json(df: DataFrame, path: str) -> None:
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Load appended JSON rows; unreadable lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_run(df: DataFrame, path: str, run_id: str) -> None:
+    """Keep the rows of one run (a report) under its run key; writing a run again replaces it, other runs stay."""
+    df.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of every kept run, with the run key as text."""
+    rows = spark.read.parquet(path)
+    return rows.withColumn("run_id", F.col("run_id").cast("string"))
