@@ -136,7 +136,7 @@ def test_line_dedup_runs_no_python(spark, odd_docs):
 
 def test_warc_edges(spark):
     big = "x" * 1200
-    rows = [(1, "u1", big), (2, "u2", big), (3, None, big), (3, None, big), (4, "u\r\n4", None), (5, "u5", ""), (None, "u", big), (6, "s", "é")]
+    rows = [(1, "u1", big), (2, "u2", big), (3, None, big), (3, None, big), (4, "u\r\n4%0D", None), (5, "u5%20%0A", ""), (None, "u", big), (6, "s", "é\r\n\r\nWARC/1.1\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     path = scratch_dir(spark, "warc-test")
     warc.write_archive(pages, path)
@@ -146,18 +146,46 @@ def test_warc_edges(spark):
     assert back.count() == len(rows)
     assert f[(1, "u1")]["record_type"] == "revisit" and f[(1, "u1")]["refers_to"] == "3"
     assert f[(3, "")]["record_type"] == "response" and f[(3, "")]["refers_to"] is None
-    assert f[(None, "u")]["record_type"] == "revisit" and f[(4, "u%0D%0A4")]["content_length"] == 0
+    assert f[(None, "u")]["record_type"] == "revisit" and f[(4, "u\r\n4%0D")]["content_length"] == 0
+    assert (5, "u5%20%0A") in f and f[(1, "u1")]["content_length"] == 0 and f[(1, "u1")]["payload_length"] == 1200
+    assert f[(2, "u2")]["date"] == "1970-01-01T00:00:00Z"
     payload = {r["page_id"]: bytes(r["payload"]) for r in back.collect()}
-    assert payload[2] == big.encode() and payload[4] == b"" and payload[6] == "é".encode()
+    assert payload[2] == big.encode() and payload[4] == b"" and payload[6] == "é\r\n\r\nWARC/1.1\r\n".encode()
     out = scratch_dir(spark, "warc-text")
     warc.warc_text(back).write.option("lineSep", "\r\n\r\n").text(out)
-    whole = "".join(r[0] for r in spark.read.text(out, wholetext=True).collect())
-    assert whole.count("WARC/1.1\r\n") == len(rows) and whole.endswith("\r\n\r\n")
+    read = [r for text in spark.read.text(out, wholetext=True).collect() for r in _records(text[0].encode())]
+    assert sorted((h["WARC-Record-ID"], h["WARC-Type"], b) for h, b in read) == sorted(
+        (f"<urn:page:{'' if i is None else i}>", "revisit" if i in (1, 2, None) else "response", b"" if i in (1, 2, None) else (t or "").encode())
+        for i, _, t in rows)
+    assert all(h["WARC-Date"].endswith("Z") for h, _ in read)
     empty = scratch_dir(spark, "warc-empty")
     warc.write_archive(pages.where("false"), empty)
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def _records(data: bytes):
+    """(header fields, block) of a plain WARC file, read by its lengths alone."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        first, *lines = data[at:end].decode().split("\r\n")
+        assert first == "WARC/1.1"
+        header = dict(line.split(": ", 1) for line in lines)
+        start = end + 4
+        stop = start + int(header["Content-Length"])
+        assert data[stop:stop + 4] == b"\r\n\r\n"
+        yield header, data[start:stop]
+        at = stop + 4
+
+
+def test_warc_dates_from_a_column(spark):
+    pages = spark.createDataFrame([(1, "u", "a", "2020-02-03 04:05:06"), (2, "u", "b", None)], "page_id long, url string, html string, t string")
+    path = scratch_dir(spark, "warc-date")
+    warc.write_archive(pages.withColumn("t", F.col("t").cast("timestamp")), path, date_col="t", date="2001-01-01T00:00:00Z")
+    dates = {r["page_id"]: r["date"] for r in warc.record_fields(warc.read_archive(spark, path), "page_id").collect()}
+    assert dates == {1: "2020-02-03T04:05:06Z", 2: "2001-01-01T00:00:00Z"}
+
+
 def test_warc_finds_damage(spark):
     pages = spark.createDataFrame([(1, "u", "payload")], "page_id long, url string, html string")
     path = scratch_dir(spark, "warc-damage")
