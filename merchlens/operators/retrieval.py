@@ -47,9 +47,9 @@ LONG_QUESTION = 16
 
 @dataclass
 class TfidfIndex:
-    postings: DataFrame  # id, token, tf, n_tokens
+    postings: DataFrame  # id, token, tf
     idf: DataFrame       # token, df, idf
-    norms: DataFrame     # id, norm (L2 norm of the tf-idf vector, 0 -> 1)
+    norms: DataFrame     # id, norm (L2 norm of the tf-idf vector, 0 -> 1), n_distinct (tokens)
     id_col: str
 
     @property
@@ -100,7 +100,7 @@ def _l2(df: DataFrame, key: str, w: str = "w") -> DataFrame:
 def block_of(id_col: str, modulus: Column) -> Column:
     """Block of a document: its length class (half powers of two, for long documents have small impacts) and a hash
     of its id, so that a block's documents are alike in the one thing that bounds an impact."""
-    length = F.floor(F.log2(F.col("n_tokens").cast("double")) * 2).cast("long")
+    length = F.floor(F.log2(F.col("n_distinct").cast("double")) * 2).cast("long")
     return length * F.lit(2 ** 32) + F.pmod(F.xxhash64(id_col), modulus)
 
 
@@ -108,8 +108,8 @@ def doc_norms(post: DataFrame, idf: DataFrame, id_col: str = "doc_id") -> DataFr
     """``(id, norm)``: L2 norm of each document's tf-idf vector — a hash
     aggregate by document (no sort), one row per document."""
     w = post.join(idf.select("token", "idf"), "token").select(id_col, (F.col("tf") * F.col("idf")).alias("w"))
-    return (w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-            .select(id_col, F.coalesce(F.nullif(F.col("_n"), F.lit(0.0)), F.lit(1.0)).alias("norm")))
+    return (w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"), F.count(F.lit(1)).alias("n_distinct"))
+            .select(id_col, F.coalesce(F.nullif(F.col("_n"), F.lit(0.0)), F.lit(1.0)).alias("norm"), "n_distinct"))
 
 
 def tfidf_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -124,7 +124,7 @@ def tfidf_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables also cut the lineage: a lost executor re-reads files rather than
     re-running the shuffles.  No full weights table is written: a search only
     touches the postings of its query tokens and divides by the norm."""
-    post = postings(docs, id_col, text_col).select(id_col, "token", "tf", "n_tokens")
+    post = postings(docs, id_col, text_col).select(id_col, "token", "tf")
     if materialize:
         post = _stage(post, "tfidf-postings")
     idf = idf_table(post, docs, id_col)
@@ -190,8 +190,8 @@ def bounded_search(index: TfidfIndex, questions: DataFrame, k: int, eligible: Ca
     qw = query_weights(index, questions, qid, text_col).where(F.col("idf").isNotNull()).select(
         qid, "token", (F.col("q_weight") * F.col("idf")).alias("qw"))
     modulus = index.norms.select(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.lit(1)).cast("long")).scalar()
-    post = index.postings.join(qw.select("token").distinct(), "token").withColumn("_m", modulus)
-    post = post.withColumn("block", block_of(idc, F.col("_m"))).join(index.norms, idc)
+    post = index.postings.join(qw.select("token").distinct(), "token").join(index.norms, idc).withColumn("_m", modulus)
+    post = post.withColumn("block", block_of(idc, F.col("_m")))
     post = _stage(post.select(idc, "token", "tf", "norm", "block"), "query-postings")
     blocks = _stage(post.groupBy("token", "block").agg(F.max(F.col("tf") / F.col("norm")).alias("top"), F.count(F.lit(1)).alias("n")),
                     "query-blocks")
@@ -294,6 +294,7 @@ def search_documents(index: TfidfIndex, docs: DataFrame, questions: DataFrame, k
     """R9 on a plain corpus: top-k documents per question, zero scores eligible.  ``bounded`` searches by
     score bounds (:func:`top_scores`): the same rows, for batches of short questions on a large corpus."""
     id_col = index.id_col
+
     def kept(rows: DataFrame) -> DataFrame:
         # only the kept documents may be found (an index may hold more than ``docs``)
         return rows.join(docs.select(id_col), id_col, "left_semi").withColumn("_unit", F.col(id_col))
