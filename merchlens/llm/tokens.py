@@ -30,7 +30,7 @@ CACHE_WORDS = 700_000
 IDLE_SECONDS = 3.0
 #: Characters of text encoded at once: bounds the scratch arrays.
 _SLICE_BYTES = 4 << 20
-_FIRST, _LINE = "\x02", "\x01"
+_FIRST, _LINE, _MORE = "\x02", "\x01", "\x03"
 _ODD = r"[\s\v\p{Z}\x85\x{1c}-\x{1f}]{2}|[\x01\x02]"
 _PUNCT = string.punctuation
 
@@ -174,12 +174,15 @@ class TextEncoder:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), offsets.astype(np.int64)
 
+    def _mark(self, texts: pa.Array) -> pa.Array:
+        """Texts whose blanks part the chunks that :meth:`_words` reads."""
+        if self.drops_blanks:
+            return pc.replace_substring(texts, "\n", " ")
+        return pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", " " + _LINE), "")
+
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, self.odd)
-        if self.drops_blanks:
-            marked = pc.replace_substring(texts, "\n", " ")
-        else:
-            marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", " " + _LINE), "")
+        marked = self._mark(texts)
         n_odd = pc.sum(odd).as_py() or 0
         if n_odd:
             marked = pc.if_else(odd, "", marked)
