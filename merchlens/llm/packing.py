@@ -208,16 +208,17 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 # ------------------------------------------------------------------------- pieces
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", controls_as_text: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids, part, nth): ``ids`` are little-endian uint32 token
-    ids; ``nth`` is the rank among equal lengths of the writing task ``part``."""
+    ids; ``nth`` is the rank among equal lengths of the writing task ``part``.  A control string of
+    the vocabulary gets its control id, or with ``controls_as_text`` is ordinary text."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), *[T.StructField(n, t) for n, t in (
         ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()),
         ("part", T.IntegerType()), ("nth", T.LongType()))]])
 
     def cut(batches):
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, part = encoder(vocabulary, controls_as_text=controls_as_text), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for big in batches:
             for at in range(0, big.num_rows, 1000):

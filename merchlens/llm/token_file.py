@@ -14,10 +14,12 @@ expansions     expanded length of each rule (uint32)
 sequence       the compressed sequence (uint32)
 =============  ====================================================================
 
-Re-Pair runs per shard: each round counts all neighbouring pairs exactly, and replaces
-the frequent ones - where two overlap, the more frequent - by new nonterminals, until
-no pair is frequent or a round gains next to nothing.  The expansion lengths make any id
-range readable without expanding what lies before it (:func:`decode_range`).
+Re-Pair runs per shard until no pair of neighbours occurs :data:`MIN_COUNT` times: each round
+replaces the frequent pairs - where two overlap, the more frequent - by new nonterminals.
+Counts are exact.  The first round counts all places; a pair that was not frequent then
+never becomes so, so that later rounds count only places beside a new nonterminal and
+those of frequent pairs left over.  The expansion lengths make any id range readable without
+expanding what lies before it (:func:`decode_range`).
 
 Nulls: a null text is an empty document (the end id alone); null ids sort first.
 Repeated ids stay separate documents, ordered by text hash.  An empty table gives an
@@ -40,67 +42,81 @@ from merchlens.llm.tokens import encoder, lists_to_bytes
 SHARD_IDS = 1 << 18
 #: A pair is frequent from this many occurrences on.
 MIN_COUNT = 4
-#: Symbols stay below this.
-MAX_SYMBOLS = 1 << 20
-#: Rounds end when one replaces less than this share of the symbols.
-MIN_GAIN = 0.005
 
 
-def _sorted(keys: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending pair keys and their positions."""
+def _sorted(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending pair keys (below ``top``) and their indices."""
     bits = len(keys).bit_length()
-    if 2 * n_symbols.bit_length() + bits > 62:
+    if top.bit_length() + bits > 63:
         order = np.argsort(keys)
         return keys[order], order
-    both = np.sort((keys << bits) | np.arange(len(keys)))  # one plain sort of key and position
+    both = np.sort((keys << bits) | np.arange(len(keys)))  # one plain sort of key and index
     return both >> bits, both & ((1 << bits) - 1)
 
 
+def _chosen(rank: np.ndarray, joined: np.ndarray, none: int) -> np.ndarray:
+    """Which pairs go: of overlapping ones the lower rank, in a run of one pair every other.
+    ``joined``: a pair's second symbol is the first of the pair listed after it."""
+    right, left = np.full(len(rank), none), np.full(len(rank), none)
+    right[:-1][joined] = rank[1:][joined]
+    left[1:][joined] = rank[:-1][joined]
+    follows, index = left == rank, np.arange(len(rank))
+    even = (index - np.maximum.accumulate(np.where(follows, 0, index))) % 2 == 0
+    return even & (rank <= right) & (follows | (rank < left))
+
+
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules [k, 2], expansions [k], sequence) of an id array."""
-    seq = ids.astype(np.int64)
-    base = int(seq.max()) + 1 if len(seq) else 1
+    n = len(ids)
+    seq = np.append(ids.astype(np.int64), -1)
+    base = int(seq.max()) + 1 if n else 1
     n_symbols = base
-    rules, sizes = [], [np.ones(base, np.int64)]
-    while len(seq) >= 2 * min_count and n_symbols < MAX_SYMBOLS:
-        keys = seq[:-1] * n_symbols + seq[1:]
-        ks, order = _sorted(keys, n_symbols)
+    rules, sizes, lengths = [], [], np.ones(base, np.int64)
+    # symbols stay where they are: places of the following and the preceding one
+    following, preceding = np.arange(1, n + 2), np.arange(-1, n)
+    alive = np.ones(n + 1, bool)
+    alive[n] = False
+    places = np.arange(max(n - 1, 0))  # where a frequent pair may start, ascending
+    while len(places) >= min_count:
+        ks, order = _sorted(seq[places] * n_symbols + seq[following[places]], n_symbols * n_symbols)
         edge = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
         count = np.diff(np.append(edge, len(ks)))
         frequent = np.flatnonzero(count >= min_count)
         if not len(frequent):
             break
-        frequent = frequent[np.argsort(-count[frequent], kind="stable")][:MAX_SYMBOLS - n_symbols]
+        frequent = frequent[np.argsort(-count[frequent], kind="stable")]
         none = len(frequent)
         by_run = np.full(len(edge), none, np.int64)
-        by_run[frequent] = np.arange(len(frequent))
-        rank = np.empty(len(keys) + 2, np.int64)
-        rank[0] = rank[-1] = none
-        rank[order + 1] = np.repeat(by_run, count)
-        here = rank[1:-1]
-        # more frequent than the right neighbour or equal, and than the left one
-        take = np.flatnonzero((here < none) & (here <= rank[2:]) & (here < rank[:-2]))
-        used = np.bincount(here[take], minlength=none)
-        good = used >= 2
-        take = take[good[here[take]]]
+        by_run[frequent] = np.arange(none)
+        rank = np.empty(len(places), np.int64)
+        rank[order] = np.repeat(by_run, count)
+        places, rank = places[rank < none], rank[rank < none]
+        chosen = _chosen(rank, places[1:] == following[places[:-1]], none)
+        good = np.bincount(rank[chosen], minlength=none) >= 2  # with four occurrences the most frequent pair always is
+        chosen &= good[rank]
+        take = places[chosen]
         if not len(take):
             break
-        number = np.cumsum(good) - 1
         pair = ks[edge[frequent[good]]]
         new = np.stack([pair // n_symbols, pair % n_symbols], axis=1)
-        all_sizes = np.concatenate(sizes)
         rules.append(new)
-        sizes.append(all_sizes[new].sum(axis=1))
-        seq[take] = n_symbols + number[here[take]]
-        keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
-        seq = seq[keep]
+        sizes.append(lengths[new].sum(axis=1))
+        lengths = np.concatenate([lengths, sizes[-1]])
+        seq[take] = n_symbols + (np.cumsum(good) - 1)[rank[chosen]]
         n_symbols += len(new)
-        if len(take) < MIN_GAIN * len(keep):
-            break
+        gone = following[take]
+        alive[gone] = False
+        following[take] = following[gone]
+        preceding[following[take]] = take
+        # next: frequent pairs left over, and both sides of a new symbol
+        mark = np.zeros(n + 1, bool)
+        mark[places] = mark[preceding[take]] = True  # before the first place stands the last mark
+        places = np.flatnonzero(mark & alive)
+        if len(places) and following[places[-1]] == n:
+            places = places[:-1]
     r = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
-    e = np.concatenate(sizes[1:]) if rules else np.empty(0, np.int64)
-    return base, r, e, seq
+    e = np.concatenate(sizes) if rules else np.empty(0, np.int64)
+    return base, r, e, seq[alive]
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
@@ -133,8 +149,9 @@ def _u32(a: np.ndarray) -> bytes:
 
 
 def write_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id",
-               text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
-    """Encode whole texts, append ``end_id`` to each, write the shards under ``path``."""
+               text_col: str = "text", shard_ids: int = SHARD_IDS, controls_as_text: bool = False) -> None:
+    """Encode whole texts, append ``end_id`` to each, write the shards under ``path``.  A control
+    string of the vocabulary gets its control id, or with ``controls_as_text`` is ordinary text."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(n, t) for n, t in (
@@ -143,12 +160,12 @@ def write_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_
         ("rules", T.BinaryType()), ("expansions", T.BinaryType()), ("sequence", T.BinaryType()))])
 
     def shards(batches):
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        shard, part_start = 0, 0
+        enc, part = encoder(vocabulary, controls_as_text=controls_as_text), TaskContext.get().partitionId()
+        shard, part_start, held = 0, 0, 0
         doc_ids, ids, tokens = [], [], []
 
         def flush():
-            nonlocal shard, part_start, doc_ids, ids, tokens
+            nonlocal shard, part_start, held, doc_ids, ids, tokens
             flat = np.concatenate(ids)
             base, rules, expansions, seq = compress(flat)
             row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([part_start]), pa.array([len(flat)]),
@@ -156,7 +173,7 @@ def write_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_
                    pa.array([np.array(tokens, "<u8").tobytes()]), pa.array([base]), pa.array([_u32(rules)]),
                    pa.array([_u32(expansions)]), pa.array([_u32(seq)])]
             shard, part_start = shard + 1, part_start + len(flat)
-            doc_ids, ids, tokens = [], [], []
+            doc_ids, ids, tokens, held = [], [], [], 0
             return pa.RecordBatch.from_arrays(row, names=schema.names)
 
         id_arrow = None
@@ -170,11 +187,12 @@ def write_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_
                 names = batch.column(0).to_pylist()
                 for i, name in enumerate(names):
                     n = int(offs[i + 1] - offs[i])
-                    if tokens and sum(tokens) + n > shard_ids:
+                    if tokens and held + n > shard_ids:
                         yield flush()
                     doc_ids.append(name)
                     ids.append(flat[offs[i]:offs[i + 1]])
                     tokens.append(n)
+                    held += n
         if tokens:
             yield flush()
 

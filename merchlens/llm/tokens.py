@@ -5,13 +5,14 @@ The pre-tokenisers of these files never join characters across a single space
 the concatenation of its words' ids.  A word is encoded once per worker and then
 looked up; words are found per Arrow batch with a dictionary encoding, so the cost
 of a frequent word is one hash lookup per batch.  Texts in which blanks touch
-each other, or that hold the two marker characters used here, go through the
-library whole.
+each other, or that hold a control string of the vocabulary or one of the two marker
+characters used here, go through the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import string
 import threading
 import time
@@ -60,19 +61,23 @@ def _le(ids: list[int]) -> bytes:
 class TextEncoder:
     """Encodes Arrow string arrays to token ids with the tokenizers library.
 
-    Control strings of the vocabulary inside a text are ordinary text."""
+    A control string of the vocabulary inside a text gets its control id, as the library's plain
+    call gives it; with ``controls_as_text`` it is ordinary text."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, controls_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = controls_as_text
         self.limit = cache_words
         self.cache: dict[str, bytes] = {}
         # vocabularies with word-end marks drop blanks; the others keep them as tokens
         self.drops_blanks = bool(self.lib.model.end_of_word_suffix)
         self.odd = r"[\x01\x02]" if self.drops_blanks else _ODD
+        controls = [] if controls_as_text else [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        if controls:  # in any case: some vocabularies look for them in lower-cased text
+            self.odd += "|(?i:" + "|".join(map(re.escape, controls)) + ")"
         self.alphabet = _byte_alphabet()
         self.space = "" if self.drops_blanks else self.alphabet[32]
         self.tokenize = self.lib.model.tokenize
@@ -117,9 +122,10 @@ class TextEncoder:
                 word, lead, text = w, self.space, w if self.drops_blanks else " " + w
             ids = None
             if lead is not None and word:
-                ids = self._letters(word, lead)
-                stem = word.rstrip(_PUNCT) if ids is None else ""
-                if stem and len(stem) < len(word):  # letters, then one run of punctuation
+                stem = word.rstrip(_PUNCT)
+                if len(stem) == len(word):
+                    ids = self._letters(word, lead)
+                elif stem:  # letters, then one run of punctuation
                     ids = self.cache.get(stem) if lead == self.space and stem.isalpha() else None
                     if ids is None:
                         ids = self._letters(stem, lead)
@@ -189,7 +195,7 @@ class TextEncoder:
         split = pc.split_pattern(marked, " ")
         chunk_counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        known = self._lookup(coded.dictionary.to_pylist())
+        known = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         n = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), "<u4")
         at = np.cumsum(n) - n
@@ -219,16 +225,17 @@ class TextEncoder:
         return known
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, kind: type[TextEncoder] = TextEncoder) -> TextEncoder:
+def encoder(path: str, kind: type[TextEncoder] = TextEncoder, **options) -> TextEncoder:
     """The worker's encoder for a vocabulary file: Python workers are reused, so its
     word cache stays warm from task to task."""
-    if path not in _ENCODERS:
+    key = (path, kind, *sorted(options.items()))
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = kind(path)
-    return _ENCODERS[path]
+        _ENCODERS[key] = kind(path, **options)
+    return _ENCODERS[key]
 
 
 def lists_to_bytes(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -245,19 +245,62 @@ def test_links_equal_brute_force_for_any_shard_size(spark, shard_rows):
 
 EDGE = ["", "a  b", " a", "a ", "\n", "a\nb\n\nc", "a \nb", "x\ty", "don't we'll I'm 'sfoo", "\x02q \x01", "été\nÉTÉ, ßx. İstanbul ΣΑΣ",
         "éa á", "foo.. bar!, (x) 12 345 a1b", "<|endoftext|> </w> <s>", "日本語 テスト 。", "a\r\nb", "　x   y",
-        "Kelvin", None, "\x1cy \x1d z", "\x85a \x85b", " \n ", "a    b", "====----....", "ﬁ ½ 안녕 ✨"]
+        "Kelvin", "see <|endoftext|> here", "a<|endoftext|>b", "x <|EndOfText|> y", "  <|startoftext|>  z", "a\n\n\n   b \x03c  ",
+        None, "\x1cy \x1d z", "\x85a \x85b", " \n ", "a    b", "====----....", "ﬁ ½ 안녕 ✨"]
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_equals_library(name):
-    e = TextEncoder(vocabulary_path(name), cache_words=5)
+def test_encoder_equals_library(name, as_text):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path(name))
+    if as_text:
+        lib.encode_special_tokens = True
+    e = TextEncoder(vocabulary_path(name), cache_words=5, controls_as_text=as_text)
+    want = [x.ids for x in lib.encode_batch([t or "" for t in EDGE * 2], add_special_tokens=False)]
     for _ in range(2):
         ids, off = e.encode(pa.array(EDGE * 2))
-        want = [x.ids for x in e.lib.encode_batch([t or "" for t in EDGE * 2], add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want
+    control = lib.token_to_id("<|endoftext|>")
+    assert any(control in w for w in want) != as_text
     assert e.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+def test_pair_walk_equals_all_merges():
+    codec = sentencepiece_codec.PieceCodec(vocabulary_path("piece_bpe_32k.model"))
+    known = [i for i, p in enumerate(codec.pieces) if p in codec.rank]
+    rng = np.random.default_rng(2)
+    short = [i for i in known if len(codec.pieces[i]) <= 3]
+    pairs = [*rng.choice(known, (3000, 2)), *rng.choice(short, (5000, 2))]
+    n_open = 0
+    for a, b in pairs:
+        left, right = codec.pieces[a], codec.pieces[b]
+        is_open = codec._merge(left + right)[0] == [left, right]
+        assert codec._apart(a, b) == is_open
+        n_open += is_open
+    assert 100 < n_open < len(pairs) - 100
+    # scores that do not fall along the merges: all merges are done
+    codec.edges = {i: e and (e[0], e[1], False) for i in short[:200] for e in [codec._edges(i)]}
+    for a, b in rng.choice(short[:200], (500, 2)):
+        left, right = codec.pieces[a], codec.pieces[b]
+        assert codec._apart(a, b) == (codec._merge(left + right)[0] == [left, right])
+
+
+def test_blank_runs_pass_the_word_cache():
+    import sentencepiece
+
+    path = vocabulary_path("piece_bpe_32k.model")
+    lib, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.PieceCodec(path)
+    whole, codec._whole = codec._whole, lambda texts: pytest.fail("a text with blank runs went whole")
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "   ", "\n", "\n\n", " \n", "the", "Quick", "fox,", "a.b", "...", "é", "日本", "\t", "12"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 12))) for _ in range(3000)]
+    ids, off = codec.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == lib.encode(texts)
+    assert codec.decode(ids, off) == texts
+
+
 def test_pieces_equal_library_and_decode(tmp_path):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -289,6 +332,20 @@ def test_piece_columns_pass_nulls(spark):
     assert out == {1: "a b", 2: "", 3: ""}
 
 
+def test_piece_columns_empty_repeated_and_very_long(spark, odd_docs, no_docs):
+    import sentencepiece
+
+    path = vocabulary_path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = odd_docs.withColumn("ids", sentencepiece_codec.encode_column(F.col("text"), path))
+    rows = rows.withColumn("back", sentencepiece_codec.decode_column(F.col("ids"), path)).collect()
+    assert len(rows) == odd_docs.count()
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == lib.encode(r["text"] or "") and r["back"] == (r["text"] or "")
+    assert no_docs.select(sentencepiece_codec.encode_column(F.col("text"), path)).count() == 0
+    assert no_docs.select(sentencepiece_codec.encode_column(F.col("text"), path).alias("i")).collect() == []
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     cases = [np.zeros(0, int), np.array([5]), np.full(1000, 7), rng.integers(0, 50, 5000), np.tile(rng.integers(0, 49000, 700), 30)]
@@ -303,6 +360,18 @@ def test_grammar_round_trip_and_random_access():
     assert len(seq) + 2 * len(rules) < len(a) / 4
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(1)
+    cases = [rng.integers(0, rng.integers(1, 7), rng.integers(0, 500)) for _ in range(300)]
+    cases += [np.zeros(5000, int), np.tile(np.arange(7), 900), rng.zipf(1.3, 30_000) % 900]
+    for a in cases:
+        base, rules, sizes, seq = token_file.compress(a.astype(np.uint32))
+        assert (token_file.expand(seq, base, rules) == a).all()
+        assert all(len(token_file.expand(np.array([base + k]), base, rules)) == n for k, n in list(enumerate(sizes))[:100])
+        if len(seq) > 1:
+            assert np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)[1].max() < token_file.MIN_COUNT
+
+
 def test_token_file_edges(spark, odd_docs, no_docs):
     path, empty = scratch_dir(spark, "tf"), scratch_dir(spark, "tf")
     token_file.write_file(odd_docs, path, vocabulary_path("word_bpe_49k.json"), shard_ids=64)

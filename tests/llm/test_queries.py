@@ -30,9 +30,7 @@ def _texts(spark, sf):
 def _library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary_path(name))
 
 
 def test_token_file_equals_library(spark, sf):
