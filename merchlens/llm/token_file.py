@@ -119,19 +119,26 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarr
     return base, r, e, seq[alive]
 
 
-def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids that a run of symbols stands for."""
+def expand(symbols: np.ndarray, base: int, rules: np.ndarray, expansions: np.ndarray) -> np.ndarray:
+    """The ids that a run of symbols stands for.  Each symbol's place in the result follows from the
+    lengths, so that a level of the grammar costs its own nonterminals only."""
     s = symbols.astype(np.int64)
+    size = np.ones(len(s), np.int64)
+    inner = s >= base
+    size[inner] = expansions[s[inner] - base]
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
     while True:
-        inner = s >= base
-        if not inner.any():
-            return s.astype(np.uint32)
-        at = np.cumsum(inner) + np.arange(len(s))  # place of a symbol's last part
-        out = np.empty(len(s) + int(inner.sum()), np.int64)
         out[at[~inner]] = s[~inner]
-        pair = rules[s[inner] - base]
-        out[at[inner] - 1], out[at[inner]] = pair[:, 0], pair[:, 1]
-        s = out
+        k, at = s[inner] - base, at[inner]
+        if not len(k):
+            return out
+        left, right = rules[k, 0], rules[k, 1]
+        step = np.ones(len(k), np.int64)
+        deep = left >= base
+        step[deep] = expansions[left[deep] - base]
+        s, at = np.concatenate([left, right]), np.concatenate([at, at + step])
+        inner = s >= base
 
 
 def decode_range(base: int, rules: np.ndarray, expansions: np.ndarray, sequence: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -141,7 +148,7 @@ def decode_range(base: int, rules: np.ndarray, expansions: np.ndarray, sequence:
     first = int(np.searchsorted(ends, start, side="right"))
     last = int(np.searchsorted(ends, start + n, side="left"))
     skip = start - (int(ends[first - 1]) if first else 0)
-    return expand(sequence[first:last + 1], base, rules)[skip:skip + n]
+    return expand(sequence[first:last + 1], base, rules, expansions)[skip:skip + n]
 
 
 def _u32(a: np.ndarray) -> bytes:
@@ -218,15 +225,15 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, doc_tokens, base, rules, seq, at = (batch.column(i)[row] for i in range(6))
+                doc_ids, doc_tokens, base, rules, sizes, seq, at = (batch.column(i)[row] for i in range(7))
                 n = np.frombuffer(doc_tokens.as_py(), "<u8").astype(np.int64)
                 grammar = np.frombuffer(rules.as_py(), "<u4").astype(np.int64).reshape(-1, 2)
-                ids = expand(np.frombuffer(seq.as_py(), "<u4"), base.as_py(), grammar)
+                ids = expand(np.frombuffer(seq.as_py(), "<u4"), base.as_py(), grammar, np.frombuffer(sizes.as_py(), "<u4"))
                 offs = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.values, pa.array(offs[:-1] + at.as_py()), pa.array(n), lists_to_bytes(ids, offs)],
                     names=schema.names)
 
     rows = blocks.join(F.broadcast(starts), "part").select(
-        "doc_ids", "doc_tokens", "base", "rules", "sequence", (F.col("part_start") + F.col("before")).alias("at"))
+        "doc_ids", "doc_tokens", "base", "rules", "expansions", "sequence", (F.col("part_start") + F.col("before")).alias("at"))
     return rows.mapInArrow(documents, schema)

@@ -351,8 +351,8 @@ def test_grammar_round_trip_and_random_access():
     cases = [np.zeros(0, int), np.array([5]), np.full(1000, 7), rng.integers(0, 50, 5000), np.tile(rng.integers(0, 49000, 700), 30)]
     for a in cases:
         base, rules, sizes, seq = token_file.compress(a.astype(np.uint32))
-        assert (token_file.expand(seq, base, rules) == a).all()
-        assert all(len(token_file.expand(np.array([base + k]), base, rules)) == n for k, n in list(enumerate(sizes))[:50])
+        assert (token_file.expand(seq, base, rules, sizes) == a).all()
+        assert all(len(token_file.expand(np.array([base + k]), base, rules, sizes)) == n for k, n in list(enumerate(sizes))[:50])
         for _ in range(10 if len(a) else 0):
             s = int(rng.integers(0, len(a)))
             n = int(rng.integers(0, len(a) - s + 1))
@@ -366,8 +366,8 @@ def test_grammar_leaves_no_frequent_pair():
     cases += [np.zeros(5000, int), np.tile(np.arange(7), 900), rng.zipf(1.3, 30_000) % 900]
     for a in cases:
         base, rules, sizes, seq = token_file.compress(a.astype(np.uint32))
-        assert (token_file.expand(seq, base, rules) == a).all()
-        assert all(len(token_file.expand(np.array([base + k]), base, rules)) == n for k, n in list(enumerate(sizes))[:100])
+        assert (token_file.expand(seq, base, rules, sizes) == a).all()
+        assert all(len(token_file.expand(np.array([base + k]), base, rules, sizes)) == n for k, n in list(enumerate(sizes))[:100])
         if len(seq) > 1:
             assert np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)[1].max() < token_file.MIN_COUNT
 
