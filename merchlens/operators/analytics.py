@@ -17,12 +17,18 @@ from merchlens import constants as K
 from merchlens.functions.numeric import dround, money_sum, pct_text
 from merchlens.functions.text import price_symbol, quarter_label, value_tier, year_text
 from merchlens.operators.models import latest_per_key, staging_filter
+from merchlens.session import materialize
 
 
 def latest_per_merchant(stg: DataFrame) -> DataFrame:
-    """Latest transaction per merchant (``transaction_at`` DESC, ``transaction_id`` DESC)."""
-    return latest_per_key(stg, "merchant_id",
-                          [F.col("transaction_at").desc_nulls_last(), F.col("transaction_id").desc()])
+    """Latest transaction per merchant (``transaction_at`` DESC, ``transaction_id`` DESC).
+
+    Each merchant's newest time is a hash aggregate over two columns, written as a small table; only the rows
+    of that time are shuffled and sorted whole.  ``stg`` is read twice: pass written rows."""
+    newest = materialize(stg.groupBy("merchant_id").agg(F.max("transaction_at").alias("_at")), "newest-times")
+    newest = newest.withColumnRenamed("merchant_id", "_merchant")
+    rows = stg.join(newest, F.col("merchant_id").eqNullSafe(F.col("_merchant")) & F.col("transaction_at").eqNullSafe(F.col("_at")), "left_semi")
+    return latest_per_key(rows, "merchant_id", [F.col("transaction_at").desc_nulls_last(), F.col("transaction_id").desc()])
 
 
 def group_key(by: str) -> Column:

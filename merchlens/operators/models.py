@@ -3,7 +3,8 @@
 Scale notes
 * Dedupe (W1) is ``row_number() = 1`` per ``transaction_id``; Spark plans it as a
   partial ``WindowGroupLimit`` before the exchange, so a hot key is cut to one
-  row per map partition before it is shuffled.
+  row per map partition before it is shuffled.  The derived columns (P10-P12) are
+  added after it, so they are neither shuffled nor sorted.
 * The mart is a hash aggregate on the 13 attribute columns (partial aggregation
   on the map side).  Global mean / stddev (W2) are scalar subqueries over the
   small aggregated mart — never an un-partitioned ``OVER ()`` window and never a
@@ -114,11 +115,11 @@ def dedupe(df: DataFrame, tiebreak: list[str] | None = None) -> DataFrame:
 
 
 def staging(raw_df: DataFrame, tiebreak: list[str] | None = None) -> DataFrame:
-    """Full staging model: clean -> enrich -> dedupe.  ``tiebreak`` columns may
+    """Full staging model: clean -> dedupe -> enrich.  ``tiebreak`` columns may
     name raw pass-through columns; ``ts`` means the cleaned ``transaction_at``."""
     tb = [("transaction_at" if t == "ts" else t) for t in (tiebreak or [])]
     keep = [t for t in tb if t != "transaction_at"]
-    out = dedupe(enrich(clean(raw_df, keep=keep)), tb)
+    out = enrich(dedupe(clean(raw_df, keep=keep), tb))
     return out.select(*STAGING_COLUMNS)
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from merchlens.functions.text import mcc_pad
 from merchlens.operators import models as M
+from merchlens.operators.analytics import latest_per_merchant
 from merchlens.plans.catalog import register
 from merchlens.plans.sqltext import STG_COLS, with_ctes
+from merchlens.session import materialize
 from merchlens.sources import fixtures as FX
 
 
@@ -15,14 +17,18 @@ def stg_of(spark, sf):
     return M.staging(FX.raw_txn(spark, sf), tiebreak=FX.DEDUPE_TIEBREAK)
 
 
+def staged_of(spark, sf):
+    """The staged rows, written once: jobs that read them several times, or sort them again, start from files."""
+    with FX.partitions_by_size(spark, sf):
+        return materialize(stg_of(spark, sf), "staged")
+
+
 def latest_of(spark, sf):
     """The merchant corpus (latest staged row per merchant, L23), written once
     under the shared checkpoint dir: analytics, anomaly, chunking and search
     jobs read it several times (global statistics, then a row pass), and a
     written table spares re-running the transaction-level shuffles each time."""
-    from merchlens.operators.analytics import latest_per_merchant
-    from merchlens.session import materialize
-    return materialize(latest_per_merchant(stg_of(spark, sf)), "latest-per-merchant")
+    return materialize(latest_per_merchant(staged_of(spark, sf)), "latest-per-merchant")
 
 
 RAW_SQL_COLS = ", ".join(M.RAW_COLUMNS)

@@ -10,10 +10,12 @@ Parquet scans as usual.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchlens.session import prepare
+from merchlens.session import prepare, setting
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -130,6 +132,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in FACT_TABLES else df
 
 
+def input_mb(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """Size of the given tables' files in MB, rounded up: what numbers of files and buckets follow."""
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return 1 + sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths) // 1_000_000
+
+
+#: MB of transactions and orders (as given) for each partition of their shuffles, which carry some six times as much.
+PARTITION_MB = 4
+
+
+@contextmanager
+def partitions_by_size(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+    """For the length of a block, shuffles begin with a number of partitions that follows the size of the given
+    transactions (the session's number at least), so that a task sorts its rows in memory; adaptive execution
+    merges small partitions as before."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_mb(spark, sf_dir, "lineitem", "orders") // PARTITION_MB)
+    with setting(spark, "spark.sql.shuffle.partitions", str(n)):
+        yield
+
+
 def run_fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     prepare(spark)
     names = sorted(set(_PLACEHOLDER.findall(sql)))
