@@ -23,7 +23,13 @@ from merchlens.sources import layers as L
 from merchlens.sources.upsert import _fs
 
 _SOURCES = sorted(set(re.findall(r"\{([a-z_]+)\}", FX.RAW_TXN_SQL)))
-BUCKETS = 16
+#: Buckets of a small table, and MB of transactions and orders (as given) for each further one: some 400,000 rows,
+#: which a task sorts in memory.
+BUCKETS, BUCKET_MB = 16, 8
+
+
+def buckets_of(spark, sf: str) -> int:
+    return max(BUCKETS, -(-FX.input_mb(spark, sf, "lineitem", "orders") // BUCKET_MB))
 
 
 def _raw_sql(sf: str) -> str:
@@ -58,9 +64,10 @@ def layers_of(spark, sf: str) -> L.Layers:
         build = f"build-{uuid.uuid4().hex[:12]}"
         layers = L.open_layers(spark, f"{home}/{build}", prefix)
         L.raw_view(spark, layers, _raw_sql(sf))
-        stg = L.save_staging(layers, stg_of(spark, sf))
-        L.save_lookup(layers, "merchant_latest", latest_per_merchant(stg), "merchant_id")
-        L.save(layers, "merchants", M.mart(stg))
+        with FX.partitions_by_size(spark, sf):
+            stg = L.save_staging(layers, stg_of(spark, sf))
+            L.save_lookup(layers, "merchant_latest", latest_per_merchant(stg), "merchant_id")
+            L.save(layers, "merchants", M.mart(stg))
         fs.create(_fs(spark, f"{home}/{build}/_BUILT")[1]).close()
         return layers
     layers = L.open_layers(spark, f"{home}/{done[0]}", prefix)
@@ -107,7 +114,12 @@ def q_staging_merge(spark, sf):
     """A correction of two quarters' small transactions - a later date, a higher amount - merged into the staging
     table: rows leave their quarters, and only the quarters they leave or enter are rewritten."""
     layers = L.open_layers(spark, scratch_dir(spark, "staging-merge"), f"merge_{uuid.uuid4().hex[:12]}")
-    stg = L.save_staging(layers, layers_of(spark, sf).read(spark, "transactions"))
+    with FX.partitions_by_size(spark, sf):
+        return _merge_correction(spark, sf, layers)
+
+
+def _merge_correction(spark, sf, layers):
+    stg = L.save_staging(layers, stg_of(spark, sf))
     batch = stg.where(_CORRECTED).withColumns({"transaction_amount": F.round(F.col("transaction_amount") + 1, 2),
                                                "transaction_at": F.col("transaction_at") + F.expr("INTERVAL 100 DAYS")})
     L.merge_staging(spark, layers, M.enrich(batch))
@@ -126,15 +138,17 @@ def q_rebuild_city_limit(spark, sf):
 def q_stg_dedup_bucketed(spark, sf):
     """The staging model over a raw table bucketed by transaction id: no exchange after the table is written."""
     name = f"default.raw_{uuid.uuid4().hex[:12]}"
-    raw = B.save_bucketed(FX.raw_txn(spark, sf), name, scratch_dir(spark, "raw-bucketed"), "transaction_id", BUCKETS)
+    with FX.partitions_by_size(spark, sf):
+        raw = B.save_bucketed(FX.raw_txn(spark, sf), name, scratch_dir(spark, "raw-bucketed"), "transaction_id", buckets_of(spark, sf))
     return M.staging(raw, tiebreak=FX.DEDUPE_TIEBREAK)
 
 
 def _merged(spark, sf, mode):
     t, u = _upsert_inputs(spark, sf)
     name = f"default.merge_{uuid.uuid4().hex[:12]}"
-    B.save_bucketed(t, name, scratch_dir(spark, "merge-bucketed"), "transaction_id", BUCKETS)
-    B.merge_bucketed(spark, name, "transaction_id", u, BUCKETS, mode)
+    n = buckets_of(spark, sf)
+    B.save_bucketed(t, name, scratch_dir(spark, "merge-bucketed"), "transaction_id", n)
+    B.merge_bucketed(spark, name, "transaction_id", u, n, mode)
     return B.read_bucketed(spark, name)
 
 

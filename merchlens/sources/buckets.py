@@ -8,8 +8,8 @@ partition folder holds one bucket.  Two things follow:
 * a merge reads and overwrites (dynamic partition overwrite) the folders of the buckets that a
   batch's keys fall in; the files of all others stay.
 
-The number of buckets is stated when the table is made: take about the table's size over
-256 MB.  A hot key does not fill a bucket, for a merged table has one row per key; a history
+The number of buckets is stated when the table is made: a dedupe sorts a bucket's rows in one task, so take the
+number of rows over some 400,000, not a fixed number.  A hot key does not fill a bucket, for a merged table has one row per key; a history
 table (:func:`save_bucketed` of rows with repeated keys) keeps the versions of a key together,
 which is what dedupe reads.
 """
