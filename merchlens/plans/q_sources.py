@@ -289,15 +289,20 @@ def q_ingest_validate(spark, sf):
         "transaction_id", "merchant_id", "mcc_code", "acceptance_method", "reason", "is_valid")
 
 
+#: MB of transactions and orders (as given) for each staged CSV file of some 60 MB, and files of a load batch at most.
+CSV_FILE_MB, MAX_BATCH_FILES = 5, 64
+
+
 @register("batch_load_job", _ROUNDTRIP_SQL + """
 QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY ts DESC NULLS LAST, merchant_id DESC NULLS LAST,
   transaction_amount DESC NULLS LAST, acceptance_method DESC NULLS LAST) = 1""", ids=("S3",))
 def q_batch_load_job(spark, sf):
     staging, archive = scratch_dir(spark, "staging-in"), scratch_dir(spark, "staging-archive")
-    S.write_staging_csv(FX.raw_txn(spark, sf).repartition(6), staging)
+    files = max(6, FX.input_mb(spark, sf, "lineitem", "orders") // CSV_FILE_MB)
+    S.write_staging_csv(FX.raw_txn(spark, sf).repartition(files), staging)
     raw_p, rej_p = scratch_dir(spark, "loaded"), scratch_dir(spark, "load-rejects")
-    I.start_batch_load(spark, staging, archive, raw_p, rej_p, scratch_dir(spark, "ckpt"), max_files=2) \
-        .awaitTermination()
+    I.start_batch_load(spark, staging, archive, raw_p, rej_p, scratch_dir(spark, "ckpt"),
+                       max_files=min(MAX_BATCH_FILES, -(-files // 3))).awaitTermination()
     return _roundtrip_cols(I.loaded_table(spark, raw_p))
 
 
@@ -320,5 +325,6 @@ UNION ALL SELECT 'tfidf_norms', count(DISTINCT doc_id) FROM c_post""", "stg", "m
 @register("rebuild_counts", _rebuild_sql(), ids=("S16", "T6"))
 def q_rebuild_counts(spark, sf):
     from merchlens.plans.jobs import rebuild
-    return rebuild(spark, FX.raw_txn(spark, sf), scratch_dir(spark, "rebuild"), tiebreak=FX.DEDUPE_TIEBREAK,
-                   prefix=f"rebuild_{uuid.uuid4().hex[:12]}")
+    with FX.partitions_by_size(spark, sf):
+        return rebuild(spark, FX.raw_txn(spark, sf), scratch_dir(spark, "rebuild"), tiebreak=FX.DEDUPE_TIEBREAK,
+                       prefix=f"rebuild_{uuid.uuid4().hex[:12]}")
