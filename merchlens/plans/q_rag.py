@@ -106,7 +106,7 @@ def q_rag_prompt(spark, sf):
 def _traces(spark, sf):
     hits, lat, qs = _hits(spark, sf)
     ans = G.retrieval_answer(hits, lat, qs)
-    return G.trace_rows(qs, ans, hits), ans, hits
+    return G.trace_rows(qs, ans, hits), ans, hits, lat
 
 
 @register("query_trace_rows", with_ctes("SELECT * FROM traces", *_NEED, local=_HIT_LOCAL), ids=("S10",))
@@ -144,8 +144,8 @@ FROM ej"""),
 
 
 def _evals(spark, sf):
-    traces, ans, hits = _traces(spark, sf)
-    return G.eval_rows(traces, ans, hits, C.chunk_merchants(latest_of(spark, sf)))
+    traces, ans, hits, lat = _traces(spark, sf)
+    return G.eval_rows(traces, ans, hits, C.chunk_merchants(lat))
 
 
 @register("eval_rows", with_ctes("SELECT * FROM evals", *_NEED, local=_EVAL_LOCAL), ids=("E6", "E1", "E2", "E3"))
