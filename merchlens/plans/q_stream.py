@@ -27,17 +27,29 @@ def _stream_files(spark, df, name, n_files=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+#: MB of events (as given) for each file beyond four that arrives in event-time order, and bytes of its row groups.
+SLICE_MB, ROW_GROUP_BYTES = 32, 4 << 20
+
+
+def _slices(spark, sf):
+    return max(4, -(-FX.input_mb(spark, sf, "events") // SLICE_MB))
+
+
 def _stream_by_time(spark, df, name, ts="ts", slices=4, late=None):
     """The same as files that arrive in event-time order, one per micro-batch; ``late`` rows come
-    with the last one."""
-    folder = scratch_dir(spark, name)
+    with the last one.  The rows are cut once, so the task that writes a file reads its slice alone; the files'
+    small row groups let a micro-batch read its file in several tasks."""
+    folder, cut = scratch_dir(spark, name), scratch_dir(spark, name + "-slices")
     cuts = df.select(F.unix_micros(ts).alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.01)
     bucket = sum((F.when(F.unix_micros(ts) >= F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
+    rows = df.withColumn("_slice", bucket)
+    if late is not None:
+        rows = rows.unionByName(late.withColumn("_slice", F.lit(slices - 1)))
+    rows.write.partitionBy("_slice").parquet(cut)
+    kept = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(cut)
     for i in range(slices):
-        part = df.where(bucket == i)
-        if late is not None and i == slices - 1:
-            part = part.unionByName(late)
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part = kept.where(F.col("_slice") == i).drop("_slice")
+        part.coalesce(1).write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -66,10 +78,18 @@ WHERE transaction_id IS NOT NULL AND merchant_id IS NOT NULL AND merchant_name I
   AND coalesce(acceptance_method, '{K.DEFAULT_ACCEPTANCE}') IN ({sql_list(K.ACCEPTANCE_METHODS)})"""
 
 
+#: Envelopes of a file, and files of a micro-batch, at most.
+FILE_ENVELOPES, MAX_BATCH_FILES = 100_000, 40
+
+
 def _ingested(spark, sf, max_files=2):
     """All of staging sent as envelopes in bounded batches, beside a broken one; the raw table."""
     src = scratch_dir(spark, "envelopes")
-    I.to_envelope(stg_of(spark, sf)).repartition(4).write.mode("overwrite").text(src)
+    # compressed and written by the tasks that stage the rows: as plain text the envelopes take some 30 times the tables
+    with FX.partitions_by_size(spark, sf):
+        (I.to_envelope(stg_of(spark, sf)).write.mode("overwrite").option("compression", "gzip")
+         .option("maxRecordsPerFile", FILE_ENVELOPES).text(src))
+    max_files = max(max_files, min(MAX_BATCH_FILES, FX.input_mb(spark, sf, "lineitem", "orders") // 32))
     spark.createDataFrame([("{broken envelope",)], "value string").write.mode("append").text(src)
     raw, rejects = scratch_dir(spark, "raw"), scratch_dir(spark, "rejects")
     _run(I.start_ingest(I.file_source(spark, src, max_files=max_files), raw, rejects, scratch_dir(spark, "ckpt")))
@@ -108,7 +128,7 @@ def q_stream_dedup(spark, sf):
     txn = FX.stream_txn(spark, sf)
     number = F.col("transaction_id").cast("long")
     early = txn.where(number % 5 == 0).where(F.col("ts") < txn.select((F.min("ts") + F.expr("INTERVAL 5 DAYS"))).scalar())
-    s = I.stream_dedup(_stream_by_time(spark, txn.unionByName(txn.where(number % 7 == 0)), "dups", late=early), watermark="1 day")
+    s = I.stream_dedup(_stream_by_time(spark, txn.unionByName(txn.where(number % 7 == 0)), "dups", slices=_slices(spark, sf), late=early), watermark="1 day")
     _run(s.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
     return spark.read.parquet(out)
@@ -121,7 +141,7 @@ FROM stream_txn GROUP BY 1, 2""", "stream_txn"), ids=("ST3",))
 def q_stream_daily_acceptance(spark, sf):
     txn = FX.stream_txn(spark, sf)
     late = txn.where(F.col("ts") < txn.select((F.min("ts") + F.expr("INTERVAL 5 DAYS"))).scalar())  # sent again, too late to count
-    agg = W.daily_acceptance(_stream_by_time(spark, txn, "daily", late=late), watermark="1 day")
+    agg = W.daily_acceptance(_stream_by_time(spark, txn, "daily", slices=_slices(spark, sf), late=late), watermark="1 day")
     return _keyed_updates(agg, spark, "daily-state", ["window_start", "acceptance_method"])
 
 
@@ -141,7 +161,7 @@ SELECT merchant_id, CAST(d AS TIMESTAMP) AS window_start, CAST(d + INTERVAL 30 D
 FROM (SELECT merchant_id, CAST(ts AS DATE) - CAST(k AS INTEGER) AS d FROM stream_txn, (SELECT unnest(range(0, 30)) AS k))
 GROUP BY merchant_id, d""", "stream_txn"), ids=("ST4",))
 def q_velocity_30d_stream(spark, sf):
-    agg = W.velocity_30d_stream(_stream_by_time(spark, FX.stream_txn(spark, sf), "velocity"))
+    agg = W.velocity_30d_stream(_stream_by_time(spark, FX.stream_txn(spark, sf), "velocity", slices=_slices(spark, sf)))
     return _keyed_updates(agg, spark, "velocity-state", ["merchant_id", "window_start"])
 
 
@@ -170,7 +190,7 @@ def q_stream_sessions_streaming(spark, sf):
     flush = txn.limit(1).withColumns({"merchant_id": F.lit("flush"), "transaction_id": F.lit("flush"),
                                       "ts": F.col("ts") + F.expr("INTERVAL 20 YEARS")})
     out = scratch_dir(spark, "sessions")
-    s = W.activity_sessions(_stream_by_time(spark, txn, "session-txn", late=flush), gap=_GAP)
+    s = W.activity_sessions(_stream_by_time(spark, txn, "session-txn", slices=_slices(spark, sf), late=flush), gap=_GAP)
     _run(s.writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True).start())
     return spark.read.parquet(out).where("merchant_id <> 'flush'")

@@ -103,23 +103,19 @@ def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint
                  available_now: bool = True, compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """ST1: envelope stream -> validate -> dedupe within the batch -> append to
     the raw keyed log (readers see the last write per transaction); rejects go
-    to a side table, one folder per epoch.  The batch is persisted so the
-    envelopes are parsed once for both writes.
+    to a side table, one folder per epoch.  Both writes read the batch at its source:
+    a kept copy of the envelope text would take more disk than all that is written.
 
     No record is dropped: bound a batch at its source (``maxFilesPerTrigger``,
     ``maxOffsetsPerTrigger``), where what is not read yet stays unread.  The log is compacted
     whenever ``compact_every`` epochs lie beyond its snapshot."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df.persist()
-        try:
-            good, bad = parse_envelopes(df)
-            good = latest_per_key(good, "transaction_id", [F.col("timestamp_ms").desc(), F.col("event_id").desc()])
-            log_append(good, raw_path, epoch)
-            bad.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
-            log_maintain(df.sparkSession, raw_path, "transaction_id", _raw_order(), compact_every)
-        finally:
-            df.unpersist()
+        good, bad = parse_envelopes(df)
+        good = latest_per_key(good, "transaction_id", [F.col("timestamp_ms").desc(), F.col("event_id").desc()])
+        log_append(good, raw_path, epoch)
+        bad.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
+        log_maintain(df.sparkSession, raw_path, "transaction_id", _raw_order(), compact_every)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
