@@ -8,8 +8,9 @@ Plan shape and scale
   ``groupBy(doc, token)`` runs without a further exchange (a document is one
   row, so its groups are already co-located).
 * document frequency is ``groupBy(token)`` (partial aggregation absorbs hot
-  tokens); idf is joined back on ``token`` — AQE's skew-join splits a stop-word
-  partition of the postings side.
+  tokens); idf is joined back on ``token``: that of the most frequent tokens - a bounded
+  number - is broadcast, so the bulk of the postings stays where it is, a document's
+  together, and only the postings of rarer tokens are shuffled (:func:`with_idf`).
 * the L2 norm is a window partitioned by document: a partition holds one
   document's distinct tokens, bounded by document length.
 * scoring joins query postings to document postings on ``token`` (only tokens
@@ -45,6 +46,10 @@ BLOCK_DOCS, SLACK = 1024, 2e-8
 LONG_QUESTION = 16
 
 
+#: Most frequent tokens whose idf is broadcast.
+FREQUENT_TOKENS = 100_000
+
+
 @dataclass
 class TfidfIndex:
     postings: DataFrame  # id, token, tf
@@ -55,7 +60,7 @@ class TfidfIndex:
     @property
     def weights(self) -> DataFrame:
         """``(id, token, tf, weight)``, the L2-normalised tf-idf of every posting."""
-        return (self.postings.join(self.idf.select("token", "idf"), "token").join(self.norms, self.id_col)
+        return (with_idf(self.postings, self.idf).join(self.norms, self.id_col)
                 .select(self.id_col, "token", "tf",
                         (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")))
 
@@ -104,10 +109,18 @@ def block_of(id_col: str, modulus: Column) -> Column:
     return length * F.lit(2 ** 32) + F.pmod(F.xxhash64(id_col), modulus)
 
 
+def with_idf(post: DataFrame, idf: DataFrame) -> DataFrame:
+    """Postings with their token's ``idf``; the postings are read twice: pass written rows."""
+    top = idf.orderBy(F.col("df").desc(), "token").limit(FREQUENT_TOKENS).select("token", "idf")
+    top = F.broadcast(_stage(top, "frequent-tokens"))
+    rare = post.join(top.select("token"), "token", "left_anti").join(idf.select("token", "idf"), "token")
+    return post.join(top, "token").unionByName(rare)
+
+
 def doc_norms(post: DataFrame, idf: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, norm)``: L2 norm of each document's tf-idf vector — a hash
     aggregate by document (no sort), one row per document."""
-    w = post.join(idf.select("token", "idf"), "token").select(id_col, (F.col("tf") * F.col("idf")).alias("w"))
+    w = with_idf(post, idf).select(id_col, (F.col("tf") * F.col("idf")).alias("w"))
     return (w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"), F.count(F.lit(1)).alias("n_distinct"))
             .select(id_col, F.coalesce(F.nullif(F.col("_n"), F.lit(0.0)), F.lit(1.0)).alias("norm"), "n_distinct"))
 
