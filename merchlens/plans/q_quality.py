@@ -105,7 +105,9 @@ FROM ({" UNION ALL ".join(parts)})) WHERE sample_no <= 5"""
 
 @register("dq_raw_samples", with_ctes(_samples_sql(Q.raw_suite(), "raw_txn", "raw_merchant_transactions"), "raw_txn"), ids=("T4",))
 def q_dq_raw_samples(spark, sf):
-    return Q.failed_samples(M.raw(FX.raw_txn(spark, sf)), Q.raw_suite(), "raw_merchant_transactions")
+    """Written at once (a few rows a check), so that the passes over the ids get partitions by the size of the tables."""
+    with FX.partitions_by_size(spark, sf):
+        return materialize(Q.failed_samples(M.raw(FX.raw_txn(spark, sf)), Q.raw_suite(), "raw_merchant_transactions"), "failed-samples")
 
 
 _REPORT_BODY = f"""

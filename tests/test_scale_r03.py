@@ -119,3 +119,12 @@ def test_materialised_staging_is_the_model(spark):
     a, b = stg_of(spark, SF_SMALL), staged_of(spark, SF_SMALL)
     assert a.columns == b.columns == M.STAGING_COLUMNS
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_samples_are_taken_with_partitions_by_size(spark, monkeypatch):
+    from merchlens.plans import q_quality
+
+    seen, real = [], q_quality.materialize
+    monkeypatch.setattr(FX, "input_mb", lambda *a: 80)
+    monkeypatch.setattr(q_quality, "materialize", lambda df, name: seen.append(spark.conf.get("spark.sql.shuffle.partitions")) or real(df, name))
+    assert q_quality.q_dq_raw_samples(spark, SF_SMALL).count() > 0 and seen == ["20"]
