@@ -15,7 +15,8 @@
 3. **Placement.**  A piece's global rank among equal lengths (task rank plus the
    counts of earlier tasks) addresses its slot: a range of ranks of a length belongs
    to one pattern, so sequence and offset are arithmetic on the rank.  No group of
-   equal lengths is gathered anywhere.
+   equal lengths is gathered anywhere, and no piece is shuffled: the counts of earlier
+   tasks, a map of lengths per task, are broadcast.
 
 Nulls: a null text is empty (one piece with the end id alone), a null id stays null.
 Repeated rows are packed as separate documents.  An empty table gives no rows.
@@ -253,9 +254,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CA
 def place(written: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``written`` pieces (a table, read more than once) with ``sequence_id`` and ``offset``
     instead of ``part`` and ``nth``."""
-    counts = written.groupBy("part", "length").agg(F.count("*").alias("n"))
-    counts = materialize(counts, "pack-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in written.groupBy("length").agg(F.count("*").alias("n")).collect()}
     s = slots(plan(histogram, capacity))
     lo_key = s["length"] * (1 << 40) + s["lo"]  # 2^40 pieces of a length
 
@@ -266,11 +265,16 @@ def place(written: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         d = r - s["lo"][i]
         return pd.DataFrame({"sequence_id": s["base"][i] + d // s["per"][i], "offset": s["at"][i] + d % s["per"][i] * l})
 
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = written.join(offsets, ["part", "length"]).withColumn("slot", slot("length", F.col("nth") + F.col("before")))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = written.groupBy("part", F.col("length").cast("int").alias("length")).agg(F.count("*").alias("n"))
+    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # one row per writing task, at most ``capacity`` entries each: pieces stay in the partitions of their files
+    offsets = offsets.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("before"))
+    rank = F.col("nth") + F.col("before")[F.col("length").cast("int")]
     keep = [c for c in written.columns if c not in ("part", "nth")]
-    return ranked.select(*keep, "slot.sequence_id", "slot.offset")
+    # a generator, not a plain column: else the maps would go on to the rows that wait for the Python function
+    ranked = written.join(F.broadcast(offsets), "part").select(*keep, F.explode(F.array(rank)).alias("rank"))
+    return ranked.withColumn("slot", slot("length", "rank")).select(*keep, "slot.sequence_id", "slot.offset")
 
 
 def assemble(placed: DataFrame) -> DataFrame:
