@@ -204,6 +204,21 @@ def score_column(model: Model, stats: Column) -> Column:
     return quality_score(stats)
 
 
+def text_score_column(model: Model, text: Column) -> Column:
+    """Calibrated score of a text column, statistics and score in one Python function: two in a row are two
+    worker processes per task, and Spark keeps and feeds all of them in the stages that follow."""
+
+    @F.pandas_udf("double")
+    def text_quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            stats = [statistics(bytes(t)) for t in texts]
+            yield pd.Series(model.scores(np.stack(stats)) if stats else [], index=texts.index, dtype=float)
+            del texts, stats
+            give_back()
+
+    return text_quality(F.encode(text_or_empty(text), "UTF-8"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, score, predicted) of every document; texts are read once."""
     stats = materialize(docs.select(F.col(id_col), statistics_column(F.col(text_col)).alias("stats")), "quality-stats")
@@ -218,5 +233,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     stats = materialize(docs.select(F.col(id_col), statistics_column(F.col(text_col)).alias("stats")), "quality-stats")
     model = fit(stats, labels, id_col)
     name = fresh(docs, "__score")
-    scored = docs.withColumn(name, score_column(model, statistics_column(F.col(text_col))))
+    scored = docs.withColumn(name, text_score_column(model, F.col(text_col)))
     return scored.where(F.col(name) >= 0.5).drop(name)

@@ -58,3 +58,10 @@ def test_odd_and_empty_tables_pass_every_stage(spark, sf, odd_docs, no_docs):
         if name == "line dedup":
             assert n == odd.count()
         assert stage(spark, no_docs.withColumn("n_chars", F.length("text")), sf).count() == 0
+
+
+def test_classifier_filter_needs_one_python_worker_a_task(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = quality_classifier.keep_good(docs, labels)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1, plan
