@@ -165,7 +165,8 @@ def clean(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_L
             give_back()
 
     name = fresh(docs, "__rules")
-    out = docs.withColumn(name, cleaned(F.encode(text_or_empty(text_col), "UTF-8")))
+    # as a plain function it would run twice, in two worker processes per task: for the filter and for the text
+    out = docs.withColumn(name, cleaned.asNondeterministic()(F.encode(text_or_empty(text_col), "UTF-8")))
     return (out.where(F.col(name)["kept"]).withColumn(text_col, F.col(name)["text"].cast("string")).drop(name))
 
 

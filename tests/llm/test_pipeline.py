@@ -60,8 +60,13 @@ def test_odd_and_empty_tables_pass_every_stage(spark, sf, odd_docs, no_docs):
         assert stage(spark, no_docs.withColumn("n_chars", F.length("text")), sf).count() == 0
 
 
+def _python_steps(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("EvalPython")
+
+
 def test_classifier_filter_needs_one_python_worker_a_task(spark, sf, docs):
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    kept = quality_classifier.keep_good(docs, labels)
-    plan = kept._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("EvalPython") == 1, plan
+    assert _python_steps(STAGE["quality classifier"](spark, docs, sf)) == 1
+
+
+def test_rules_judge_a_text_once(spark, sf, docs):
+    assert _python_steps(STAGE["quality rules"](spark, docs, sf)) == 1
