@@ -8,9 +8,10 @@
    class is then sent down every tree, so the index holds every row.
 3. **Search.**  One priority queue per query over all trees, ordered by the largest
    margin violated on the way to a branch, yields leaves nearest first.
-4. **Exact reranking.**  Queries meet the classes of their leaves in tasks keyed by
-   (tree, leaf); each leaf answers with the query's best ``k`` by inner product in
-   double precision, the answers are merged per query.
+4. **Exact reranking.**  Queries meet the classes of their leaves in tasks that hold a block of
+   neighbouring leaves of one tree (:data:`BLOCK`); a query is sent to a block once, however many of
+   its leaves it visits there, and the block answers with the query's best ``k`` by inner product
+   in double precision.  The blocks' answers are sorted once and merged.
 
 How many leaves a query visits is calibrated, not assumed: for a bounded set of
 probe vectors the exact neighbours are found by one pass over all classes, and the
@@ -41,6 +42,9 @@ TREES = 8
 #: sample must leave at least 4 of its own to each.
 LEAF = 1024
 RECALL = 0.95
+#: Components of vectors that a task of the reranking holds, and those of the queries it answers, at most
+#: (a leaf at least); visits of a task that walks the trees, and answers of a task that merges them.
+BLOCK, WALK, MERGE = 1 << 22, 100_000, 32_768
 
 
 class Forest:
@@ -96,10 +100,11 @@ class Forest:
     def visits(self, x: np.ndarray, most: int) -> list[list[int]]:
         """Per vector the first ``most`` leaves (tree * 2^depth + leaf) of its shared queue."""
         inner = 2 ** self.depth - 1
-        margins = [self.margins(x, t) for t in range(self.trees)]
         out = []
         for i in range(len(x)):
-            rows = [m[i].tolist() for m in margins]
+            if i % 256 == 0:  # the margins of all nodes, for a few vectors at a time
+                margins = [self.margins(x[i:i + 256], t) for t in range(self.trees)]
+            rows = [m[i % 256].tolist() for m in margins]
             heap = [(0.0, t, 0) for t in range(self.trees)]
             found: list[int] = []
             while heap and len(found) < most:
@@ -131,8 +136,11 @@ def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nda
         # everything that could tie with the k-th within rounding is scored again
         cut = np.partition(s, -k, axis=1)[:, -k][:, None]
         keep = s >= cut - 1e-9 * (1 + np.abs(cut))
-        width = int(keep.sum(axis=1).max())
-        at = np.argsort(~keep, axis=1, kind="stable")[:, :width]
+        many = keep.sum(axis=1)
+        if (many == k).all():
+            at = np.nonzero(keep)[1].reshape(len(s), k)
+        else:
+            at = np.argsort(~keep, axis=1, kind="stable")[:, :int(many.max())]
     else:
         at = np.broadcast_to(np.arange(s.shape[1]), s.shape)
     # a fixed order of summation: a pair has one score wherever it is computed
@@ -141,6 +149,41 @@ def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nda
     return np.take_along_axis(ids[at], order, 1), np.take_along_axis(exact, order, 1)
 
 
+def _first(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, score), some of them repeated, the k first of each query: largest score, then smallest id."""
+    at = np.lexsort((ids, -score, q))
+    q, ids, score = q[at], ids[at], score[at]
+    # a pair has one score, so its copies stand together
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, ids, score = q[new], ids[new], score[new]
+    begins = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])[:len(q)])
+    rank = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+    return q[rank < k], ids[rank < k], score[rank < k]
+
+
+def _answers(q: np.ndarray, cells: list[np.ndarray], vec: np.ndarray, ids: np.ndarray, leaf: np.ndarray,
+             k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's number, id, score): the k best of each query among the vectors of its ``cells``."""
+    at = np.argsort(leaf, kind="stable")
+    vec, ids, leaf = vec[at], ids[at], leaf[at]
+    asked, who = np.concatenate(cells), np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    at = np.argsort(asked, kind="stable")
+    asked, who = asked[at], who[at]
+    out, held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+    for cell in np.unique(asked):
+        lo, hi = np.searchsorted(leaf, [cell, cell + 1])
+        w = who[slice(*np.searchsorted(asked, [cell, cell + 1]))]
+        for s in range(0, len(w) if lo < hi else 0, 256):
+            b, sc = _best(q[w[s:s + 256]], vec[lo:hi], ids[lo:hi], k)
+            out.append((np.repeat(w[s:s + 256], b.shape[1]), b.ravel(), sc.ravel()))
+            held += b.size
+            if held > max(1 << 20, 2 * k * len(q)):
+                out = [_first(*map(np.concatenate, zip(*out)), k)]
+                held = len(out[0][0])
+    return _first(*map(np.concatenate, zip(*out)), k)
+
+
 def _plain(vec_col: str) -> Column:
     """The vector without negative zeros, which equal zero but hash apart."""
     return F.transform(vec_col, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
@@ -212,39 +255,56 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     index = materialize(found.withColumn("leaves", leaves("vec")), "ann-index")
     visits = _probe(index, forest, sample.tail(PROBES), k, recall)
 
-    @F.pandas_udf("array<int>")
-    def to_visit(vec: pd.Series) -> pd.Series:
-        return pd.Series([np.array(v, np.int32) for v in forest.visits(_vectors(vec), visits)] if len(vec) else [],
-                         index=vec.index, dtype=object)
-
     # classes that hold a query are asked once, whatever the number of their rows
     q = queries.select(F.col(id_col).cast("long").alias("query_id"), _key(_plain(vec_col)).alias("key"))
     q = q.where("query_id is not null").distinct().join(found.select("key", "cid"), "key").select("query_id", "cid")
     q = materialize(q, "ann-queries")
     asked = q.select("cid").distinct().join(found.select("cid", "vec"), "cid")
-    asked = asked.withColumn("cell", F.explode(to_visit("vec"))).select(
-        "cell", F.lit(True).alias("asks"), "cid", "vec")
+    n_asked, dim = q.select("cid").distinct().count(), forest.planes.shape[2]
+    # leaves of a block: as many neighbours of one tree as a task holds, four blocks a tree at least
+    span = 2 ** int(max(0, min(depth - 2, np.floor(np.log2(max(1, BLOCK // dim) * width / n)))))
+    parts = max(1, -(-n_asked * dim // BLOCK))  # of the queries, each of which meets all blocks
+
+    def walk(batches):
+        for b in batches:
+            for s in range(0, len(b), 256):
+                some, rows = b[s:s + 256], []
+                for i, found_ in enumerate(forest.visits(_vectors(some["vec"]), visits)):
+                    cells = np.sort(np.array(found_, np.int32))
+                    for c in np.split(cells, np.flatnonzero(np.diff(cells // span)) + 1):
+                        rows.append((int(c[0] // span), c, i))
+                at = [r[2] for r in rows]
+                yield pd.DataFrame({"block": pd.Series([r[0] for r in rows], dtype="int32"), "cells": pd.Series([r[1] for r in rows], dtype=object),
+                                    "cid": some["cid"].to_numpy()[at], "vec": pd.Series(list(some["vec"].to_numpy()[at]), dtype=object)})
+
+    part = F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("int")
+    kind = found.schema["vec"].dataType.simpleString()
+    asked = asked.repartition(max(1, -(-n_asked * visits // WALK)), "cid").mapInPandas(
+        walk, f"block int, cells array<int>, cid long, vec {kind}").withColumn("part", part)
     stored = index.select(F.posexplode("leaves").alias("tree", "leaf"), "cid", "vec").select(
-        (F.col("tree") * width + F.col("leaf")).alias("cell"), F.lit(False).alias("asks"), "cid", "vec")
+        (F.col("tree") * width + F.col("leaf")).alias("cell"), "cid", "vec")
+    stored = stored.withColumn("block", F.floor(F.col("cell") / span).cast("int"))
+    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0))
 
     def rerank(key, a: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        cid, best, score = a["cid"].to_numpy(), [], []
-        if len(v):
-            vec, ids = _vectors(v["vec"]), v["cid"].to_numpy()
-            for s in range(0, len(a), 256):
-                b, sc = _best(_vectors(a["vec"][s:s + 256]), vec, ids, k + 1)
-                best += list(b)
-                score += list(sc)
-        else:
-            best, score = [np.empty(0, np.int64)] * len(a), [np.empty(0)] * len(a)
-        return pd.DataFrame({"qcid": pd.Series(cid, dtype="int64"), "cids": pd.Series(best, dtype=object),
-                             "scores": pd.Series(score, dtype=object)})
-
-    parts = asked.groupBy("cell").cogroup(stored.groupBy("cell")).applyInPandas(
+        if not len(a) or not len(v):
+            return pd.DataFrame({"qcid": pd.Series(dtype="int64"), "cids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
+        who, ids, score = _answers(_vectors(a["vec"]), list(a["cells"]), _vectors(v["vec"]), v["cid"].to_numpy(), v["cell"].to_numpy(), k + 1)
+        cut = np.flatnonzero(np.diff(who)) + 1
+        return pd.DataFrame({"qcid": a["cid"].to_numpy()[np.unique(who)], "cids": pd.Series(np.split(ids, cut) if len(ids) else [], dtype=object),
+                             "scores": pd.Series(np.split(score, cut) if len(ids) else [], dtype=object)})
+
+    answered = asked.groupBy("block", "part").cogroup(stored.groupBy("block", "part")).applyInPandas(
         rerank, "qcid long, cids array<long>, scores array<double>")
-    pair = F.transform(F.arrays_zip("cids", "scores"), lambda x: F.struct((-x["scores"]).alias("neg"), x["cids"].alias("cid")))
-    merged = parts.groupBy("qcid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pair)))), 1, k + 1).alias("top"))
-    top = merged.select("qcid", F.explode("top").alias("t")).select("qcid", "t.*")
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        many = rows["cids"].map(len).to_numpy()
+        who, ids, score = _first(np.repeat(rows["qcid"].to_numpy(), many), np.concatenate(list(rows["cids"])),
+                                 np.concatenate(list(rows["scores"])), k + 1)
+        return pd.DataFrame({"qcid": who, "neg": -score, "cid": ids})
+
+    bins = -(-n_asked * min(visits, forest.trees * width // span) // MERGE)
+    top = answered.groupBy(F.pmod(F.xxhash64("qcid"), F.lit(max(1, bins)))).applyInPandas(merge, "qcid long, neg double, cid long")
     members = top.join(found.select("cid", "ids"), "cid").select("qcid", "neg", F.explode("ids").alias("vec_id"))
     # the k + 1 first of a class's answer hold any of its queries' k nearest
     members = members.withColumn("r", F.row_number().over(Window.partitionBy("qcid").orderBy("neg", "vec_id"))).where(F.col("r") <= k + 1)

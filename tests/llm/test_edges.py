@@ -483,3 +483,37 @@ def test_neighbours_edges(spark):
     few = ann.search(df.where("vec_id < 3"), df.where("vec_id = 0"), k=20)
     assert few.count() == 2
     assert ann.search(df.where("false"), df.where("false")).count() == 0
+    assert ann.search(df, df.where("false")).count() == 0
+
+
+def test_neighbours_answers_of_a_block():
+    rng = np.random.default_rng(3)
+    vec, q, leaf = rng.integers(-2, 3, (90, 3)).astype(float), rng.normal(size=(7, 3)).round(), rng.integers(0, 6, 90)
+    cells = [np.sort(rng.choice(8, n, replace=False)) for n in (1, 2, 3, 4, 5, 8, 2)]  # leaves 6 and 7 are empty
+    who, ids, score = ann._answers(q, cells, vec, np.arange(90), leaf, 5)
+    for i, c in enumerate(cells):
+        want = sorted((-(q[i] * vec[j]).sum(), j) for j in range(90) if leaf[j] in c)[:5]
+        assert [(-s, j) for s, j in zip(score[who == i], ids[who == i])] == want
+    # the same answers from several trees
+    again = ann._first(np.tile(who, 3), np.tile(ids, 3), np.tile(score, 3), 5)
+    assert all((x == y).all() for x, y in zip(again, (who, ids, score)))
+    assert all(len(x) == 0 for x in ann._first(np.empty(0, int), np.empty(0, int), np.empty(0), 5))
+
+
+def test_neighbours_of_many_visits(spark):
+    """A query of some thousand leaves: their answers are merged in the time of a sort."""
+    x = np.random.default_rng(4).normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.search(df, df.where("vec_id % 100 = 0"), k=20, leaf=4, recall=1.0).collect()
+    want = {(i, j) for i in range(0, 1500, 100) for j in [j for j in np.argsort(-(x @ x[i])) if j != i][:20]}
+    assert len(found) == 300 and len({(r["query_id"], r["vec_id"]) for r in found} & want) >= 297
+
+
+def test_neighbours_whatever_the_blocks(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(200, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = lambda: sorted(map(tuple, ann.search(df, df.where("vec_id % 10 = 0"), k=20, leaf=16).collect()))
+    found = rows()
+    for name, value in (("BLOCK", 256), ("WALK", 300), ("MERGE", 40)):  # a leaf a block, half of the queries a task
+        monkeypatch.setattr(ann, name, value)
+    assert len(found) == 400 and rows() == found
