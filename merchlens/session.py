@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Whole-stage codegen fuses a scan, several broadcast joins and wide CASE
 # projections into one generated method; past 8000 bytes of bytecode HotSpot
@@ -102,6 +103,35 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """For the length of a block, the shuffle files of a job go when the job ends, not when the driver happens to
+    collect its garbage; for jobs that each run their own frame once."""
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+def write_sliced(df: DataFrame, path: str, key: str | list[str], slices: int) -> None:
+    """Write ``df`` as Parquet, one slice of its keys after another: the rows of a key stay together, so what is deduplicated
+    or grouped by the key gives the same rows, and only one slice's shuffle is on disk.  The folder is marked as
+    complete with the last slice."""
+    keys = [key] if isinstance(key, str) else list(key)
+    with shuffles_removed(df.sparkSession):
+        for i in range(slices):
+            part = df.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == i) if slices > 1 else df
+            (part.write.mode("append" if i else "overwrite").option("compression", "zstd")
+             .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(i == slices - 1).lower()).parquet(path))
+
+
+def materialize_sliced(df: DataFrame, name: str, key: str | list[str], slices: int) -> DataFrame:
+    """As :func:`materialize`, by slices of the keys; with one slice ``df`` itself."""
+    if slices < 2:
+        return df
+    path = scratch_dir(df.sparkSession, name)
+    write_sliced(df, path, key, slices)
+    return df.sparkSession.read.parquet(path)
+
+
 def overwrite_partitions(df: DataFrame, table: str) -> None:
     """Write ``df`` (partition columns last) over the partitions it has rows for; all others stay."""
     with setting(df.sparkSession, "spark.sql.sources.partitionOverwriteMode", "dynamic"):

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from merchlens.session import prepare, setting
 
@@ -144,15 +145,32 @@ PARTITION_MB = 4
 
 
 @contextmanager
-def partitions_by_size(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+def partitions_by_size(spark: SparkSession, sf_dir: str, slices: int = 1) -> Iterator[None]:
     """For the length of a block, shuffles begin with a number of partitions that follows the size of the given
-    transactions (the session's number at least), so that a task sorts its rows in memory; adaptive execution
+    transactions, or of one of their slices (the session's number at least), so that a task sorts its rows in memory; adaptive execution
     merges small partitions as before."""
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_mb(spark, sf_dir, "lineitem", "orders") // PARTITION_MB)
-    with setting(spark, "spark.sql.shuffle.partitions", str(n)):
+    with setting(spark, "spark.sql.shuffle.partitions", str(-(-n // slices))):
         yield
 
 
+#: MB of transactions and orders (as given) for each slice of their keys, and slices at most: each reads the tables again.
+SLICE_MB, MAX_SLICES = 64, 4
+
+
+def slices_by_size(spark: SparkSession, sf_dir: str) -> int:
+    """Slices in which jobs shuffle the given transactions one after another, so that a part of them is on disk at a time."""
+    return min(MAX_SLICES, 1 + input_mb(spark, sf_dir, "lineitem", "orders") // SLICE_MB)
+
+
+def raw_slices(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """The raw transactions, a slice of their ids at a time."""
+    n = slices_by_size(spark, sf_dir)
+    for i in range(n):
+        raw = raw_txn(spark, sf_dir)
+        yield raw.where(F.pmod(F.xxhash64("transaction_id"), F.lit(n)) == i) if n > 1 else raw
+
+
 def run_fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     prepare(spark)
     names = sorted(set(_PLACEHOLDER.findall(sql)))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlens.operators.models import latest_per_key
+from merchlens.session import write_sliced
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: str | list[str], mode: str = "replace",
@@ -64,7 +65,7 @@ def _numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
 
 def log_append(df: DataFrame, root: str, epoch: int) -> None:
     """Write one batch of keyed rows as log epoch ``epoch`` (idempotent on replay)."""
-    df.write.mode("overwrite").parquet(f"{root}/log/epoch={epoch}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/log/epoch={epoch}")
 
 
 def log_read(spark: SparkSession, root: str, key: str | list[str], order: list[Column],
@@ -87,14 +88,24 @@ def log_read(spark: SparkSession, root: str, key: str | list[str], order: list[C
     return out if keep_epoch else out.drop("_epoch")
 
 
+#: Bytes of a log and its snapshot for each slice of the keys that a compaction shuffles at a time, and slices at most.
+SLICE_BYTES, MAX_SLICES = 64 << 20, 4
+
+
+def _slices(spark: SparkSession, root: str) -> int:
+    fs, p = _fs(spark, root)
+    return min(MAX_SLICES, 1 + fs.getContentSummary(p).getLength() // SLICE_BYTES)
+
+
 def log_compact(spark: SparkSession, root: str, key: str | list[str], order: list[Column]) -> int | None:
-    """Fold the table into a snapshot covering every committed epoch; returns its epoch."""
+    """Fold the table into a snapshot covering every committed epoch; returns its epoch.  A large table is
+    folded by slices of its keys."""
     epochs = _numbered(spark, f"{root}/log", "epoch=")
     snaps = _numbered(spark, f"{root}/snap", "upto=")
     if not epochs or (snaps and snaps[-1] >= epochs[-1]):
         return snaps[-1] if snaps else None
     merged = log_read(spark, root, key, order, keep_epoch=True)
-    merged.write.mode("overwrite").parquet(f"{root}/snap/upto={epochs[-1]}")
+    write_sliced(merged, f"{root}/snap/upto={epochs[-1]}", key, _slices(spark, root))
     return epochs[-1]
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from merchlens.operators.models import latest_per_key
 from merchlens.operators.quality import validate_ingest
+from merchlens.session import shuffles_removed
 from merchlens.sources.upsert import log_append, log_maintain, log_read
 
 SOURCE_NAME = "merchlens_pipeline"
@@ -104,7 +105,7 @@ def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint
     """ST1: envelope stream -> validate -> dedupe within the batch -> append to
     the raw keyed log (readers see the last write per transaction); rejects go
     to a side table, one folder per epoch.  Both writes read the batch at its source:
-    a kept copy of the envelope text would take more disk than all that is written.
+    a kept copy of the envelope text would take more disk than all that is written.  A batch's shuffles go with it.
 
     No record is dropped: bound a batch at its source (``maxFilesPerTrigger``,
     ``maxOffsetsPerTrigger``), where what is not read yet stays unread.  The log is compacted
@@ -113,7 +114,8 @@ def start_ingest(stream: DataFrame, raw_path: str, rejects_path: str, checkpoint
     def batch(df: DataFrame, epoch: int) -> None:
         good, bad = parse_envelopes(df)
         good = latest_per_key(good, "transaction_id", [F.col("timestamp_ms").desc(), F.col("event_id").desc()])
-        log_append(good, raw_path, epoch)
+        with shuffles_removed(df.sparkSession):
+            log_append(good, raw_path, epoch)
         bad.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
         log_maintain(df.sparkSession, raw_path, "transaction_id", _raw_order(), compact_every)
 
@@ -204,7 +206,8 @@ def start_batch_load(spark: SparkSession, staging_dir: str, archive_dir: str, ra
         df.persist()
         try:
             valid, rejects = parse_staging_rows(df, array_sep)
-            log_append(latest_per_key(valid, "transaction_id", _loaded_order()), raw_path, epoch)
+            with shuffles_removed(df.sparkSession):
+                log_append(latest_per_key(valid, "transaction_id", _loaded_order()), raw_path, epoch)
             rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
             log_maintain(df.sparkSession, raw_path, "transaction_id", _loaded_order(), compact_every)
         finally:
