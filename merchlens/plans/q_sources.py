@@ -15,7 +15,7 @@ from merchlens.plans import q_retrieval  # noqa: F401  (the chunk CTEs)
 from merchlens.plans.catalog import register
 from merchlens.plans.q_models import latest_of, stg_of
 from merchlens.plans.sqltext import cte, sql_list, with_ctes
-from merchlens.session import scratch_dir
+from merchlens.session import materialize_sliced, scratch_dir, shuffles_removed
 from merchlens.sources import files as S
 from merchlens.sources import fixtures as FX
 from merchlens.sources.upsert import upsert
@@ -299,11 +299,14 @@ QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY ts DESC NULLS LA
 def q_batch_load_job(spark, sf):
     staging, archive = scratch_dir(spark, "staging-in"), scratch_dir(spark, "staging-archive")
     files = max(6, FX.input_mb(spark, sf, "lineitem", "orders") // CSV_FILE_MB)
-    S.write_staging_csv(FX.raw_txn(spark, sf).repartition(files), staging)
+    slices = FX.slices_by_size(spark, sf)
+    with shuffles_removed(spark):
+        for i, raw in enumerate(FX.raw_slices(spark, sf)):
+            S.write_staging_csv(raw.repartition(files * (i + 1) // slices - files * i // slices), staging, mode="append")
     raw_p, rej_p = scratch_dir(spark, "loaded"), scratch_dir(spark, "load-rejects")
     I.start_batch_load(spark, staging, archive, raw_p, rej_p, scratch_dir(spark, "ckpt"),
                        max_files=min(MAX_BATCH_FILES, -(-files // 3))).awaitTermination()
-    return _roundtrip_cols(I.loaded_table(spark, raw_p))
+    return materialize_sliced(_roundtrip_cols(I.loaded_table(spark, raw_p)), "loaded-rows", "transaction_id", slices)
 
 
 def _rebuild_sql(source: str | None = None) -> str:

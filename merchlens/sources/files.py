@@ -54,9 +54,9 @@ def staging_csv_frame(df: DataFrame, ts_col: str = "ts", array_sep: str = "|") -
     )
 
 
-def write_staging_csv(df: DataFrame, path: str, ts_col: str = "ts", array_sep: str = "|") -> None:
+def write_staging_csv(df: DataFrame, path: str, ts_col: str = "ts", array_sep: str = "|", mode: str = "overwrite") -> None:
     """Write transactions as header CSV (one file per partition, many writers)."""
-    (staging_csv_frame(df, ts_col, array_sep).write.mode("overwrite").option("header", True)
+    (staging_csv_frame(df, ts_col, array_sep).write.mode(mode).option("header", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
